@@ -11,7 +11,8 @@ from ..schemas import MESSAGE
 
 # Arrival order inside a message. 2^20 events need at least 2 MB of JSON, more than a message
 # may hold; a larger one fails the job rather than getting a wrong order.
-ITEMS_PER_MESSAGE = 1 << 20
+POSITION_BITS = 20
+ITEMS_PER_MESSAGE = 1 << POSITION_BITS
 
 
 def read_message_stream(spark: SparkSession, fmt: str, options: Mapping[str, str]) -> DataFrame:
@@ -144,5 +145,5 @@ def unreadable(messages: DataFrame) -> DataFrame:
 
 
 def raw_view(messages: DataFrame) -> DataFrame:
-    """Readable body and properties of each message, for inspection."""
+    """Messages with a readable body, for inspection."""
     return messages.withColumn("body_str", F.col("body").cast("string")).drop("body")
