@@ -19,16 +19,20 @@ def scorer(models: list[ArmModel], policy: Policy):
     """A vectorised function from set slots to one score per arm, in arm order.
 
     All rows are scored with the models as passed in; the weights travel with the function.
+    Null in, null out.
     """
     n_features = policy.n_features
 
     @F.pandas_udf("array<double>")
     def score(buckets: pd.Series) -> pd.Series:
-        parts = []
-        for start in range(0, len(buckets), BLOCK_ROWS):
-            block = network.dense(buckets.iloc[start : start + BLOCK_ROWS].tolist(), n_features)
-            parts.append(np.column_stack([network.probability(m, block) for m in models]))
-        return pd.Series(list(np.vstack(parts)) if parts else [], dtype=object)
+        out = pd.Series([None] * len(buckets), index=buckets.index, dtype=object)
+        wanted = buckets[buckets.notna()]
+        for start in range(0, len(wanted), BLOCK_ROWS):
+            part = wanted.iloc[start : start + BLOCK_ROWS]
+            block = network.dense(part.tolist(), n_features)
+            scores = np.column_stack([network.probability(m, block) for m in models])
+            out.loc[part.index] = pd.Series(list(scores), index=part.index)
+        return out
 
     return score
 

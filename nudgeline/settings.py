@@ -69,13 +69,9 @@ class Policy:
     ttl_batches: int | None = None
     # Batches between two snapshots of the session state.
     snapshot_every: int = 20
-    # "minibatch": one Adam step per arm and batch; "sequential": one per example.
-    training: str = "minibatch"
     # Train on the vector of the deciding batch rather than that of the judged batch.
     train_on_decision_vector: bool = False
 
     def __post_init__(self):
-        if self.training not in ("minibatch", "sequential"):
-            raise ValueError(f"unknown training mode: {self.training}")
         if not 0 < len(self.arms) <= 31:
             raise ValueError("between 1 and 31 arms")
