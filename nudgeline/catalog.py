@@ -5,6 +5,7 @@ Each takes a session and a folder of tables and reads those tables whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,12 +14,16 @@ from pyspark.sql import functions as F
 from .functions import feedback, labels
 from .functions.hashing import bucket
 from .functions.text import has_conversion_intent
+from .models import training, weights
 from .models.scoring import arm_scores, with_scores
 from .models.weights import initial_models
 from .operators import choice, pair_scan, phases, profile, session_batch, tokens
-from .plans import lifecycle, outputs
+from .plans import learned_loop, lifecycle, outputs
+from .schemas import MODEL
+from .session import working_folder
 from .settings import KEYS, N_FEATURES, Policy
 from .sources import messages, replay
+from .streaming import live
 
 POLICY = Policy()
 
@@ -267,6 +272,78 @@ def training_examples(spark, folder):
     return examples.withColumn("buckets", F.array_join("buckets", " "))
 
 
+# --- learning and streaming -----------------------------------------------------------------------
+
+
+def _run_folder(spark, name):
+    return f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def model_update(spark, folder):
+    """Untrained models after one step on all judged suggestions, one row per weight."""
+    examples = outputs.training_examples(_steps(spark, folder))
+    untrained = initial_models(POLICY)
+    learned = training.update(examples, untrained, POLICY) or untrained
+    table = spark.createDataFrame(weights.to_rows(learned, POLICY, 1), MODEL)
+    widths = F.array(*[F.lit(w) for w in weights.layer_widths(POLICY)])
+    n_in, n_out = F.get(widths, F.col("layer")), F.get(widths, F.col("layer") + 1)
+    entries = table.select(
+        "arm_idx", "layer", "step", n_in.alias("n_in"), n_out.alias("n_out"), F.posexplode("weights")
+    )
+    place = F.floor(F.col("pos") / F.col("n_out")).cast("int")
+    return entries.select(
+        "arm_idx",
+        "layer",
+        F.when(place == F.col("n_in"), -1).otherwise(place).alias("i"),
+        (F.col("pos") % F.col("n_out")).alias("j"),
+        F.round("col", 6).alias("weight"),
+        "step",
+    )
+
+
+def model_refit(spark, folder):
+    examples = outputs.training_examples(_steps(spark, folder))
+    path = _run_folder(spark, "examples")
+    # Read by every iteration of every fit, so it is worked out once.
+    examples.write.parquet(path)
+    return training.refit_predictions(spark.read.parquet(path), POLICY)
+
+
+def learned_steps(spark, folder):
+    """The whole loop over all batches: score, decide or judge, learn, next batch."""
+    ledger = learned_loop.replay_batches(
+        spark, _rows(spark, folder), _run_folder(spark, "loop"), replay.batch_seconds, POLICY
+    )
+    return ledger.steps().drop("buckets", "seen", "open_arm")
+
+
+def lifecycle_stream(spark, folder):
+    """The replay as a stream: session-batches arrive in three waves, and the query is stopped
+    and started again in between."""
+    path = _run_folder(spark, "stream")
+    summaries = _summaries(spark, folder)
+    summaries.write.partitionBy("batch_id").parquet(f"{path}/landed")
+    landed = spark.read.schema(summaries.schema).parquet(f"{path}/landed")
+    landed = landed.select(*summaries.columns)
+    days = landed.agg(F.max("batch_id").alias("last")).first()["last"] + 1
+    for wave in range(3):
+        low, high = days * wave // 3, days * (wave + 1) // 3
+        part = landed.where((F.col("batch_id") >= low) & (F.col("batch_id") < high))
+        part.write.mode("append").parquet(f"{path}/arrived")
+        query = live.start(
+            spark,
+            f"{path}/arrived",
+            summaries.schema,
+            f"{path}/steps",
+            f"{path}/checkpoint",
+            initial_models(POLICY),
+            POLICY,
+            trigger={"availableNow": True},
+        )
+        query.awaitTermination()
+    return spark.read.schema(live.STEPS).parquet(f"{path}/steps")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_profile": raw_profile,
@@ -302,4 +379,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "metrics_rows": metrics_rows,
         "batch_summary": batch_summary,
         "training_examples": training_examples,
+        "model_update": model_update,
+        "model_refit": model_refit,
+        "learned_loop": learned_steps,
+        "lifecycle_stream": lifecycle_stream,
     }

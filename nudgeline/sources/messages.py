@@ -51,7 +51,12 @@ def with_arrival(messages: DataFrame) -> DataFrame:
 
 
 def decode(messages: DataFrame) -> DataFrame:
-    """Adds ``body_str`` and the parsed ``wrappers``; unreadable bodies give null."""
+    """Adds ``body_str`` and the parsed ``wrappers``; unreadable bodies give null.
+
+    Messages that are decoded already stay as they are.
+    """
+    if "wrappers" in messages.columns:
+        return messages
     text = F.col("body").cast("string")
     return messages.withColumn("body_str", text).withColumn("wrappers", F.from_json(text, MESSAGE))
 

@@ -292,6 +292,64 @@ SUMMARY = (WEB, SCAN, COUNTS, TOKENS, FEATURES, VECTORS)
 REPLAY = (*SUMMARY, ENGAGEMENT, SCORES, STEP_INPUT, LIFECYCLE)
 BATCH_TIME = "CAST(1704067200 + batch_id * 86400 AS DOUBLE)"
 
+# One Adam step on the mean gradient of all judged suggestions, by back-propagation with joins.
+UPDATE = """
+examples AS MATERIALIZED (
+  SELECT batch_id, session_id, CAST(arm_idx AS BIGINT) AS arm,
+         CAST(CASE WHEN reward > 0 THEN 1 ELSE 0 END AS DOUBLE) AS y
+  FROM steps WHERE kind = 'judge'
+),
+units_1 AS MATERIALIZED (
+  SELECT e.batch_id, e.session_id, h.arm, h.j AS unit, h.h
+  FROM examples e JOIN hidden_1 h USING (batch_id, session_id, arm)
+),
+units_2 AS MATERIALIZED (
+  SELECT e.batch_id, e.session_id, h.arm, h.j AS unit, h.h
+  FROM examples e JOIN hidden_2 h USING (batch_id, session_id, arm)
+),
+delta_3 AS MATERIALIZED (
+  SELECT u.batch_id, u.session_id, u.arm,
+         1 / (1 + exp(-(sum(u.h * w.w) + any_value(b.w)))) - any_value(e.y) AS d
+  FROM units_2 u JOIN weights w ON w.layer = 2 AND w.arm = u.arm AND w.i = u.unit
+  JOIN weights b ON b.layer = 2 AND b.i = -1 AND b.arm = u.arm
+  JOIN examples e ON e.batch_id = u.batch_id AND e.session_id = u.session_id AND e.arm = u.arm
+  GROUP BY u.batch_id, u.session_id, u.arm
+),
+delta_2 AS MATERIALIZED (
+  SELECT u.batch_id, u.session_id, u.arm, u.unit,
+         CASE WHEN u.h > 0 THEN d.d * w.w ELSE 0 END AS d
+  FROM units_2 u JOIN delta_3 d USING (batch_id, session_id, arm)
+  JOIN weights w ON w.layer = 2 AND w.arm = u.arm AND w.i = u.unit
+),
+delta_1 AS MATERIALIZED (
+  SELECT u.batch_id, u.session_id, u.arm, u.unit,
+         CASE WHEN any_value(u.h) > 0 THEN sum(d.d * w.w) ELSE 0 END AS d
+  FROM units_1 u
+  JOIN delta_2 d ON d.batch_id = u.batch_id AND d.session_id = u.session_id AND d.arm = u.arm
+  JOIN weights w ON w.layer = 1 AND w.arm = u.arm AND w.i = u.unit AND w.j = d.unit
+  GROUP BY u.batch_id, u.session_id, u.arm, u.unit
+),
+sums(arm, layer, i, j, g) AS MATERIALIZED (
+  SELECT d.arm, 2, u.unit, 0, sum(u.h * d.d) FROM delta_3 d
+  JOIN units_2 u USING (batch_id, session_id, arm) GROUP BY ALL
+  UNION ALL SELECT arm, 2, -1, 0, sum(d) FROM delta_3 GROUP BY ALL
+  UNION ALL
+  SELECT d.arm, 1, u.unit, d.unit, sum(u.h * d.d) FROM delta_2 d
+  JOIN units_1 u ON u.batch_id = d.batch_id AND u.session_id = d.session_id AND u.arm = d.arm
+  GROUP BY ALL
+  UNION ALL SELECT arm, 1, -1, unit, sum(d) FROM delta_2 GROUP BY ALL
+  UNION ALL
+  SELECT d.arm, 0, s.slot, d.unit, sum(d.d) FROM delta_1 d
+  JOIN slots s ON s.batch_id = d.batch_id AND s.session_id = d.session_id GROUP BY ALL
+  UNION ALL SELECT arm, 0, -1, unit, sum(d) FROM delta_1 GROUP BY ALL
+),
+means AS MATERIALIZED (
+  SELECT w.arm, w.layer, w.i, w.j, w.w,
+         (coalesce(s.g, 0) + CASE WHEN w.i >= 0 THEN 0.0001::DOUBLE * w.w ELSE 0 END) / n.n AS g
+  FROM weights w LEFT JOIN sums s USING (arm, layer, i, j)
+  JOIN (SELECT arm, count(*) AS n FROM examples GROUP BY ALL) n ON n.arm = w.arm
+)"""
+
 SPANS = """
 spans AS MATERIALIZED (
   SELECT session_id, injection_id, min(batch_id) FILTER (WHERE kind = 'suggest') AS made_in,
@@ -454,4 +512,12 @@ def oracle_sql() -> dict[str, str]:
       SELECT batch_id, session_id, arm_idx, array_to_string(buckets, ' ') AS buckets,
              CAST(reward > 0 AS INTEGER) AS label
       FROM steps WHERE kind = 'judge'"""
+    sql["model_update"] = _with(*REPLAY, UPDATE) + """
+      SELECT CAST(arm AS INTEGER) AS arm_idx, layer, CAST(i AS INTEGER) AS i,
+             CAST(j AS INTEGER) AS j,
+             round(w - 0.001::DOUBLE * sqrt(1 - 0.999::DOUBLE) / (1 - 0.9::DOUBLE)
+                       * (1 - 0.9::DOUBLE) * g
+                       / (sqrt((1 - 0.999::DOUBLE) * g * g) + 1e-8::DOUBLE), 6) AS weight,
+             CAST(1 AS BIGINT) AS step
+      FROM means"""
     return sql
