@@ -19,7 +19,6 @@ from .models.scoring import arm_scores, with_scores
 from .models.weights import initial_models
 from .operators import choice, pair_scan, phases, profile, session_batch, tokens
 from .plans import learned_loop, lifecycle, outputs
-from .schemas import MODEL
 from .session import working_folder
 from .settings import KEYS, N_FEATURES, Policy
 from .sources import messages, replay
@@ -284,7 +283,7 @@ def model_update(spark, folder):
     examples = outputs.training_examples(_steps(spark, folder))
     untrained = initial_models(POLICY)
     learned = training.update(examples, untrained, POLICY) or untrained
-    table = spark.createDataFrame(weights.to_rows(learned, POLICY, 1), MODEL)
+    table = weights.to_table(spark, learned, POLICY, 1)
     widths = F.array(*[F.lit(w) for w in weights.layer_widths(POLICY)])
     n_in, n_out = F.get(widths, F.col("layer")), F.get(widths, F.col("layer") + 1)
     entries = table.select(

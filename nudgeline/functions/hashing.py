@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How every suggestion id begins.
+ID_PREFIX = "inj_"
+
 
 def _hex_number(digits: Column) -> Column:
     return F.conv(digits, 16, 10).cast("bigint")
@@ -41,7 +44,7 @@ def bucket_set(features: Column, n_features: int) -> Column:
 def injection_id(session_id: Column, suggestion_no: Column) -> Column:
     """Id of a session's n-th suggestion. A retried batch emits the same id again."""
     digest = F.md5(F.concat(session_id, F.lit(":"), suggestion_no.cast("string")).cast("binary"))
-    return F.concat(F.lit("inj_"), F.substring(digest, 1, 8))
+    return F.concat(F.lit(ID_PREFIX), F.substring(digest, 1, 8))
 
 
 def draw(session_id: Column, batch_id: Column, name: str) -> Column:

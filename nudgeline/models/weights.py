@@ -10,7 +10,10 @@ import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
+from ..schemas import MODEL
 from ..settings import Policy
 
 # Adam constants.
@@ -89,23 +92,29 @@ def fresh_models(policy: Policy) -> list[ArmModel]:
     ]
 
 
-def to_rows(models: list[ArmModel], policy: Policy, version: int) -> list[tuple]:
-    """Rows of ``schemas.MODEL``."""
-    return [
+def to_table(
+    spark: SparkSession, models: list[ArmModel], policy: Policy, version: int
+) -> DataFrame:
+    """Models as a table (``schemas.MODEL``)."""
+    rows = [
         (
             version,
             arm,
             policy.arms[arm],
             model.n_features,
             layer,
-            model.layers[layer].ravel().tolist(),
-            model.m[layer].ravel().tolist(),
-            model.v[layer].ravel().tolist(),
+            model.layers[layer].ravel(),
+            model.m[layer].ravel(),
+            model.v[layer].ravel(),
             model.step,
         )
         for arm, model in enumerate(models)
         for layer in range(len(model.layers))
     ]
+    names = [c.split(" ")[0] for c in MODEL.split(", ")]
+    # An Arrow table reaches the JVM without a Python task.
+    table = pa.table([pa.array(column) for column in zip(*rows)], names=names)
+    return spark.createDataFrame(table, MODEL)
 
 
 def from_rows(rows, policy: Policy) -> list[ArmModel] | None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import ID_PREFIX
 from ..settings import KEYS
 
 
@@ -44,12 +45,13 @@ def split_phases(session_batches: DataFrame, steps: DataFrame) -> DataFrame:
 def direct_hits(rows: DataFrame, steps: DataFrame) -> DataFrame:
     """Events that touched an open suggestion, counted per session-batch and suggestion.
 
-    Ids are counted per session-batch before the join, so a much-clicked id is one row there.
+    Ids are counted per session-batch before the join, so a much-clicked id is one row there;
+    ids of other elements are dropped before that.
     """
-    ids = F.array_distinct(F.filter(F.array("tgt_id", "el_id"), lambda i: i.isNotNull()))
     touched = (
-        rows.select(*KEYS, F.explode(ids).alias("injection_id"))
-        .groupBy(*KEYS, "injection_id")
+        rows.select(*KEYS, F.explode(F.array_distinct(F.array("tgt_id", "el_id"))).alias("id"))
+        .where(F.col("id").startswith(ID_PREFIX))
+        .groupBy(*KEYS, F.col("id").alias("injection_id"))
         .agg(F.count("*").alias("n_hits"))
     )
     spans = open_spans(steps).drop("suggestion_no")

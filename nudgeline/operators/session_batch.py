@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import feedback, labels
-from ..functions.hashing import bucket_set, injection_id
+from ..functions.hashing import ID_PREFIX, bucket_set, injection_id
 from ..settings import (
     KEYS,
     READ_MILLIS,
@@ -54,7 +54,7 @@ def touched_id(n_suggestions: int) -> Column:
         hit = (F.col("tgt_id") == wanted) | (F.col("el_id") == wanted)
         return F.when(hit, F.lit(1 << n)).otherwise(F.lit(0))
 
-    marked = F.col("tgt_id").startswith("inj_") | F.col("el_id").startswith("inj_")
+    marked = F.col("tgt_id").startswith(ID_PREFIX) | F.col("el_id").startswith(ID_PREFIX)
     bits = reduce(lambda a, b: a.bitwiseOR(b), [bit(n) for n in range(n_suggestions)])
     return F.when(marked, bits).otherwise(F.lit(0))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..models import training
 from ..models.scoring import scorer
+from ..models.weights import ArmModel
 from ..operators import choice, session_batch
 from ..settings import Policy
 from . import lifecycle, outputs
@@ -25,7 +26,6 @@ STATE_COLUMNS = (
     "seen",
     "open_arm",
     "suggestion_no",
-    "injection_id",
     "score",
     "is_exploring",
     "pre_velocity",
@@ -43,58 +43,64 @@ class _Prefixed:
         return F.col(self._prefix + name)
 
 
-def step(summaries: DataFrame, state: DataFrame, models, policy: Policy) -> DataFrame:
+def step(
+    summaries: DataFrame, state: DataFrame, models: list[ArmModel], policy: Policy
+) -> DataFrame:
     """The steps that one batch takes: a left join of its sessions with their state.
 
     Both sides have one row per session. Only sessions that get a suggestion are scored.
     """
     past = state.select("session_id", *[F.col(c).alias("past_" + c) for c in STATE_COLUMNS])
-    known = (
-        summaries.join(past, "session_id", "left")
-        .withColumn("past_seen", F.coalesce("past_seen", F.lit(0)))
-        .withColumn("past_open_arm", F.coalesce("past_open_arm", F.lit(lifecycle.NONE_OPEN)))
+    known = summaries.join(past, "session_id", "left").withColumns(
+        {
+            "past_seen": F.coalesce("past_seen", F.lit(0)),
+            "past_open_arm": F.coalesce("past_open_arm", F.lit(lifecycle.NONE_OPEN)),
+        }
     )
     every_arm = (1 << len(policy.arms)) - 1
     decides = (F.col("past_open_arm") == lifecycle.NONE_OPEN) & (F.col("past_seen") != every_arm)
-    scored = known.withColumn(
-        "scores", scorer(models, policy)(F.when(decides, F.col("buckets")))
-    ).withColumns(choice.draws(policy))
-    taken = lifecycle.next_step(
-        _Prefixed(""), _Prefixed("past_"), F.col("session_id"), policy
+    scores = scorer(models, policy)(F.when(decides, F.col("buckets")))
+    scored = known.withColumns({"scores": scores, **choice.draws(policy)})
+    batch, past = _Prefixed(""), _Prefixed("past_")
+    decided = scored.withColumns(
+        {
+            "arm": lifecycle.chosen_arm(batch, past, policy),
+            "reward": lifecycle.earned_reward(batch, past),
+        }
+    ).where(F.col("arm").isNotNull() | F.col("reward").isNotNull())
+    fields = lifecycle.step_fields(
+        batch, past, F.col("arm"), F.col("reward"), F.col("session_id"), policy
     )
-    steps = scored.select("session_id", taken.alias("step")).where(F.col("step").isNotNull())
-    columns = ["batch_id", "session_id"]
-    flat = steps.select("session_id", "step.*")
-    return flat.select(*columns, *[c for c in flat.columns if c not in columns])
-
-
-def run_batch(
-    ledger: Ledger,
-    summaries: DataFrame,
-    batch_id: int,
-    batch_seconds: float,
-    send: Sink | None = None,
-    record: Sink | None = None,
-) -> bool:
-    """Runs one batch of usable session-batches; False when it had been committed before.
-
-    ``send`` gets the suggestion messages and ``record`` the performance rows. An error in
-    either fails the batch before its commit, so it is tried again and nothing is lost.
+    return decided.select("session_id", *[value.alias(name) for name, value in fields.items()])
+
+
+class LearningLoop:
+    """Runs batches of usable session-batches, one after the other.
+
+    ``send`` gets the suggestion messages and ``record`` the performance rows of a batch. An
+    error in either fails the batch before its commit, so it is tried again and nothing is lost.
     """
-    if ledger.is_committed(batch_id):
-        return False
-    policy, models = ledger.policy, ledger.models()
-    steps = ledger.write_steps(
-        step(summaries, ledger.state(batch_id), models, policy), batch_id
-    )
-    when = F.lit(float(batch_seconds))
-    if send:
-        send(outputs.suggestion_messages(outputs.suggestions(steps, when, policy)), batch_id)
-    if record:
-        record(outputs.metrics(steps, when, policy), batch_id)
-    learned = training.update(outputs.training_examples(steps), models, policy)
-    ledger.commit(batch_id, learned)
-    return True
+
+    def __init__(self, ledger: Ledger, send: Sink | None = None, record: Sink | None = None):
+        self.ledger, self.send, self.record = ledger, send, record
+
+    def run(self, summaries: DataFrame, batch_id: int, batch_seconds: float) -> bool:
+        """Runs one batch; False when it had been committed before."""
+        ledger = self.ledger
+        if ledger.is_committed(batch_id):
+            return False
+        policy, models = ledger.policy, ledger.models()
+        taken = step(summaries, ledger.state(batch_id), models, policy)
+        steps = ledger.write_steps(taken, batch_id)
+        when = F.lit(float(batch_seconds))
+        if self.send:
+            suggested = outputs.suggestions(steps, when, policy)
+            self.send(outputs.suggestion_messages(suggested), batch_id)
+        if self.record:
+            self.record(outputs.metrics(steps, when, policy), batch_id)
+        learned = training.update(outputs.training_examples(steps), models, policy)
+        ledger.commit(batch_id, learned)
+        return True
 
 
 def file_sink(folder: str, fmt: str = "parquet") -> Sink:
@@ -144,13 +150,10 @@ def replay_batches(
     landed = landed.select(*summaries.columns)
     batch_ids = sorted(r["batch_id"] for r in landed.select("batch_id").distinct().collect())
     ledger = Ledger(spark, f"{folder}/ledger", policy)
+    loop = LearningLoop(
+        ledger, file_sink(f"{folder}/suggestions", "json"), file_sink(f"{folder}/metrics")
+    )
     for batch_id in batch_ids:
-        run_batch(
-            ledger,
-            landed.where(F.col("batch_id") == batch_id),
-            batch_id,
-            batch_seconds(batch_id),
-            send=file_sink(f"{folder}/suggestions", "json"),
-            record=file_sink(f"{folder}/metrics"),
-        )
+        batch = landed.where(F.col("batch_id") == batch_id)
+        loop.run(batch, batch_id, batch_seconds(batch_id))
     return ledger

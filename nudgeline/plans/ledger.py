@@ -77,8 +77,7 @@ class Ledger:
             raise
 
     def write_models(self, models: list[ArmModel], version: int) -> None:
-        rows = weights.to_rows(models, self.policy, version)
-        table = self.spark.createDataFrame(rows, MODEL).coalesce(1)
+        table = weights.to_table(self.spark, models, self.policy, version).coalesce(1)
         table.write.mode("overwrite").parquet(self._path("models", "version", version))
 
     # --- step log and state ---
@@ -142,15 +141,12 @@ class Ledger:
             state = self.state(batch_id + 1)
             state.write.mode("overwrite").parquet(self._path("snapshots", "version", batch_id))
             snapshot, upto, tail = batch_id, batch_id, []
-        row = self.spark.createDataFrame([(batch_id, version, snapshot, upto)], COMMIT)
-        path = self._path("commits", "batch_id", batch_id)
-        row.drop("batch_id").coalesce(1).write.mode("overwrite").parquet(path)
-        self.newest = {
-            "batch_id": batch_id,
-            "model_version": version,
-            "snapshot": snapshot,
-            "snapshot_upto": upto,
-        }
+        entry = {"model_version": version, "snapshot": snapshot, "snapshot_upto": upto}
+        row = self.spark.range(1).select(
+            *[F.lit(value).cast("bigint").alias(name) for name, value in entry.items()]
+        )
+        row.write.mode("overwrite").parquet(self._path("commits", "batch_id", batch_id))
+        self.newest = {"batch_id": batch_id, **entry}
         self.tail = tail
         if models is not None:
             self._models = models

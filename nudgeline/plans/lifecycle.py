@@ -30,80 +30,61 @@ _STEP = (
     "open_arm: INT>"
 )
 _STATE = (
-    "STRUCT<seen: INT, open_arm: INT, suggestion_no: INT, injection_id: STRING, score: DOUBLE, "
+    "STRUCT<seen: INT, open_arm: INT, suggestion_no: INT, score: DOUBLE, "
     f"is_exploring: BOOLEAN, pre_velocity: DOUBLE, buckets: ARRAY<INT>, steps: ARRAY<{_STEP}>>"
 )
 
 
-def suggest(batch, state, session_id: Column, policy: Policy) -> Column:
-    """The step that suggests an arm; its ``arm_idx`` is null when none is left."""
+def chosen_arm(batch, state, policy: Policy) -> Column:
+    """The arm to suggest; null while a suggestion is open and when no arm is left."""
     arm = choice.choose(batch.scores, state.seen, batch.explores, batch.pick, policy)
-    number = F.bit_count(state.seen)
-    return F.struct(
-        batch.batch_id.alias("batch_id"),
-        F.lit("suggest").alias("kind"),
-        arm.alias("arm_idx"),
-        number.alias("suggestion_no"),
-        injection_id(session_id, number).alias("injection_id"),
-        F.get(batch.scores, arm).alias("score"),
-        batch.explores.alias("is_exploring"),
-        batch.velocity.alias("pre_velocity"),
-        batch.velocity.alias("velocity"),
-        F.lit(None).cast("double").alias("reward"),
-        batch.device.alias("device"),
-        batch.buckets.alias("buckets"),
-        state.seen.bitwiseOR(choice.arm_bit(arm, policy)).alias("seen"),
-        arm.alias("open_arm"),
-    ).cast(_STEP)
-
-
-def judge(batch, state, policy: Policy) -> Column:
-    """The step that judges the open suggestion; its ``reward`` is null when it stays open."""
-    hit = F.getbit(batch.hit_mask, F.greatest(state.suggestion_no, F.lit(0))) == 1
-    verdict = feedback.outcome(batch.n_items, hit, batch.has_exit)
-    learned_from = state.buckets if policy.train_on_decision_vector else batch.buckets
-    return F.struct(
-        batch.batch_id.alias("batch_id"),
-        F.lit("judge").alias("kind"),
-        state.open_arm.alias("arm_idx"),
-        state.suggestion_no.alias("suggestion_no"),
-        state.injection_id.alias("injection_id"),
-        state.score.alias("score"),
-        state.is_exploring.alias("is_exploring"),
-        state.pre_velocity.alias("pre_velocity"),
-        batch.velocity.alias("velocity"),
-        feedback.reward(verdict, batch.velocity, state.pre_velocity).alias("reward"),
-        batch.device.alias("device"),
-        learned_from.alias("buckets"),
-        state.seen.alias("seen"),
-        F.lit(NONE_OPEN).alias("open_arm"),
-    ).cast(_STEP)
-
+    return F.when(state.open_arm == NONE_OPEN, arm)
 
-def next_step(batch, state, session_id: Column, policy: Policy) -> Column:
-    """Suggest or judge; null when the batch changes nothing."""
-    suggested = suggest(batch, state, session_id, policy)
-    judged = judge(batch, state, policy)
-    decided = F.when(suggested["arm_idx"].isNotNull(), suggested)
-    return F.when(state.open_arm == NONE_OPEN, decided).otherwise(
-        F.when(judged["reward"].isNotNull(), judged)
-    )
 
-
-def _advance(state, step: Column) -> Column:
-    """The state after a step; unchanged without one."""
-    after = F.struct(
-        step["seen"].alias("seen"),
-        step["open_arm"].alias("open_arm"),
-        step["suggestion_no"].alias("suggestion_no"),
-        step["injection_id"].alias("injection_id"),
-        step["score"].alias("score"),
-        step["is_exploring"].alias("is_exploring"),
-        step["pre_velocity"].alias("pre_velocity"),
-        step["buckets"].alias("buckets"),
-        F.array_append(state.steps, step).alias("steps"),
-    ).cast(_STATE)
-    return F.when(step.isNull(), state).otherwise(after)
+def earned_reward(batch, state) -> Column:
+    """The reward of the open suggestion; null without one and while it stays open."""
+    hit = F.getbit(batch.hit_mask, F.greatest(state.suggestion_no, F.lit(0))) == 1
+    verdict = feedback.outcome(batch.n_items, hit, batch.has_exit)
+    earned = feedback.reward(verdict, batch.velocity, state.pre_velocity)
+    return F.when(state.open_arm != NONE_OPEN, earned)
+
+
+def step_fields(
+    batch, state, arm: Column, reward: Column, session_id: Column, policy: Policy
+) -> dict[str, Column]:
+    """The step that suggests ``arm`` or, without one, judges with ``reward``."""
+    suggests = arm.isNotNull()
+
+    def either(if_suggested: Column, if_judged: Column) -> Column:
+        return F.when(suggests, if_suggested).otherwise(if_judged)
+
+    number = either(F.bit_count(state.seen), state.suggestion_no)
+    learned_from = batch.buckets
+    if policy.train_on_decision_vector:
+        learned_from = either(batch.buckets, state.buckets)
+    return {
+        "batch_id": batch.batch_id,
+        "kind": either(F.lit("suggest"), F.lit("judge")),
+        "arm_idx": F.coalesce(arm, state.open_arm),
+        "suggestion_no": number,
+        "injection_id": injection_id(session_id, number),
+        "score": either(F.get(batch.scores, arm), state.score),
+        "is_exploring": either(batch.explores, state.is_exploring),
+        "pre_velocity": either(batch.velocity, state.pre_velocity),
+        "velocity": batch.velocity,
+        "reward": reward,
+        "device": batch.device,
+        "buckets": learned_from,
+        "seen": state.seen.bitwiseOR(choice.arm_bit(arm, policy)),
+        "open_arm": F.coalesce(arm, F.lit(NONE_OPEN)),
+    }
+
+
+def _after(state, step: Column) -> Column:
+    """The state after a step."""
+    kept = ("seen", "open_arm", "suggestion_no", "score", "is_exploring", "pre_velocity", "buckets")
+    steps = F.array_append(state.steps, step).alias("steps")
+    return F.struct(*[step[name].alias(name) for name in kept], steps).cast(_STATE)
 
 
 def _empty_state() -> Column:
@@ -114,7 +95,6 @@ def _empty_state() -> Column:
         F.lit(0).alias("seen"),
         F.lit(NONE_OPEN).alias("open_arm"),
         none("int").alias("suggestion_no"),
-        none("string").alias("injection_id"),
         none("double").alias("score"),
         none("boolean").alias("is_exploring"),
         none("double").alias("pre_velocity"),
@@ -147,9 +127,17 @@ def replay(summaries: DataFrame, models: list[ArmModel], policy: Policy = Policy
     sid = F.col("session_id")
 
     def merge(state, batch):
-        # Binding the step to a one-element array evaluates it once per batch.
-        bound = F.array(next_step(batch, state, sid, policy))
-        return F.get(F.transform(bound, lambda step: _advance(state, step)), F.lit(0))
+        arm = chosen_arm(batch, state, policy).alias("arm")
+        reward = earned_reward(batch, state).alias("reward")
+
+        def follow(decided):
+            fields = step_fields(batch, state, decided["arm"], decided["reward"], sid, policy)
+            step = F.struct(*[value.alias(name) for name, value in fields.items()]).cast(_STEP)
+            nothing = decided["arm"].isNull() & decided["reward"].isNull()
+            return F.when(nothing, state).otherwise(_after(state, step))
+
+        # Binding the decision to a one-element array evaluates it once per batch.
+        return F.get(F.transform(F.array(F.struct(arm, reward)), follow), F.lit(0))
 
     steps = F.aggregate("batches", _empty_state(), merge, lambda state: state.steps)
     taken = history.select("session_id", F.explode(steps).alias("step"))

@@ -63,9 +63,10 @@ def decode(messages: DataFrame) -> DataFrame:
 
 def payloads(messages: DataFrame) -> DataFrame:
     """One row per payload; unreadable and empty messages vanish."""
-    parsed = decode(messages).select("batch_id", "arrival", F.posexplode("wrappers"))
     payload = F.col("col.payload")
-    return parsed.select(
+    parsed = decode(messages).select("batch_id", "arrival", F.posexplode_outer("wrappers"))
+    # For a plain posexplode the optimizer adds a filter that parses each body two more times.
+    return parsed.where(F.col("pos").isNotNull()).select(
         "batch_id",
         "arrival",
         F.col("pos").alias("payload_no"),
@@ -91,7 +92,9 @@ def behaviour(messages: DataFrame) -> DataFrame:
     events of a message. A payload without events keeps one row: its session is still there.
     """
     items = F.flatten(F.transform("wrappers", _payload_items))
-    rows = decode(messages).select("batch_id", "arrival", F.posexplode(items).alias("pos", "item"))
+    rows = decode(messages).select(
+        "batch_id", "arrival", F.posexplode_outer(items).alias("pos", "item")
+    )
     position = F.col("pos")
     order = F.when(
         position < ITEMS_PER_MESSAGE, F.col("arrival") * ITEMS_PER_MESSAGE + position
@@ -114,7 +117,7 @@ def behaviour(messages: DataFrame) -> DataFrame:
         event.data.element.id.alias("el_id"),
         event.data.target.id.alias("tgt_id"),
         F.col("item.shown_component").alias("shown_component"),
-    ).where(has_key())
+    ).where(has_key())  # also drops the empty row of a message without payloads
 
 
 def _payload_items(wrapper: Column) -> Column:

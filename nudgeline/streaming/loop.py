@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import session_batch
-from ..plans import learned_loop
-from ..plans.learned_loop import Sink, file_sink
+from ..plans.learned_loop import LearningLoop, Sink, file_sink
 from ..plans.ledger import Ledger
 from ..settings import Policy
 from ..sources import messages
@@ -50,6 +49,7 @@ def start(
     record = record or file_sink(f"{folder}/metrics")
     put_aside = file_sink(f"{folder}/quarantine")
     ledger = Ledger(stream.sparkSession, f"{folder}/ledger", policy)
+    loop = LearningLoop(ledger, send, record)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if ledger.is_committed(batch_id):
@@ -60,7 +60,7 @@ def start(
             put_aside(_quarantine(decoded), batch_id)
             rows = messages.behaviour(decoded)
             summaries = session_batch.usable(session_batch.summarize(rows, policy))
-            learned_loop.run_batch(ledger, summaries, batch_id, seconds, send, record)
+            loop.run(summaries, batch_id, seconds)
         finally:
             decoded.unpersist()
 
