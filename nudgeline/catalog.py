@@ -217,7 +217,8 @@ def choose_arm(spark, folder):
     """A choice for every session-batch, with the arms it reports as shown taken as seen."""
     scored = with_scores(_summaries(spark, folder), initial_models(POLICY), POLICY)
     masks = choice.shown_mask(_rows(spark, folder), POLICY)
-    ready = scored.join(masks, list(KEYS)).withColumns(choice.draws(POLICY))
+    drawn = choice.draws(POLICY, F.col("session_id"), F.col("batch_id"))
+    ready = scored.join(masks, list(KEYS)).withColumns(drawn)
     arm = choice.choose(F.col("scores"), F.col("seen"), F.col("explores"), F.col("pick"), POLICY)
     chosen = ready.withColumn("arm_idx", arm)
     return chosen.select(

@@ -37,6 +37,24 @@ def scorer(models: list[ArmModel], policy: Policy):
     return score
 
 
+def list_scorer(models: list[ArmModel], policy: Policy):
+    """The same for an array of such vectors per row: one array of scores for each of them."""
+    n_features = policy.n_features
+
+    @F.pandas_udf("array<array<double>>")
+    def score(vectors: pd.Series) -> pd.Series:
+        sizes = vectors.map(len).to_numpy()
+        flat = [vector for row in vectors for vector in row]
+        parts = [np.empty((0, len(models)))]
+        for start in range(0, len(flat), BLOCK_ROWS):
+            block = network.dense(flat[start : start + BLOCK_ROWS], n_features)
+            parts.append(np.column_stack([network.probability(m, block) for m in models]))
+        split = np.split(np.vstack(parts), np.cumsum(sizes)[:-1])
+        return pd.Series([list(scores) for scores in split][: len(vectors)], index=vectors.index)
+
+    return score
+
+
 def with_scores(summaries: DataFrame, models: list[ArmModel], policy: Policy) -> DataFrame:
     return summaries.withColumn("scores", scorer(models, policy)(F.col("buckets")))
 

@@ -44,12 +44,12 @@ def best_arm(candidates: Column, scores: Column) -> Column:
     return -F.array_max(ranked)["back"]
 
 
-def draws(policy: Policy) -> dict[str, Column]:
+def draws(policy: Policy, session_id: Column, batch_id: Column) -> dict[str, Column]:
     """Whether to explore, and the number that picks the arm then."""
-    sid, batch = F.col("session_id"), F.col("batch_id")
+    limit = int(round(policy.epsilon * DRAW_RANGE))
     return {
-        "explores": draw(sid, batch, "u1") % DRAW_RANGE < int(round(policy.epsilon * DRAW_RANGE)),
-        "pick": draw(sid, batch, "u2"),
+        "explores": draw(session_id, batch_id, "u1") % DRAW_RANGE < limit,
+        "pick": draw(session_id, batch_id, "u2"),
     }
 
 

@@ -60,7 +60,7 @@ def step(
     every_arm = (1 << len(policy.arms)) - 1
     decides = (F.col("past_open_arm") == lifecycle.NONE_OPEN) & (F.col("past_seen") != every_arm)
     scores = scorer(models, policy)(F.when(decides, F.col("buckets")))
-    scored = known.withColumns({"scores": scores, **choice.draws(policy)})
+    scored = known.withColumns({"scores": scores, **choice.draws(policy, F.col("session_id"), F.col("batch_id"))})
     batch, past = _Prefixed(""), _Prefixed("past_")
     decided = scored.withColumns(
         {

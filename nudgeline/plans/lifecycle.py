@@ -1,10 +1,12 @@
 """The session state machine as a bounded replay.
 
 A session without an open suggestion gets one, as long as an arm is left; a session with an open
-suggestion is judged. Both never happen in the same batch. With fixed models the scores do not
-depend on the course of events, so the whole history of a session is one fold over its
-session-batches: one shuffle by session, of rows that are already one per session and batch.
-A fold reads at most one small row per batch, however many events the session has.
+suggestion is judged. Both never happen in the same batch.
+
+When a session is decided and judged does not depend on which arm it gets. So one fold over a
+session's batches first marks the few that matter, at most two per arm; with fixed models only
+those are scored, and the arms follow from the scores. That takes one shuffle by session, of rows
+that are already one per session and batch, however many events a session has.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import feedback
 from ..functions.hashing import injection_id
-from ..models.scoring import with_scores
+from ..models.scoring import list_scorer
 from ..models.weights import ArmModel
 from ..operators import choice
 from ..schemas import STEP_LOG
@@ -22,17 +24,17 @@ from ..settings import Policy
 
 NONE_OPEN = -1
 
-# State of the fold: arms seen so far, the open suggestion, and the steps taken.
-_STEP = (
-    "STRUCT<batch_id: BIGINT, kind: STRING, arm_idx: INT, suggestion_no: INT, "
-    "injection_id: STRING, score: DOUBLE, is_exploring: BOOLEAN, pre_velocity: DOUBLE, "
-    "velocity: DOUBLE, reward: DOUBLE, device: STRING, buckets: ARRAY<INT>, seen: INT, "
-    "open_arm: INT>"
-)
-_STATE = (
-    "STRUCT<seen: INT, open_arm: INT, suggestion_no: INT, score: DOUBLE, "
-    f"is_exploring: BOOLEAN, pre_velocity: DOUBLE, buckets: ARRAY<INT>, steps: ARRAY<{_STEP}>>"
+# What the fold reads of a session-batch; sorted by batch.
+FOLD_INPUT = ("batch_id", "velocity", "has_exit", "hit_mask", "n_items", "device", "buckets")
+
+# A batch that matters: it makes suggestion n, or judges it (then with a reward).
+_MARK = (
+    "STRUCT<batch_id: BIGINT, suggestion_no: INT, pre_velocity: DOUBLE, velocity: DOUBLE, "
+    "reward: DOUBLE, device: STRING, buckets: ARRAY<INT>>"
 )
+_COURSE = f"STRUCT<made: INT, is_open: BOOLEAN, pre_velocity: DOUBLE, marks: ARRAY<{_MARK}>>"
+_PICK = "STRUCT<arm_idx: INT, score: DOUBLE, is_exploring: BOOLEAN, seen: INT>"
+_PICKS = f"STRUCT<seen: INT, picks: ARRAY<{_PICK}>>"
 
 
 def chosen_arm(batch, state, policy: Policy) -> Column:
@@ -43,12 +45,16 @@ def chosen_arm(batch, state, policy: Policy) -> Column:
 
 def earned_reward(batch, state) -> Column:
     """The reward of the open suggestion; null without one and while it stays open."""
-    hit = F.getbit(batch.hit_mask, F.greatest(state.suggestion_no, F.lit(0))) == 1
-    verdict = feedback.outcome(batch.n_items, hit, batch.has_exit)
-    earned = feedback.reward(verdict, batch.velocity, state.pre_velocity)
+    earned = _reward(batch, state.suggestion_no, state.pre_velocity)
     return F.when(state.open_arm != NONE_OPEN, earned)
 
 
+def _reward(batch, suggestion_no: Column, velocity_before: Column) -> Column:
+    hit = F.getbit(batch.hit_mask, F.greatest(suggestion_no, F.lit(0))) == 1
+    verdict = feedback.outcome(batch.n_items, hit, batch.has_exit)
+    return feedback.reward(verdict, batch.velocity, velocity_before)
+
+
 def step_fields(
     batch, state, arm: Column, reward: Column, session_id: Column, policy: Policy
 ) -> dict[str, Column]:
@@ -80,66 +86,121 @@ def step_fields(
     }
 
 
-def _after(state, step: Column) -> Column:
-    """The state after a step."""
-    kept = ("seen", "open_arm", "suggestion_no", "score", "is_exploring", "pre_velocity", "buckets")
-    steps = F.array_append(state.steps, step).alias("steps")
-    return F.struct(*[step[name].alias(name) for name in kept], steps).cast(_STATE)
-
-
-def _empty_state() -> Column:
-    def none(kind):
-        return F.lit(None).cast(kind)
-
-    return F.struct(
-        F.lit(0).alias("seen"),
-        F.lit(NONE_OPEN).alias("open_arm"),
-        none("int").alias("suggestion_no"),
-        none("double").alias("score"),
-        none("boolean").alias("is_exploring"),
-        none("double").alias("pre_velocity"),
-        none("array<int>").alias("buckets"),
-        F.array().cast(f"array<{_STEP}>").alias("steps"),
-    ).cast(_STATE)
-
-
-# What the state machine reads of a session-batch.
-STEP_INPUT = (
-    "batch_id",
-    "scores",
-    "velocity",
-    "has_exit",
-    "hit_mask",
-    "n_items",
-    "device",
-    "buckets",
-    "explores",
-    "pick",
-)
+def _none(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _marks(policy: Policy) -> Column:
+    """The batches of a session that make or judge a suggestion, in order."""
+
+    def mark(batch, number, before, reward):
+        return F.struct(
+            batch.batch_id,
+            number.alias("suggestion_no"),
+            before.alias("pre_velocity"),
+            batch.velocity,
+            reward.alias("reward"),
+            batch.device,
+            batch.buckets,
+        ).cast(_MARK)
+
+    def course(made, is_open, before, marks):
+        return F.struct(
+            made.alias("made"),
+            is_open.alias("is_open"),
+            before.alias("pre_velocity"),
+            marks.alias("marks"),
+        ).cast(_COURSE)
+
+    def merge(so_far, batch):
+        current = so_far.made - 1
+        reward = _reward(batch, current, so_far.pre_velocity)
+        suggested = course(
+            so_far.made + 1,
+            F.lit(True),
+            batch.velocity,
+            F.array_append(
+                so_far.marks, mark(batch, so_far.made, batch.velocity, _none("double"))
+            ),
+        )
+        judged = course(
+            so_far.made,
+            F.lit(False),
+            so_far.pre_velocity,
+            F.array_append(so_far.marks, mark(batch, current, so_far.pre_velocity, reward)),
+        )
+        return (
+            F.when(so_far.is_open & reward.isNotNull(), judged)
+            .when(~so_far.is_open & (so_far.made < len(policy.arms)), suggested)
+            .otherwise(so_far)
+        )
+
+    start = course(F.lit(0), F.lit(False), _none("double"), F.array().cast(f"array<{_MARK}>"))
+    return F.aggregate("batches", start, merge, lambda end: end.marks)
+
+
+def _picks(decisions: Column, scores: Column, policy: Policy) -> Column:
+    """The arm of each suggestion of a session, given the scores of each."""
+    sid = F.col("session_id")
 
+    def merge(so_far, at):
+        scored = F.get(scores, at)
+        drawn = choice.draws(policy, sid, F.get(decisions, at).batch_id)
+        arm = choice.choose(scored, so_far.seen, drawn["explores"], drawn["pick"], policy)
 
-def replay(summaries: DataFrame, models: list[ArmModel], policy: Policy = Policy()) -> DataFrame:
-    """The step log (``schemas.STEP_LOG``) of usable session-batches under fixed models."""
-    scored = with_scores(summaries, models, policy).withColumns(choice.draws(policy))
-    history = scored.groupBy("session_id").agg(
-        F.sort_array(F.collect_list(F.struct(*STEP_INPUT))).alias("batches")
-    )
-    sid = F.col("session_id")
+        def add(chosen):
+            seen = so_far.seen.bitwiseOR(choice.arm_bit(chosen, policy))
+            pick = F.struct(
+                chosen.alias("arm_idx"),
+                F.get(scored, chosen).alias("score"),
+                drawn["explores"].alias("is_exploring"),
+                seen.alias("seen"),
+            ).cast(_PICK)
+            picks = F.array_append(so_far.picks, pick)
+            return F.struct(seen.alias("seen"), picks.alias("picks")).cast(_PICKS)
 
-    def merge(state, batch):
-        arm = chosen_arm(batch, state, policy).alias("arm")
-        reward = earned_reward(batch, state).alias("reward")
+        # Binding the arm to a one-element array evaluates it once.
+        return F.get(F.transform(F.array(arm), add), F.lit(0))
 
-        def follow(decided):
-            fields = step_fields(batch, state, decided["arm"], decided["reward"], sid, policy)
-            step = F.struct(*[value.alias(name) for name, value in fields.items()]).cast(_STEP)
-            nothing = decided["arm"].isNull() & decided["reward"].isNull()
-            return F.when(nothing, state).otherwise(_after(state, step))
+    places = F.transform(decisions, lambda _, at: at)
+    start = F.struct(
+        F.lit(0).alias("seen"), F.array().cast(f"array<{_PICK}>").alias("picks")
+    ).cast(_PICKS)
+    return F.aggregate(places, start, merge, lambda end: end.picks)
 
-        # Binding the decision to a one-element array evaluates it once per batch.
-        return F.get(F.transform(F.array(F.struct(arm, reward)), follow), F.lit(0))
 
-    steps = F.aggregate("batches", _empty_state(), merge, lambda state: state.steps)
-    taken = history.select("session_id", F.explode(steps).alias("step"))
-    columns = [c.split(" ")[0] for c in STEP_LOG.split(", ")]
-    return taken.select("session_id", "step.*").select(*columns)
+def replay(summaries: DataFrame, models: list[ArmModel], policy: Policy = Policy()) -> DataFrame:
+    """The step log (``schemas.STEP_LOG``) of usable session-batches under fixed models."""
+    history = summaries.groupBy("session_id").agg(
+        F.sort_array(F.collect_list(F.struct(*FOLD_INPUT))).alias("batches")
+    )
+    marked = history.select("session_id", _marks(policy).alias("marks")).withColumn(
+        "decisions", F.filter("marks", lambda m: m.reward.isNull())
+    )
+    vectors = F.transform("decisions", lambda d: d.buckets)
+    picked = marked.withColumn("scores", list_scorer(models, policy)(vectors)).withColumn(
+        "picks", _picks(F.col("decisions"), F.col("scores"), policy)
+    )
+    steps = picked.select(
+        "session_id", "decisions", "picks", F.explode("marks").alias("mark")
+    ).select(
+        "session_id",
+        "mark.*",
+        F.get("picks", F.col("mark.suggestion_no")).alias("pick"),
+        F.get("decisions", F.col("mark.suggestion_no")).buckets.alias("decided_on"),
+    )
+    suggests = F.col("reward").isNull()
+    arm = F.col("pick.arm_idx")
+    learned_from = F.col("decided_on" if policy.train_on_decision_vector else "buckets")
+    fields = {
+        **{name: F.col(name) for name in [c.split(" ")[0] for c in STEP_LOG.split(", ")]},
+        "kind": F.when(suggests, "suggest").otherwise("judge"),
+        "arm_idx": arm,
+        "injection_id": injection_id(F.col("session_id"), F.col("suggestion_no")),
+        "score": F.col("pick.score"),
+        "is_exploring": F.col("pick.is_exploring"),
+        "buckets": learned_from,
+        "seen": F.col("pick.seen"),
+        "open_arm": F.when(suggests, arm).otherwise(F.lit(NONE_OPEN)),
+    }
+    return steps.select(*[value.alias(name) for name, value in fields.items()])

@@ -111,7 +111,7 @@ def steps(
     ids = F.array(*[injection_id(sid, F.lit(n)) for n in range(len(policy.arms))])
     ready = (
         with_scores(summaries, models, policy)
-        .withColumns(choice.draws(policy))
+        .withColumns(choice.draws(policy, sid, F.col("batch_id")))
         .withColumn("suggestion_ids", ids)
         .drop("buckets", "features")
     )
