@@ -47,7 +47,7 @@ class Ledger:
         try:
             commits = self.spark.read.schema(COMMIT).parquet(f"{self.folder}/commits")
             # One small row per batch.
-            return commits.orderBy("batch_id").collect()
+            return [r.asDict() for r in commits.orderBy("batch_id").collect()]
         except AnalysisException as error:
             if _is_missing(error):
                 return []
