@@ -140,6 +140,9 @@ def start(
     """
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Expired values are not returned, and are removed along with the next data; without this a
+    # query that is to stop when all is read would run empty batches for ever.
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     stream = own.readStream.schema(schema).parquet(summaries)
     out = steps(stream, models, policy, ttl_ms)
     writer = out.writeStream.format("parquet").option("checkpointLocation", checkpoint)

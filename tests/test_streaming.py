@@ -1,6 +1,7 @@
 """Streams: the same results as the bounded replay, across restarts."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,7 +34,10 @@ def inbox(spark, rows, tmp_path_factory):
         own = [bytes(r["body"]).decode() for r in sent if r["batch_id"] == batch_id]
         if batch_id == 1:
             own.insert(0, "not json")
-        (folder / f"{batch_id}.txt").write_text("\n".join(own))
+        path = folder / f"{batch_id}.txt"
+        path.write_text("\n".join(own))
+        # Files are taken in the order of their time stamps.
+        os.utime(path, (1_700_000_000 + batch_id, 1_700_000_000 + batch_id))
     return str(folder)
 
 
