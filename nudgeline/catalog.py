@@ -80,10 +80,7 @@ def session_key(spark, folder):
 
 
 def quarantine(spark, folder):
-    sent = replay.as_messages(_rows(spark, folder), damaged=True)
-    return messages.unreadable(sent).unionByName(
-        session_batch.without_timestamp(messages.behaviour(sent))
-    )
+    return messages.quarantine(replay.as_messages(_rows(spark, folder), damaged=True))
 
 
 # --- session-batches and features ---------------------------------------------------------------

@@ -188,12 +188,3 @@ def usable(summaries: DataFrame) -> DataFrame:
     """Session-batches that may be decided or judged; the others go to quarantine."""
     return summaries.where(~F.col("lacks_timestamp"))
 
-
-def without_timestamp(rows: DataFrame) -> DataFrame:
-    """Quarantine rows for session-batches that hold an event without a timestamp."""
-    return (
-        rows.where(F.col("is_event") & F.col("ts_ms").isNull())
-        .groupBy(*KEYS)
-        .agg(F.lit("event without timestamp").alias("reason"))
-        .withColumn("body", F.lit(None).cast("string"))
-    )

@@ -85,23 +85,30 @@ def has_key() -> Column:
     return F.col("session_id").isNotNull() & (F.col("session_id") != "")
 
 
-def behaviour(messages: DataFrame) -> DataFrame:
-    """Behaviour rows of raw messages, without those that have no session key.
+def _items(messages: DataFrame) -> DataFrame:
+    """One row per item of each message; one empty row for messages without any.
 
     Payloads are flattened before they are numbered, so that one running position orders all
     events of a message. A payload without events keeps one row: its session is still there.
     """
     items = F.flatten(F.transform("wrappers", _payload_items))
-    rows = decode(messages).select(
-        "batch_id", "arrival", F.posexplode_outer(items).alias("pos", "item")
+    return decode(messages).select(
+        F.col("batch_id").cast("bigint").alias("batch_id"),
+        "arrival",
+        F.when(F.col("wrappers").isNull(), F.struct("body_str")).alias("unreadable"),
+        F.posexplode_outer(items).alias("pos", "item"),
     )
+
+
+def behaviour(messages: DataFrame) -> DataFrame:
+    """Behaviour rows of raw messages, without those that have no session key."""
     position = F.col("pos")
     order = F.when(
         position < ITEMS_PER_MESSAGE, F.col("arrival") * ITEMS_PER_MESSAGE + position
     ).otherwise(F.raise_error(F.lit("message with too many events")).cast("bigint"))
     event = F.col("item.event")
-    return rows.select(
-        F.col("batch_id").cast("bigint").alias("batch_id"),
+    return _items(messages).select(
+        "batch_id",
         F.col("item.session_id").alias("session_id"),
         order.alias("ord"),
         F.col("item.is_item").alias("is_item"),
@@ -117,7 +124,27 @@ def behaviour(messages: DataFrame) -> DataFrame:
         event.data.element.id.alias("el_id"),
         event.data.target.id.alias("tgt_id"),
         F.col("item.shown_component").alias("shown_component"),
-    ).where(has_key())  # also drops the empty row of a message without payloads
+    ).where(has_key())  # also drops the empty rows of messages without items
+
+
+def quarantine(messages: DataFrame) -> DataFrame:
+    """What cannot be used: each unreadable message, and each session-batch that holds an event
+    without a timestamp. One pass over the messages."""
+    unreadable = F.col("unreadable").isNotNull()
+    untimed = F.col("item.event").isNotNull() & F.col("item.event.timestamp").isNull()
+    faults = _items(messages).select(
+        "batch_id",
+        F.when(~unreadable, F.col("item.session_id")).alias("session_id"),
+        F.when(unreadable, "unreadable body")
+        .when(untimed, "event without timestamp")
+        .alias("reason"),
+        F.col("unreadable.body_str").alias("body"),
+        F.when(unreadable, F.col("arrival")).alias("arrival"),
+    )
+    # Events without a session key are of no use either way. The arrival number keeps unreadable
+    # messages of the same content apart.
+    kept = faults.where(F.col("reason").isNotNull() & (F.col("arrival").isNotNull() | has_key()))
+    return kept.distinct().drop("arrival")
 
 
 def _payload_items(wrapper: Column) -> Column:
@@ -138,20 +165,6 @@ def _payload_items(wrapper: Column) -> Column:
     )
 
 
-def unreadable(messages: DataFrame) -> DataFrame:
-    """Messages whose body is not JSON of the declared shape."""
-    return (
-        decode(messages)
-        .where(F.col("wrappers").isNull())
-        .select(
-            F.col("batch_id").cast("bigint").alias("batch_id"),
-            F.lit(None).cast("string").alias("session_id"),
-            F.lit("unreadable body").alias("reason"),
-            F.col("body_str").alias("body"),
-        )
-    )
-
-
 def raw_view(messages: DataFrame) -> DataFrame:
     """Messages with a readable body, for inspection."""
     return messages.withColumn("body_str", F.col("body").cast("string")).drop("body")

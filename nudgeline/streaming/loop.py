@@ -24,12 +24,6 @@ def _decoded(batch: DataFrame, batch_id: int) -> DataFrame:
     return messages.decode(numbered).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _quarantine(decoded: DataFrame) -> DataFrame:
-    return messages.unreadable(decoded).unionByName(
-        session_batch.without_timestamp(messages.behaviour(decoded))
-    )
-
-
 def start(
     stream: DataFrame,
     folder: str,
@@ -57,7 +51,7 @@ def start(
         seconds = clock(batch_id) if clock else time.time()
         decoded = _decoded(batch, batch_id)
         try:
-            put_aside(_quarantine(decoded), batch_id)
+            put_aside(messages.quarantine(decoded), batch_id)
             rows = messages.behaviour(decoded)
             summaries = session_batch.usable(session_batch.summarize(rows, policy))
             loop.run(summaries, batch_id, seconds)
@@ -84,7 +78,7 @@ def start_summaries(
     def handle(batch: DataFrame, batch_id: int) -> None:
         decoded = _decoded(batch, batch_id)
         try:
-            put_aside(_quarantine(decoded), batch_id)
+            put_aside(messages.quarantine(decoded), batch_id)
             rows = messages.behaviour(decoded)
             write(session_batch.usable(session_batch.summarize(rows, policy)), batch_id)
         finally:

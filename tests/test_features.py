@@ -121,8 +121,6 @@ def test_missing_timestamp_sets_a_session_batch_aside(spark):
     rows = frame(spark, batches)
     kept = session_batch.usable(session_batch.summarize(rows)).collect()
     assert [r["session_id"] for r in kept] == ["good"]
-    aside = session_batch.without_timestamp(rows).collect()
-    assert [tuple(r) for r in aside] == [(0, "bad", "event without timestamp", None)]
 
 
 def test_timestamps_not_above_zero_do_not_count(spark):

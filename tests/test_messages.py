@@ -27,8 +27,8 @@ def rows(spark, *bodies):
 def test_unreadable_bodies_are_set_aside(spark):
     bodies = ["not json", None, "[]", '[{"payload": {"sessionId": "s", "events": [{', "[{}]"]
     assert rows(spark, *bodies) == []
-    aside = messages.unreadable(raw(spark, bodies)).collect()
-    assert {r["body"] for r in aside} == {"not json", None, bodies[3]}
+    aside = messages.quarantine(raw(spark, [*bodies, "not json"])).collect()
+    assert sorted(str(r["body"]) for r in aside) == sorted(["not json"] * 2 + ["None", bodies[3]])
     assert {r["reason"] for r in aside} == {"unreadable body"}
 
 
@@ -104,7 +104,11 @@ def test_log_source_columns(spark):
 
 
 def test_null_timestamp_reaches_quarantine(spark):
-    bad = [payload("bad", [{"type": "click"}])]
-    good = [payload("good", [{"type": "click", "timestamp": 5}])]
-    flat = messages.behaviour(raw(spark, [json.dumps(bad), json.dumps(good)]))
-    assert [r["session_id"] for r in session_batch.without_timestamp(flat).collect()] == ["bad"]
+    bad = [payload("bad", [{"type": "click"}, {"type": "swipe"}])]
+    good = [payload("good", [{"type": "click", "timestamp": 5}, None]), payload("empty")]
+    nobody = [{"payload": {"events": [{"type": "click"}]}}]
+    sent = raw(spark, [json.dumps(b) for b in (bad, bad, good, nobody)])
+    aside = messages.quarantine(sent).collect()
+    assert [tuple(r) for r in aside] == [(0, "bad", "event without timestamp", None)]
+    kept = session_batch.usable(session_batch.summarize(messages.behaviour(sent))).collect()
+    assert {r["session_id"] for r in kept} == {"good", "empty"}
