@@ -90,7 +90,7 @@ class LearningLoop:
         if ledger.is_committed(batch_id):
             return False
         policy, models = ledger.policy, ledger.models()
-        taken = step(summaries, ledger.state(batch_id), models, policy)
+        taken = step(summaries, ledger.state(batch_id, summaries), models, policy)
         steps = ledger.write_steps(taken, batch_id)
         when = F.lit(float(batch_seconds))
         if self.send:

@@ -21,6 +21,7 @@ from ..schemas import MODEL, STEP_LOG
 from ..settings import Policy
 
 COMMIT = "batch_id BIGINT, model_version BIGINT, snapshot BIGINT, snapshot_upto BIGINT"
+SLOTS = 64
 _COLUMNS = [c.split(" ")[0] for c in STEP_LOG.split(", ")]
 
 
@@ -33,6 +34,9 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, folder: str, policy: Policy):
         self.spark, self.folder, self.policy = spark, folder.rstrip("/"), policy
+        # Commits take turns in a ring of folders, so that a restart reads few of them: all that
+        # counts are the newest and those since its snapshot.
+        self._slots = max(SLOTS, 2 * policy.snapshot_every)
         commits = self._read_commits()
         self.newest = commits[-1] if commits else None
         floor = self.newest["snapshot_upto"] if self.newest else -1
@@ -46,7 +50,7 @@ class Ledger:
     def _read_commits(self):
         try:
             commits = self.spark.read.schema(COMMIT).parquet(f"{self.folder}/commits")
-            # One small row per batch.
+            # One small row per slot.
             return [r.asDict() for r in commits.orderBy("batch_id").collect()]
         except AnalysisException as error:
             if _is_missing(error):
@@ -102,10 +106,12 @@ class Ledger:
         upto = self.newest["batch_id"] if self.newest else -1
         return table.select(*_COLUMNS).where(F.col("batch_id") <= upto)
 
-    def state(self, batch_id: int) -> DataFrame:
+    def state(self, batch_id: int, sessions: DataFrame | None = None) -> DataFrame:
         """Newest step per session before a batch: snapshot plus the log written since.
 
-        Sessions untouched for longer than the policy's ``ttl_batches`` are left out.
+        With ``sessions`` only theirs: a batch usually touches few of all sessions, and then
+        their ids travel to the state instead of the state to them. Sessions untouched for
+        longer than the policy's ``ttl_batches`` are left out.
         """
         parts = []
         if self.newest and self.newest["snapshot"] is not None:
@@ -120,6 +126,8 @@ class Ledger:
             rows = rows.unionByName(part)
         if self.policy.ttl_batches is not None:
             rows = rows.where(F.col("batch_id") >= batch_id - self.policy.ttl_batches)
+        if sessions is not None:
+            rows = rows.join(sessions.select("session_id"), "session_id", "left_semi")
         others = [c for c in _COLUMNS if c not in ("session_id", "batch_id")]
         newest = F.max_by(F.struct(*others), "batch_id").alias("s")
         state = rows.groupBy("session_id").agg(F.max("batch_id").alias("batch_id"), newest)
@@ -141,12 +149,18 @@ class Ledger:
             state = self.state(batch_id + 1)
             state.write.mode("overwrite").parquet(self._path("snapshots", "version", batch_id))
             snapshot, upto, tail = batch_id, batch_id, []
-        entry = {"model_version": version, "snapshot": snapshot, "snapshot_upto": upto}
+        entry = {
+            "batch_id": batch_id,
+            "model_version": version,
+            "snapshot": snapshot,
+            "snapshot_upto": upto,
+        }
         row = self.spark.range(1).select(
             *[F.lit(value).cast("bigint").alias(name) for name, value in entry.items()]
         )
-        row.write.mode("overwrite").parquet(self._path("commits", "batch_id", batch_id))
-        self.newest = {"batch_id": batch_id, **entry}
+        path = self._path("commits", "slot", batch_id % self._slots)
+        row.write.mode("overwrite").parquet(path)
+        self.newest = entry
         self.tail = tail
         if models is not None:
             self._models = models

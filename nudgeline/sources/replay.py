@@ -41,7 +41,7 @@ def behaviour_of(events: DataFrame) -> DataFrame:
         "event_id",
         "user_id",
         "event_type",
-        F.col("ts").cast("timestamp").alias("ts"),
+        "ts",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
     kind = (
@@ -95,7 +95,10 @@ def behaviour_of(events: DataFrame) -> DataFrame:
         F.lit(True).alias("is_item"),
         F.lit(True).alias("is_event"),
         kind.alias("type"),
-        F.unix_millis("ts").alias("ts_ms"),
+        # Wall-clock difference, so the session's time zone does not matter.
+        F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "ts").alias(
+            "ts_ms"
+        ),
         url.alias("url"),
         agent.alias("user_agent"),
         F.when((raw == "view") & (k % 5 != 0), k / 100.0).alias("scroll_depth"),

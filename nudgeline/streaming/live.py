@@ -20,6 +20,7 @@ from ..operators import choice
 from ..settings import REWARD_EXIT, REWARD_HIT, REWARD_SPIKE, SPIKE_GAIN, Policy
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PARTITIONS = "spark.sql.shuffle.partitions"
 STATE = (
     "seen INT, open_arm INT, suggestion_no INT, score DOUBLE, is_exploring BOOLEAN, "
     "pre_velocity DOUBLE, last_batch BIGINT"
@@ -136,12 +137,15 @@ def start(
 ) -> StreamingQuery:
     """Starts the static policy on a folder of session-batches and writes its steps to another.
 
+    The state keeps the number of shuffle partitions it is first started with.
+
     The state store is chosen in a session of its own; the caller's settings stay as they are.
     """
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # Expired values are not returned, and are removed along with the next data; without this a
     # query that is to stop when all is read would run empty batches for ever.
+    own.conf.set(PARTITIONS, spark.conf.get(PARTITIONS))
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     stream = own.readStream.schema(schema).parquet(summaries)
     out = steps(stream, models, policy, ttl_ms)

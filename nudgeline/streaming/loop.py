@@ -53,8 +53,13 @@ def start(
         try:
             put_aside(messages.quarantine(decoded), batch_id)
             rows = messages.behaviour(decoded)
+            # One row per session; read for the state look-up and for the join with it.
             summaries = session_batch.usable(session_batch.summarize(rows, policy))
-            loop.run(summaries, batch_id, seconds)
+            summaries.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                loop.run(summaries, batch_id, seconds)
+            finally:
+                summaries.unpersist()
         finally:
             decoded.unpersist()
 
