@@ -12,6 +12,7 @@ from ..settings import HANDHELD_MARKS
 
 HANDHELD, SOCIAL = 1, 2
 CAMPAIGN, CART = 1, 2
+N_CODES = 4
 
 
 def _flag(condition: Column, bit: int) -> Column:

@@ -14,16 +14,31 @@ many join keys as it has slices.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # log2 of the arrival numbers in one slice: at most 16M rows meet under one join key.
 SLICE_BITS = 24
+# Size limit of the broadcast set of codes: 2^20 numbers.
+CODES = 1 << 20
 
 
-def scan_aggregates(left: str, right: str, order: str = "ord") -> list[Column]:
-    """Aggregates that describe the walk. With integer values they stay hash aggregates."""
+def keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with whole keys. The joins further on imply this for their side; stated for both, the
+    two sides have the same plan below the aggregates."""
+    return rows.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+
+
+def scan_aggregates(
+    left: str, right: str, order: str = "ord", n_codes: int | None = None
+) -> list[Column]:
+    """Aggregates that describe the walk.
+
+    With ``n_codes`` the values are integers below it. Then the aggregates stay hash aggregates,
+    and the first row of each code tells which codes occur before the stop row.
+    """
     out = []
     for name, other in ((left, right), (right, left)):
         own = F.when(F.col(name).isNotNull(), F.col(order))
@@ -33,31 +48,58 @@ def scan_aggregates(left: str, right: str, order: str = "ord") -> list[Column]:
             F.min_by(name, own).alias(f"{name}_first"),
             F.max_by(name, own).alias(f"{name}_last"),
             F.min_by(name, others).alias(f"{name}_at_stop"),
-            F.min(name).alias(f"{name}_low"),
-            F.max(name).alias(f"{name}_high"),
         ]
+        if n_codes is None:
+            out += [F.min(name).alias(f"{name}_low"), F.max(name).alias(f"{name}_high")]
+        else:
+            out += [
+                F.min(F.when(F.col(name) == code, F.col(order))).alias(f"{name}_code_{code}")
+                for code in range(n_codes)
+            ]
     return out
 
 
-def _is_open(name: str, other: str) -> Column:
+def shared(stats: DataFrame) -> DataFrame:
+    """The same aggregates, under a condition that always holds and needs every column. So none
+    is pruned in one use and kept in another, and Spark shuffles them once for all uses.
+
+    The random part never decides anything. It makes the optimizer neither move filters below
+    nor derive constraints from the condition, whose number would double with every column.
+    """
+    always = F.xxhash64(*stats.columns) >= F.lit(-(1 << 63))
+    return stats.where(always | (F.rand(0) < 0))
+
+
+def _never_changes(name: str, other: str, n_codes: int | None) -> Column:
+    """Whether an attribute seen first keeps its first value up to the stop row."""
+    if n_codes is None:
+        return F.col(f"{name}_low") == F.col(f"{name}_high")
+    stop = F.col(f"{other}_start")
+    early = [
+        F.coalesce(F.col(f"{name}_code_{code}") < stop, F.lit(False)).cast("int")
+        for code in range(n_codes)
+    ]
+    return sum(early[1:], early[0]) == 1
+
+
+def _is_open(name: str, other: str, n_codes: int | None) -> Column:
     """Whether the plain aggregates leave this attribute undecided."""
     return (
         (F.col(f"{name}_start") < F.col(f"{other}_start"))
         & F.col(f"{name}_at_stop").isNull()
-        & (F.col(f"{name}_low") != F.col(f"{name}_high"))
+        & ~_never_changes(name, other, n_codes)
     )
 
 
-def resolve(name: str, other: str, late: str | None = None) -> Column:
+def resolve(name: str, other: str, late: str, n_codes: int | None = None) -> Column:
     """Final value of one attribute from the aggregates and the late values."""
     both = F.col(f"{name}_start").isNotNull() & F.col(f"{other}_start").isNotNull()
-    undecided = F.col(late) if late else F.lit(None)
     return (
         F.when(~both, F.col(f"{name}_last"))
         .when(F.col(f"{name}_start") >= F.col(f"{other}_start"), F.col(f"{name}_first"))
         .when(F.col(f"{name}_at_stop").isNotNull(), F.col(f"{name}_at_stop"))
-        .when(F.col(f"{name}_low") == F.col(f"{name}_high"), F.col(f"{name}_low"))
-        .otherwise(undecided)
+        .when(_never_changes(name, other, n_codes), F.col(f"{name}_first"))
+        .otherwise(F.col(late))
     )
 
 
@@ -69,12 +111,18 @@ def late_values(
     keys: Sequence[str],
     order: str = "ord",
     slice_bits: int = SLICE_BITS,
+    n_codes: int | None = None,
 ) -> DataFrame:
-    """For undecided groups: the last value of the first-seen attribute before the stop row."""
+    """For undecided groups: the last value of the first-seen attribute before the stop row.
+
+    ``stats`` are the ``scan_aggregates`` of ``keyed`` rows, best ``shared``.
+    """
     begin = F.least(f"{left}_start", f"{right}_start")
     stop = F.greatest(f"{left}_start", f"{right}_start")
     open_groups = (
-        stats.where(_is_open(left, right) | _is_open(right, left))
+        stats.where(
+            _is_open(left, right, n_codes) | _is_open(right, left, n_codes) | (F.rand(0) < 0)
+        )
         .select(*keys, begin.alias("begin"), stop.alias("stop"))
         .withColumn(
             "slice",
@@ -83,8 +131,13 @@ def late_values(
             ),
         )
     )
+    # Rows of other groups are mostly dropped before the shuffle: they must share one of 2^20
+    # codes with an undecided group. There are at most so many codes, whatever the data.
+    code = F.xxhash64(*keys).bitwiseAND(F.lit(CODES - 1)).alias("code")
+    codes = F.broadcast(open_groups.select(code).distinct())
     # Before the stop row only one of the two attributes has values.
-    candidates = rows.where(F.col(left).isNotNull() | F.col(right).isNotNull()).select(
+    valued = rows.where(F.col(left).isNotNull() | F.col(right).isNotNull())
+    candidates = valued.join(codes, code == codes["code"], "left_semi").select(
         *keys,
         order,
         F.shiftright(order, slice_bits).alias("slice"),
@@ -99,13 +152,19 @@ def late_values(
 
 
 def scan(
-    rows: DataFrame, left: str, right: str, keys: Sequence[str], order: str = "ord"
+    rows: DataFrame,
+    left: str,
+    right: str,
+    keys: Sequence[str],
+    order: str = "ord",
+    n_codes: int | None = None,
 ) -> DataFrame:
     """Both attributes per group; null where never seen."""
-    stats = rows.groupBy(*keys).agg(*scan_aggregates(left, right, order))
-    late = late_values(rows, stats, left, right, keys, order)
+    rows = keyed(rows, keys)
+    stats = shared(rows.groupBy(*keys).agg(*scan_aggregates(left, right, order, n_codes)))
+    late = late_values(rows, stats, left, right, keys, order, n_codes=n_codes)
     return stats.join(late, list(keys), "left").select(
         *keys,
-        resolve(left, right, "late_value").alias(left),
-        resolve(right, left, "late_value").alias(right),
+        resolve(left, right, "late_value", n_codes).alias(left),
+        resolve(right, left, "late_value", n_codes).alias(right),
     )

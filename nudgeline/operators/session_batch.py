@@ -74,15 +74,10 @@ def feedback_aggregates(policy: Policy) -> list[Column]:
     ]
 
 
-def behaviour_aggregates() -> list[Column]:
+def activity_aggregates() -> list[Column]:
     kind = F.col("type")
     long_read = kind.isin(*READ_TYPES) & (F.col("duration") > READ_MILLIS)
-    depth = F.when(kind == SCROLL, F.col("scroll_depth"))
-    return [
-        F.count_if(kind == SWIPE).alias("swipes"),
-        F.count_if(long_read).alias("reads"),
-        F.greatest(F.lit(0.0), F.max(depth)).alias("max_scroll"),
-    ]
+    return [F.count_if(kind == SWIPE).alias("swipes"), F.count_if(long_read).alias("reads")]
 
 
 def collect_session_batches(rows: DataFrame) -> DataFrame:
@@ -97,7 +92,10 @@ def collect_session_batches(rows: DataFrame) -> DataFrame:
 
 
 def behaviour_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEYS).agg(*behaviour_aggregates())
+    """Swipes, long reads and the deepest scroll; the last is reported only."""
+    depth = F.when(F.col("type") == SCROLL, F.col("scroll_depth"))
+    deepest = F.greatest(F.lit(0.0), F.max(depth)).alias("max_scroll")
+    return rows.groupBy(*KEYS).agg(*activity_aggregates(), deepest)
 
 
 def engagement(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -111,7 +109,7 @@ def _velocity() -> Column:
 
 def context_labels(rows: DataFrame) -> DataFrame:
     """Device, source and intent of each session-batch."""
-    codes = pair_scan.scan(with_codes(rows), "ua", "link", KEYS)
+    codes = pair_scan.scan(with_codes(rows), "ua", "link", KEYS, n_codes=labels.N_CODES)
     return codes.select(*KEYS, *_labels(F.col("ua"), F.col("link")))
 
 
@@ -148,15 +146,17 @@ def summarize(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     The three branches (aggregates, undecided labels, words) end partitioned by the same keys,
     so joining them adds no shuffle.
     """
-    coded = with_codes(rows)
-    stats = coded.groupBy(*KEYS).agg(
-        *feedback_aggregates(policy),
-        *behaviour_aggregates(),
-        *pair_scan.scan_aggregates("ua", "link"),
+    coded = pair_scan.keyed(with_codes(rows), KEYS)
+    stats = pair_scan.shared(
+        coded.groupBy(*KEYS).agg(
+            *feedback_aggregates(policy),
+            *activity_aggregates(),
+            *pair_scan.scan_aggregates("ua", "link", n_codes=labels.N_CODES),
+        )
     )
-    late = pair_scan.late_values(coded, stats, "ua", "link", KEYS)
-    ua = pair_scan.resolve("ua", "link", "late_value")
-    link = pair_scan.resolve("link", "ua", "late_value")
+    late = pair_scan.late_values(coded, stats, "ua", "link", KEYS, n_codes=labels.N_CODES)
+    ua = pair_scan.resolve("ua", "link", "late_value", labels.N_CODES)
+    link = pair_scan.resolve("link", "ua", "late_value", labels.N_CODES)
     words = F.coalesce(F.col("words"), F.array().cast("array<string>"))
     return (
         stats.join(late, KEY_LIST, "left")

@@ -214,6 +214,45 @@ def test_walk_over_many_slices(spark, sessions, bits):
         assert got[f"s{n}"] == model.walk([{"user_agent": a, "url": b} for a, b in pairs])
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(
+        st.lists(
+            st.tuples(*[st.sampled_from([None, None, None, 0, 1, 2, 3])] * 2),
+            min_size=1,
+            max_size=20,
+        ),
+        min_size=1,
+        max_size=20,
+    ),
+    st.sampled_from([0, 3, 24]),
+)
+def test_walk_over_codes(spark, sessions, bits):
+    flat = [
+        (0, f"s{n}", i, left, right)
+        for n, pairs in enumerate(sessions)
+        for i, (left, right) in enumerate(pairs)
+    ]
+    rows = spark.createDataFrame(flat, "batch_id INT, session_id STRING, ord BIGINT, a INT, b INT")
+    stats = pair_scan.shared(
+        rows.groupBy(*KEYS).agg(*pair_scan.scan_aggregates("a", "b", n_codes=4))
+    )
+    late = pair_scan.late_values(rows, stats, "a", "b", KEYS, slice_bits=bits, n_codes=4)
+    got = stats.join(late, list(KEYS), "left").select(
+        "session_id",
+        pair_scan.resolve("a", "b", "late_value", 4).alias("x"),
+        pair_scan.resolve("b", "a", "late_value", 4).alias("y"),
+    )
+    got = {r["session_id"]: (r["x"], r["y"]) for r in got.collect()}
+    for n, pairs in enumerate(sessions):
+        want = [None, None]
+        for pair in pairs:
+            want = [w if p is None else p for w, p in zip(want, pair)]
+            if None not in want:
+                break
+        assert got[f"s{n}"] == tuple(want)
+
+
 def test_a_session_with_most_of_the_rows(spark):
     """One session holds nearly everything; user agents change until the only URL comes last."""
     hot = [event("swipe", ts_ms=i + 1, user_agent=f"agent {i % 7} x") for i in range(3000)]
