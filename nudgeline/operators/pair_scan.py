@@ -59,17 +59,6 @@ def scan_aggregates(
     return out
 
 
-def shared(stats: DataFrame) -> DataFrame:
-    """The same aggregates, under a condition that always holds and needs every column. So none
-    is pruned in one use and kept in another, and Spark shuffles them once for all uses.
-
-    The random part never decides anything. It makes the optimizer neither move filters below
-    nor derive constraints from the condition, whose number would double with every column.
-    """
-    always = F.xxhash64(*stats.columns) >= F.lit(-(1 << 63))
-    return stats.where(always | (F.rand(0) < 0))
-
-
 def _never_changes(name: str, other: str, n_codes: int | None) -> Column:
     """Whether an attribute seen first keeps its first value up to the stop row."""
     if n_codes is None:
@@ -115,13 +104,13 @@ def late_values(
 ) -> DataFrame:
     """For undecided groups: the last value of the first-seen attribute before the stop row.
 
-    ``stats`` are the ``scan_aggregates`` of ``keyed`` rows, best ``shared``.
+    ``stats`` are the ``scan_aggregates`` of ``keyed`` rows.
     """
     begin = F.least(f"{left}_start", f"{right}_start")
     stop = F.greatest(f"{left}_start", f"{right}_start")
     open_groups = (
         stats.where(
-            _is_open(left, right, n_codes) | _is_open(right, left, n_codes) | (F.rand(0) < 0)
+            _is_open(left, right, n_codes) | _is_open(right, left, n_codes)
         )
         .select(*keys, begin.alias("begin"), stop.alias("stop"))
         .withColumn(
@@ -161,7 +150,7 @@ def scan(
 ) -> DataFrame:
     """Both attributes per group; null where never seen."""
     rows = keyed(rows, keys)
-    stats = shared(rows.groupBy(*keys).agg(*scan_aggregates(left, right, order, n_codes)))
+    stats = rows.groupBy(*keys).agg(*scan_aggregates(left, right, order, n_codes))
     late = late_values(rows, stats, left, right, keys, order, n_codes=n_codes)
     return stats.join(late, list(keys), "left").select(
         *keys,

@@ -234,9 +234,7 @@ def test_walk_over_codes(spark, sessions, bits):
         for i, (left, right) in enumerate(pairs)
     ]
     rows = spark.createDataFrame(flat, "batch_id INT, session_id STRING, ord BIGINT, a INT, b INT")
-    stats = pair_scan.shared(
-        rows.groupBy(*KEYS).agg(*pair_scan.scan_aggregates("a", "b", n_codes=4))
-    )
+    stats = rows.groupBy(*KEYS).agg(*pair_scan.scan_aggregates("a", "b", n_codes=4))
     late = pair_scan.late_values(rows, stats, "a", "b", KEYS, slice_bits=bits, n_codes=4)
     got = stats.join(late, list(KEYS), "left").select(
         "session_id",
