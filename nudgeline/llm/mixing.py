@@ -267,3 +267,10 @@ def mix(
         },
     )
     return out.drop(*cell, "__turn", "__copies", *[f"__{c}" for c in _CELL])
+
+
+def copied(docs: DataFrame, **options) -> DataFrame:
+    """The documents as the mix takes them: every row as often as it has copies."""
+    mixed = mix(docs, **options).where(F.col("copies") > 0)
+    each = F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("__copy")
+    return mixed.select("*", each).select(*[F.col(f"`{c}`") for c in docs.columns])

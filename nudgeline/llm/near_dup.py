@@ -347,3 +347,15 @@ def find(
         component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def deduplicate(
+    docs: DataFrame, text: str = "text", percent: int = PERCENT, folder: str | None = None
+) -> DataFrame:
+    """The documents with one of each component left, the one with the smallest id.
+
+    What goes is the small side, so it is hashed and the texts are not sorted.
+    """
+    gone = find(docs, text, percent, folder).where(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("__gone"), "left_anti")
