@@ -1,24 +1,69 @@
 """From raw documents to packed training sequences, in stages that each read what the one before
-kept. Every stage is written to Parquet and read again."""
+kept. The result of a stage is written to Parquet and read again before the next one begins; the
+tables a stage made for itself are of no use from then on, so the next stage removes them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nudgeline.llm import line_dedup
-from nudgeline.llm.common import documents, landed, workspace
+from nudgeline.llm import line_dedup, mixing, near_dup, packing, quality
+from nudgeline.llm.common import documents, landed, remove, workspace
+
+# Id that packing puts behind every document.
+END_ID = 0
+
+# Folder of the last stage's own tables, by session.
+_scratch: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A folder for this stage; the one of the stage before goes."""
+    key = spark.sparkContext.applicationId
+    if key in _scratch:
+        remove(spark, _scratch.pop(key))
+    _scratch[key] = workspace(spark, name)
+    return _scratch[key]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules go."""
+    _folder(spark, "quality")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep(docs, model)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that many documents share."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    """Lines that several documents share go, but for one document."""
+    kept = line_dedup.dedup_lines(docs, _folder(spark, "lines"))
+    n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_dup.deduplicate(docs, folder=_folder(spark, "near"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of sources takes it."""
+    return mixing.copied(docs, folder=_folder(spark, "mix"))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: which piece of which document lies where."""
+    return packing.pack_documents(docs, END_ID, folder=_folder(spark, "pack"))
 
 
 STAGES = [
+    ("quality", quality_rules),
     ("line_dedup", repeated_lines),
+    ("near_dup", near_duplicates),
+    ("mixing", mixed_sources),
+    ("packing", packed_sequences),
 ]
 
-# Quality rules need the trained model and best-fit packing is iterative, so no SQL.
+# The quality model, the mix and the packing are iterative, so there is no SQL.
 ORACLE_SQL = None
 
 
