@@ -67,9 +67,8 @@ def raw_sample(spark, folder):
 
 
 def parse_payload(spark, folder):
-    parsed = messages.behaviour(replay.as_messages(_rows(spark, folder)))
-    arrival = F.shiftright("ord", messages.POSITION_BITS)
-    return parsed.withColumn("arrival", arrival).drop("ord", "is_item", "is_event")
+    parsed = messages.numbered_behaviour(replay.as_messages(_rows(spark, folder)))
+    return parsed.drop("ord", "pos", "is_item", "is_event")
 
 
 def session_key(spark, folder):
@@ -213,10 +212,9 @@ def all_arm_scores(spark, folder):
 def choose_arm(spark, folder):
     """A choice for every session-batch, with the arms it reports as shown taken as seen."""
     scored = with_scores(_summaries(spark, folder), initial_models(POLICY), POLICY)
-    masks = choice.shown_mask(_rows(spark, folder), POLICY)
     drawn = choice.draws(POLICY, F.col("session_id"), F.col("batch_id"))
-    ready = scored.join(masks, list(KEYS)).withColumns(drawn)
-    arm = choice.choose(F.col("scores"), F.col("seen"), F.col("explores"), F.col("pick"), POLICY)
+    ready = scored.withColumns(drawn)
+    arm = choice.choose(F.col("scores"), F.col("shown"), F.col("explores"), F.col("pick"), POLICY)
     chosen = ready.withColumn("arm_idx", arm)
     return chosen.select(
         *KEYS,

@@ -103,15 +103,19 @@ def refit(
     return fitted
 
 
-def refit_predictions(examples: DataFrame, policy: Policy, **options) -> DataFrame | None:
-    """Predictions of the refitted classifiers on their own examples."""
+def refit_predictions(examples: DataFrame, policy: Policy, **options) -> DataFrame:
+    """Predictions of the refitted classifiers on their own examples, one row per example.
+
+    An arm whose examples all have one label has no classifier; that label is its prediction.
+    """
     slots = F.sequence(F.lit(0), F.lit(policy.n_features - 1))
     present = F.transform(slots, lambda i: F.array_contains("buckets", i).cast("double"))
     ready = examples.withColumn("features", array_to_vector(present))
-    out = None
-    for arm, model in refit(examples, policy, **options).items():
-        scored = model.transform(ready.where(F.col("arm_idx") == arm)).select(
-            "batch_id", "session_id", "arm_idx", "label", F.col("prediction").cast("int")
-        )
-        out = scored if out is None else out.unionByName(scored)
+    columns = ("batch_id", "session_id", "arm_idx", "label")
+    fitted = refit(examples, policy, **options)
+    constant = ready.where(~F.col("arm_idx").isin(*fitted)) if fitted else ready
+    out = constant.select(*columns, F.col("label").cast("int").alias("prediction"))
+    for arm, model in fitted.items():
+        scored = model.transform(ready.where(F.col("arm_idx") == arm))
+        out = out.unionByName(scored.select(*columns, F.col("prediction").cast("int")))
     return out

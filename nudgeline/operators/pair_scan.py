@@ -6,9 +6,9 @@ last value up to that row. If one never arrives, the other keeps its last value.
 
 A group may hold a third of all rows, so nothing here gathers or sorts a group. One pass of plain
 aggregates settles nearly every group. The rest (the first attribute changed its value before
-the second one arrived) need "the last value before row n"; ``late_values`` fetches it with an
-equi-join on the group key *and* a slice of the arrival order, which spreads a hot group over as
-many join keys as it has slices.
+the second one arrived) need "the last value before row n": ``late_values`` joins the rows with the
+one row that describes their group, salted so that a hot group spreads over ``SALTS`` join keys, and
+keeps a maximum. The order column may be of any type that can be compared; nothing is counted off.
 """
 
 from __future__ import annotations
@@ -19,10 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# log2 of the arrival numbers in one slice: at most 16M rows meet under one join key.
-SLICE_BITS = 24
-# Size limit of the broadcast set of codes: 2^20 numbers.
-CODES = 1 << 20
+# Join keys that the rows of one undecided group are spread over.
+SALTS = 32
 
 
 def keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -99,42 +97,28 @@ def late_values(
     right: str,
     keys: Sequence[str],
     order: str = "ord",
-    slice_bits: int = SLICE_BITS,
+    salts: int = SALTS,
     n_codes: int | None = None,
 ) -> DataFrame:
     """For undecided groups: the last value of the first-seen attribute before the stop row.
 
-    ``stats`` are the ``scan_aggregates`` of ``keyed`` rows.
+    ``stats`` are the ``scan_aggregates`` of ``keyed`` rows. Each undecided group is repeated once
+    per salt; whether that side is shipped is Spark's decision by its size.
     """
-    begin = F.least(f"{left}_start", f"{right}_start")
     stop = F.greatest(f"{left}_start", f"{right}_start")
-    open_groups = (
-        stats.where(
-            _is_open(left, right, n_codes) | _is_open(right, left, n_codes)
-        )
-        .select(*keys, begin.alias("begin"), stop.alias("stop"))
-        .withColumn(
-            "slice",
-            F.explode(
-                F.sequence(F.shiftright("begin", slice_bits), F.shiftright("stop", slice_bits))
-            ),
-        )
+    open_groups = stats.where(_is_open(left, right, n_codes) | _is_open(right, left, n_codes)).select(
+        *keys, stop.alias("stop"), F.explode(F.array(*map(F.lit, range(salts)))).alias("salt")
     )
-    # Rows of other groups are mostly dropped before the shuffle: they must share one of 2^20
-    # codes with an undecided group. There are at most so many codes, whatever the data.
-    code = F.xxhash64(*keys).bitwiseAND(F.lit(CODES - 1)).alias("code")
-    codes = F.broadcast(open_groups.select(code).distinct())
     # Before the stop row only one of the two attributes has values.
-    valued = rows.where(F.col(left).isNotNull() | F.col(right).isNotNull())
-    candidates = valued.join(codes, code == codes["code"], "left_semi").select(
+    valued = rows.where(F.col(left).isNotNull() | F.col(right).isNotNull()).select(
         *keys,
         order,
-        F.shiftright(order, slice_bits).alias("slice"),
+        F.pmod(F.xxhash64(order), F.lit(salts)).cast("int").alias("salt"),
         F.coalesce(left, right).alias("value"),
     )
     return (
-        candidates.join(open_groups, [*keys, "slice"])
-        .where((F.col(order) >= F.col("begin")) & (F.col(order) < F.col("stop")))
+        valued.join(open_groups, [*keys, "salt"])
+        .where(F.col(order) < F.col("stop"))
         .groupBy(*keys)
         .agg(F.max_by("value", order).alias("late_value"))
     )

@@ -34,9 +34,11 @@ def split_phases(session_batches: DataFrame, steps: DataFrame) -> DataFrame:
     Spans of one session do not overlap, so each session-batch meets at most one.
     """
     batches = session_batches.select(*KEYS)
-    judged = batches.join(open_spans(steps), "session_id").where(_in_time())
-    return batches.join(judged.select(*KEYS, "injection_id"), list(KEYS), "left").select(
-        *KEYS,
+    spans = open_spans(steps).drop("suggestion_no")
+    inside = (batches["session_id"] == spans["session_id"]) & _in_time()
+    return batches.join(spans, inside, "left").select(
+        batches["batch_id"],
+        batches["session_id"],
         F.when(F.col("injection_id").isNotNull(), "judge").otherwise("decide").alias("phase"),
         "injection_id",
     )

@@ -23,7 +23,7 @@ from ..settings import (
     SWIPES_PER_STEP,
     Policy,
 )
-from . import pair_scan
+from . import choice, pair_scan
 from .tokens import first_words
 
 KEY_LIST = list(KEYS)
@@ -150,6 +150,7 @@ def summarize(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     stats = coded.groupBy(*KEYS).agg(
         *feedback_aggregates(policy),
         *activity_aggregates(),
+        choice.shown_bits(policy).alias("shown"),
         *pair_scan.scan_aggregates("ua", "link", n_codes=labels.N_CODES),
     )
     late = pair_scan.late_values(coded, stats, "ua", "link", KEYS, n_codes=labels.N_CODES)
@@ -171,6 +172,7 @@ def summarize(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
             "velocity",
             "has_exit",
             "hit_mask",
+            "shown",
             "swipes",
             "reads",
             "device",

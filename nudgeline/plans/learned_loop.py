@@ -103,12 +103,41 @@ class LearningLoop:
         return True
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def table_sink(table: str, fmt: str = "parquet") -> Sink:
+    """Writes each batch to its partition of a registered table and replaces it on a retry; nothing
+    is written for a batch without rows."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        if not rows.limit(1).count():
+            if spark.catalog.tableExists(table):
+                spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (batch_id={int(batch_id)})")
+            return
+        if not spark.catalog.tableExists(table):
+            rows.limit(0).write.format(fmt).partitionBy("batch_id").saveAsTable(table)
+        columns = spark.table(table).columns
+        writer = rows.select(*columns).write.mode("overwrite").format(fmt)
+        writer.option("partitionOverwriteMode", "dynamic").insertInto(table)
+
+    return write
+
+
 def file_sink(folder: str, fmt: str = "parquet") -> Sink:
-    """Writes each batch to a folder of its own and replaces it on a retry."""
+    """Writes each batch to a folder of its own and replaces it on a retry; a batch without rows
+    has none."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
         path = f"{folder.rstrip('/')}/batch_id={batch_id}"
-        rows.drop("batch_id").write.mode("overwrite").format(fmt).save(path)
+        if rows.limit(1).count():
+            rows.drop("batch_id").write.mode("overwrite").format(fmt).save(path)
+        else:
+            _remove(rows.sparkSession, path)  # what an earlier try may have left
 
     return write
 
@@ -137,11 +166,9 @@ def replay_batches(
     """
     folder = folder.rstrip("/")
     summaries = session_batch.usable(session_batch.summarize(rows, policy))
-    # Clustered by batch and a spread of sessions, so a batch is neither one huge file nor many
-    # tiny ones.
-    spread = F.pmod(F.hash("session_id"), F.lit(8))
+    # Clustered by batch and cut by size, so a batch is neither one huge file nor many tiny ones.
     (
-        summaries.repartition("batch_id", spread)
+        summaries.hint("rebalance", "batch_id")
         .write.mode("overwrite")
         .partitionBy("batch_id")
         .parquet(f"{folder}/summaries")

@@ -3,10 +3,10 @@
 A session without an open suggestion gets one, as long as an arm is left; a session with an open
 suggestion is judged. Both never happen in the same batch.
 
-When a session is decided and judged does not depend on which arm it gets. So one fold over a
-session's batches first marks the few that matter, at most two per arm; with fixed models only
-those are scored, and the arms follow from the scores. That takes one shuffle by session, of rows
-that are already one per session and batch, however many events a session has.
+When a session is decided and judged does not depend on which arm it gets. So one walk over a
+session's sorted batches first marks the few that matter, at most two per arm; with fixed models
+only those are scored, and the arms follow from the scores. That takes one shuffle by session, of
+rows that are already one per session and batch, and holds the state of one session at a time.
 """
 
 from __future__ import annotations
@@ -18,21 +18,12 @@ from ..functions import feedback
 from ..functions.hashing import injection_id
 from ..models.scoring import list_scorer
 from ..models.weights import ArmModel
-from ..operators import choice
+from ..operators import choice, course
 from ..schemas import STEP_LOG
 from ..settings import Policy
 
 NONE_OPEN = -1
 
-# What the fold reads of a session-batch; sorted by batch.
-FOLD_INPUT = ("batch_id", "velocity", "has_exit", "hit_mask", "n_items", "device", "buckets")
-
-# A batch that matters: it makes suggestion n, or judges it (then with a reward).
-_MARK = (
-    "STRUCT<batch_id: BIGINT, suggestion_no: INT, pre_velocity: DOUBLE, velocity: DOUBLE, "
-    "reward: DOUBLE, device: STRING, buckets: ARRAY<INT>>"
-)
-_COURSE = f"STRUCT<made: INT, is_open: BOOLEAN, pre_velocity: DOUBLE, marks: ARRAY<{_MARK}>>"
 _PICK = "STRUCT<arm_idx: INT, score: DOUBLE, is_exploring: BOOLEAN, seen: INT>"
 _PICKS = f"STRUCT<seen: INT, picks: ARRAY<{_PICK}>>"
 
@@ -86,59 +77,6 @@ def step_fields(
     }
 
 
-def _none(kind: str) -> Column:
-    return F.lit(None).cast(kind)
-
-
-def _marks(policy: Policy) -> Column:
-    """The batches of a session that make or judge a suggestion, in order."""
-
-    def mark(batch, number, before, reward):
-        return F.struct(
-            batch.batch_id,
-            number.alias("suggestion_no"),
-            before.alias("pre_velocity"),
-            batch.velocity,
-            reward.alias("reward"),
-            batch.device,
-            batch.buckets,
-        ).cast(_MARK)
-
-    def course(made, is_open, before, marks):
-        return F.struct(
-            made.alias("made"),
-            is_open.alias("is_open"),
-            before.alias("pre_velocity"),
-            marks.alias("marks"),
-        ).cast(_COURSE)
-
-    def merge(so_far, batch):
-        current = so_far.made - 1
-        reward = _reward(batch, current, so_far.pre_velocity)
-        suggested = course(
-            so_far.made + 1,
-            F.lit(True),
-            batch.velocity,
-            F.array_append(
-                so_far.marks, mark(batch, so_far.made, batch.velocity, _none("double"))
-            ),
-        )
-        judged = course(
-            so_far.made,
-            F.lit(False),
-            so_far.pre_velocity,
-            F.array_append(so_far.marks, mark(batch, current, so_far.pre_velocity, reward)),
-        )
-        return (
-            F.when(so_far.is_open & reward.isNotNull(), judged)
-            .when(~so_far.is_open & (so_far.made < len(policy.arms)), suggested)
-            .otherwise(so_far)
-        )
-
-    start = course(F.lit(0), F.lit(False), _none("double"), F.array().cast(f"array<{_MARK}>"))
-    return F.aggregate("batches", start, merge, lambda end: end.marks)
-
-
 def _picks(decisions: Column, scores: Column, policy: Policy) -> Column:
     """The arm of each suggestion of a session, given the scores of each."""
     sid = F.col("session_id")
@@ -171,10 +109,7 @@ def _picks(decisions: Column, scores: Column, policy: Policy) -> Column:
 
 def replay(summaries: DataFrame, models: list[ArmModel], policy: Policy = Policy()) -> DataFrame:
     """The step log (``schemas.STEP_LOG``) of usable session-batches under fixed models."""
-    history = summaries.groupBy("session_id").agg(
-        F.sort_array(F.collect_list(F.struct(*FOLD_INPUT))).alias("batches")
-    )
-    marked = history.select("session_id", _marks(policy).alias("marks")).withColumn(
+    marked = course.courses(summaries, len(policy.arms)).withColumn(
         "decisions", F.filter("marks", lambda m: m.reward.isNull())
     )
     vectors = F.transform("decisions", lambda d: d.buckets)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -33,16 +31,8 @@ def build_session(app: str = "nudgeline", master: str | None = None, **conf: str
 
 
 def working_folder(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may go without;
-    it gets a scratch folder of its own.
-    """
+    """The shared folder for written intermediate tables, named in ``spark.checkpoint.dir``."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="nudgeline-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    return folder.rstrip("/")

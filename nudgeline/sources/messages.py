@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..schemas import MESSAGE
 
-# Arrival order inside a message. 2^20 events need at least 2 MB of JSON, more than a message
-# may hold; a larger one fails the job rather than getting a wrong order.
-POSITION_BITS = 20
-ITEMS_PER_MESSAGE = 1 << POSITION_BITS
+# Arrival numbers have up to 94 bits (offset and partition) and positions in a message 31, so the
+# order of events is a whole decimal: wide enough for all of them, and of fixed width.
+PLACES = 1 << 31
+ORDER = "decimal(38,0)"
 
 
 def read_message_stream(spark: SparkSession, fmt: str, options: Mapping[str, str]) -> DataFrame:
@@ -31,11 +31,20 @@ def _with_body(raw: DataFrame) -> DataFrame:
     is the arrival order of a message within its partition."""
     if "body" not in raw.columns:
         raw = raw.withColumnRenamed("value", "body")
+    if "properties" not in raw.columns and "headers" in raw.columns:
+        # Log sources carry properties as an array of key and bytes; the last of a key counts.
+        pairs = F.transform("headers", lambda h: F.struct(h.key, h.value.cast("string")))
+        newest = F.array_distinct(F.transform("headers", lambda h: h.key))
+        last = F.map_from_arrays(
+            newest,
+            F.transform(newest, lambda k: F.element_at(F.filter(pairs, lambda p: p.key == k), -1)["col2"]),
+        )
+        raw = raw.withColumn("properties", last)
     if "properties" not in raw.columns:
         raw = raw.withColumn("properties", F.lit(None).cast("map<string,string>"))
     if "arrival" not in raw.columns and {"offset", "partition"} <= set(raw.columns):
         # Sessions are keyed to a partition; the partition number only parts equal offsets.
-        raw = raw.withColumn("arrival", F.col("offset") * 256 + F.col("partition") % 256)
+        raw = raw.withColumn("arrival", _joined(F.col("offset"), F.col("partition")))
     return raw.withColumn("body", F.col("body").cast("binary"))
 
 
@@ -43,11 +52,12 @@ def with_arrival(messages: DataFrame) -> DataFrame:
     """Number the messages of a bounded batch in reading order where the source has no number."""
     if "arrival" in messages.columns:
         return messages
-    # The id holds the partition above bit 33. Arrival numbers have 43 bits, so each partition
-    # gets 2^28 of them; running over would only blur the order between two partitions.
-    wide = F.monotonically_increasing_id()
-    number = F.shiftright(wide, 33) * (1 << 28) + wide.bitwiseAND(F.lit((1 << 33) - 1))
-    return messages.withColumn("arrival", number)
+    return messages.withColumn("arrival", F.monotonically_increasing_id())
+
+
+def _joined(high: Column, low: Column) -> Column:
+    """Two whole numbers as one that is ordered by the first, then by the second."""
+    return high.cast(ORDER) * F.lit(PLACES).cast("decimal(10,0)") + low.cast("decimal(10,0)")
 
 
 def decode(messages: DataFrame) -> DataFrame:
@@ -102,15 +112,18 @@ def _items(messages: DataFrame) -> DataFrame:
 
 def behaviour(messages: DataFrame) -> DataFrame:
     """Behaviour rows of raw messages, without those that have no session key."""
-    position = F.col("pos")
-    order = F.when(
-        position < ITEMS_PER_MESSAGE, F.col("arrival") * ITEMS_PER_MESSAGE + position
-    ).otherwise(F.raise_error(F.lit("message with too many events")).cast("bigint"))
+    return numbered_behaviour(messages).drop("arrival", "pos")
+
+
+def numbered_behaviour(messages: DataFrame) -> DataFrame:
+    """The same with the number of the message and the position in it."""
     event = F.col("item.event")
     return _items(messages).select(
         "batch_id",
+        "arrival",
+        "pos",
         F.col("item.session_id").alias("session_id"),
-        order.alias("ord"),
+        _joined(F.col("arrival"), F.col("pos")).cast(ORDER).alias("ord"),
         F.col("item.is_item").alias("is_item"),
         event.isNotNull().alias("is_event"),
         event.type.alias("type"),

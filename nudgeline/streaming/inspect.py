@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,8 +29,12 @@ def start(
     driver."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        count = batch.count()
-        show(batch_id, count, batch.limit(SAMPLE_ROWS).collect() if count else [])
+        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)  # the source is read once
+        try:
+            count = kept.count()
+            show(batch_id, count, kept.limit(SAMPLE_ROWS).collect() if count else [])
+        finally:
+            kept.unpersist()
 
     view = raw_view(stream).select("body_str", "properties")
     writer = view.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

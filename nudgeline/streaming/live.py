@@ -17,7 +17,8 @@ from ..functions.hashing import injection_id
 from ..models.scoring import with_scores
 from ..models.weights import ArmModel
 from ..operators import choice
-from ..settings import REWARD_EXIT, REWARD_HIT, REWARD_SPIKE, SPIKE_GAIN, Policy
+from ..operators.course import earned
+from ..settings import Policy
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PARTITIONS = "spark.sql.shuffle.partitions"
@@ -75,15 +76,8 @@ def advance(state: tuple, batch: Row, n_arms: int) -> tuple[tuple, dict | None]:
         before, reward, kind = batch["velocity"], None, "suggest"
         after = (seen | 1 << arm, arm, number, score, exploring, before, now)
     else:
-        gain = round(batch["velocity"] - before, 6)
-        if batch["n_items"] == 0:
-            reward = None
-        elif batch["hit_mask"] >> number & 1:
-            reward = REWARD_HIT
-        elif batch["has_exit"]:
-            reward = REWARD_EXIT
-        else:
-            reward = REWARD_SPIKE if gain > SPIKE_GAIN else None
+        judged_by = ("velocity", "has_exit", "hit_mask", "n_items")
+        reward = earned(number, before, *(batch[c] for c in judged_by))
         if reward is None:
             return unchanged, None
         arm, kind = open_arm, "judge"

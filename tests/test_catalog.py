@@ -4,8 +4,10 @@ import pytest
 
 import __spark_entry__ as contract
 import check
+import oracles
+from nudgeline import catalog
 
-EXPECTED = contract.oracle_sql()
+EXPECTED = oracles.oracle_sql()
 WITHOUT_SQL = {"model_refit", "learned_loop"}
 
 
@@ -15,13 +17,14 @@ def connection(small):
 
 
 def test_which_queries_have_no_sql():
-    assert set(contract.queries()) - set(EXPECTED) == WITHOUT_SQL
+    assert set(catalog.queries()) - set(EXPECTED) == WITHOUT_SQL
+    assert set(catalog.queries()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, connection, small, name):
     problem, n = check.compare(
-        spark, connection, small, name, contract.queries()[name], EXPECTED.get(name)
+        spark, connection, small, name, catalog.queries()[name], EXPECTED.get(name)
     )
     assert problem == "" and n > 0
 

@@ -146,3 +146,13 @@ def test_refit(spark):
     got = training.refit_predictions(table, POLICY, max_iter=30).collect()
     assert len(got) == 120
     assert sum(r["label"] == r["prediction"] for r in got) > 100
+
+
+def test_refit_reports_arms_with_one_label(spark):
+    table, rows = examples(spark, 60)
+    one_sided = table.withColumn("label", F.when(F.col("arm_idx") == 1, 1).otherwise(F.col("label")))
+    got = training.refit_predictions(one_sided, POLICY, max_iter=5).collect()
+    assert len(got) == 60
+    assert all(r["prediction"] == 1 for r in got if r["arm_idx"] == 1)
+    none = training.refit_predictions(table.limit(0), POLICY)
+    assert none.collect() == [] and "prediction" in none.columns
