@@ -15,6 +15,7 @@ from ..models import training
 from ..models.scoring import scorer
 from ..models.weights import ArmModel
 from ..operators import choice, session_batch
+from ..session import remove
 from ..settings import Policy
 from . import lifecycle, outputs
 from .ledger import Ledger
@@ -103,11 +104,6 @@ class LearningLoop:
         return True
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def table_sink(table: str, fmt: str = "parquet") -> Sink:
     """Writes each batch to its partition of a registered table and replaces it on a retry; nothing
     is written for a batch without rows."""
@@ -137,7 +133,7 @@ def file_sink(folder: str, fmt: str = "parquet") -> Sink:
         if rows.limit(1).count():
             rows.drop("batch_id").write.mode("overwrite").format(fmt).save(path)
         else:
-            _remove(rows.sparkSession, path)  # what an earlier try may have left
+            remove(rows.sparkSession, path)  # what an earlier try may have left
 
     return write
 

@@ -2,29 +2,48 @@
 
 The step log is the state: each row carries its session's state after the step, so the state
 before a batch is the newest row per session. Only sessions that changed are written per batch.
-Snapshots keep the part of the log that must be read short.
+Snapshots keep the part of the log that must be read short. They are cut into buckets of sessions:
+a batch reads the buckets of its own sessions, and a new snapshot rewrites the buckets that have
+changed, so neither grows with all sessions ever seen.
 
 Everything of batch n lies in a folder of its own that is overwritten as a whole; the commit is
 written last. A batch that is run again after a crash therefore reads the same state and models
-and replaces what it left behind, and a committed batch is skipped.
+and replaces what it left behind, and a committed batch is skipped. What a commit no longer refers
+to (older models, replaced buckets) is removed after it. The log itself is output and stays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..models import weights
 from ..models.weights import ArmModel
 from ..schemas import MODEL, STEP_LOG
+from ..session import remove
 from ..settings import Policy
 
-COMMIT = "batch_id BIGINT, model_version BIGINT, snapshot BIGINT, snapshot_upto BIGINT"
+# ``snapshots`` has the version of each bucket, null for one without sessions.
+COMMIT = (
+    "batch_id BIGINT, model_version BIGINT, snapshots ARRAY<BIGINT>, snapshot_upto BIGINT"
+)
 SLOTS = 64
+BUCKETS = 64
 _COLUMNS = [c.split(" ")[0] for c in STEP_LOG.split(", ")]
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _buckets(rows: DataFrame) -> list[int]:
+    """The buckets that occur; at most ``BUCKETS`` numbers."""
+    return sorted(r["bucket"] for r in rows.select(_bucket()).distinct().collect())
+
+
 def _is_missing(error: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in (error.getCondition() or "")
 
@@ -113,14 +132,25 @@ class Ledger:
         their ids travel to the state instead of the state to them. Sessions untouched for
         longer than the policy's ``ttl_batches`` are left out.
         """
+        touched = range(BUCKETS)
+        if sessions is not None and any(v is not None for v in self._versions()):
+            touched = _buckets(sessions)
+        rows = self._newest(batch_id, touched, sessions)
+        return rows if rows is not None else self.spark.createDataFrame([], STEP_LOG)
+
+    def _newest(
+        self, batch_id: int, buckets: Iterable[int], sessions: DataFrame | None = None
+    ) -> DataFrame | None:
+        """Newest step per session from the given buckets and the log since their snapshot."""
+        versions = self._versions()
+        paths = [self._bucket_path(versions[b], b) for b in buckets if versions[b] is not None]
         parts = []
-        if self.newest and self.newest["snapshot"] is not None:
-            path = self._path("snapshots", "version", self.newest["snapshot"])
-            parts.append(self.spark.read.schema(STEP_LOG).parquet(path).select(*_COLUMNS))
+        if paths:
+            parts.append(self.spark.read.schema(STEP_LOG).parquet(*paths).select(*_COLUMNS))
         if self.tail:
             parts.append(self._read_steps(self.tail))
         if not parts:
-            return self.spark.createDataFrame([], STEP_LOG)
+            return None
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
@@ -133,6 +163,26 @@ class Ledger:
         state = rows.groupBy("session_id").agg(F.max("batch_id").alias("batch_id"), newest)
         return state.select("session_id", "batch_id", "s.*").select(*_COLUMNS)
 
+    def _versions(self) -> list[int | None]:
+        found = self.newest and self.newest["snapshots"]
+        return list(found) if found else [None] * BUCKETS
+
+    def _bucket_path(self, version: int, bucket: int) -> str:
+        return f"{self._path('snapshots', 'version', version)}/bucket={bucket}"
+
+    def _write_snapshot(self, batch_id: int) -> list[int | None]:
+        """Writes the buckets that the log has changed since their last version anew; gives the
+        versions of all."""
+        touched = _buckets(self._read_steps(self.tail))
+        path = self._path("snapshots", "version", batch_id)
+        state = self._newest(batch_id + 1, touched).withColumn("bucket", _bucket())
+        state.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        written = set(_buckets(self.spark.read.schema(STEP_LOG).parquet(path)))
+        versions = self._versions()
+        for b in touched:
+            versions[b] = batch_id if b in written else None
+        return versions
+
     # --- commit ---
 
     def commit(self, batch_id: int, models: list[ArmModel] | None) -> None:
@@ -141,26 +191,29 @@ class Ledger:
         if models is not None:
             version = batch_id
             self.write_models(models, version)
-        snapshot = self.newest["snapshot"] if self.newest else None
+        before, versions = self._versions(), self._versions()
         upto = self.newest["snapshot_upto"] if self.newest else -1
         tail = [*self.tail, batch_id]
         if len(tail) >= self.policy.snapshot_every:
             self.tail = tail
-            state = self.state(batch_id + 1)
-            state.write.mode("overwrite").parquet(self._path("snapshots", "version", batch_id))
-            snapshot, upto, tail = batch_id, batch_id, []
+            versions, upto, tail = self._write_snapshot(batch_id), batch_id, []
+        old_model = self.newest["model_version"] if self.newest else None
         entry = {
             "batch_id": batch_id,
             "model_version": version,
-            "snapshot": snapshot,
+            "snapshots": versions,
             "snapshot_upto": upto,
         }
-        row = self.spark.range(1).select(
-            *[F.lit(value).cast("bigint").alias(name) for name, value in entry.items()]
-        )
+        row = self.spark.createDataFrame([tuple(entry.values())], COMMIT).coalesce(1)
         path = self._path("commits", "slot", batch_id % self._slots)
         row.write.mode("overwrite").parquet(path)
         self.newest = entry
         self.tail = tail
         if models is not None:
             self._models = models
+        # Nothing refers to these any more.
+        if old_model is not None and old_model != version:
+            remove(self.spark, self._path("models", "version", old_model))
+        for b, (old, new) in enumerate(zip(before, versions)):
+            if old is not None and old != new:
+                remove(self.spark, self._bucket_path(old, b))

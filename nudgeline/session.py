@@ -30,6 +30,12 @@ def build_session(app: str = "nudgeline", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, wherever it lies; nothing happens when it is not there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def working_folder(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables, named in ``spark.checkpoint.dir``."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
