@@ -71,6 +71,14 @@ def parse_payload(spark, folder):
     return parsed.drop("ord", "pos", "is_item", "is_event")
 
 
+def nested_payloads(spark, folder):
+    """Several payloads and events per message, null and empty lists, null events."""
+    parsed = messages.numbered_behaviour(replay.as_nested_messages(_rows(spark, folder)))
+    return parsed.select(
+        *KEYS, "arrival", "pos", "is_item", "is_event", "type", "ts_ms", "url", "el_id", "tgt_text"
+    )
+
+
 def session_key(spark, folder):
     sent = replay.as_messages(_rows(spark, folder), damaged=True)
     return messages.payloads(sent).where(messages.has_key()).select(
@@ -344,6 +352,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "raw_profile": raw_profile,
         "raw_sample": raw_sample,
         "parse_payload": parse_payload,
+        "nested_payloads": nested_payloads,
         "session_key": session_key,
         "quarantine": quarantine,
         "session_batch": session_batches,

@@ -111,6 +111,53 @@ def behaviour_of(events: DataFrame) -> DataFrame:
     )
 
 
+def _event(stamp: Column) -> Column:
+    element = F.struct(F.col("el_text").alias("textContent"), F.col("el_id").alias("id"))
+    target = F.struct(F.col("tgt_text").alias("textContent"), F.col("tgt_id").alias("id"))
+    return F.struct(
+        F.col("type"),
+        stamp.alias("timestamp"),
+        F.col("url"),
+        F.col("user_agent").alias("userAgent"),
+        F.struct(
+            F.col("scroll_depth").alias("scrollDepth"),
+            F.col("duration"),
+            element.alias("element"),
+            target.alias("target"),
+        ).alias("data"),
+    )
+
+
+def as_nested_messages(behaviour: DataFrame) -> DataFrame:
+    """Behaviour rows written back as messages of several payloads and events.
+
+    Up to eight neighbouring events of a session-batch make a message, numbered by the first. Its
+    first payload has the even ones, the second the odd ones and, in every third message, a null at
+    the end. Of four messages one has a third payload without a list of events, one with an empty one.
+    """
+    event = F.struct("ord", _event(F.col("ts_ms")).alias("event"))
+    bundles = behaviour.groupBy("batch_id", "session_id", F.floor(F.col("ord") / 8).alias("bundle")).agg(
+        F.min("ord").alias("arrival"), F.sort_array(F.collect_list(event)).alias("events")
+    )
+    number = F.col("arrival")
+
+    def part(odd):
+        own = F.filter("events", lambda e: e.ord % 2 == odd)
+        return F.transform(own, lambda e: e.event)
+
+    none = F.filter(part(0), lambda e: F.lit(False))
+    missing = F.get(F.array(none), F.lit(1))
+    ending = F.concat(part(1), F.array(F.get(none, F.lit(0))))
+
+    def payload(events):
+        return F.struct(F.struct(F.col("session_id").alias("sessionId"), events.alias("events")).alias("payload"))
+
+    first = F.array(payload(part(0)), payload(F.when(number % 3 == 0, ending).otherwise(part(1))))
+    extra = F.when(number % 4 == 0, F.array(payload(missing))).when(number % 4 == 1, F.array(payload(none)))
+    body = F.to_json(F.concat(first, F.coalesce(extra, F.filter(first, lambda p: F.lit(False)))))
+    return bundles.select("batch_id", "arrival", body.cast("binary").alias("body"))
+
+
 def as_messages(behaviour: DataFrame, damaged: bool = False) -> DataFrame:
     """Behaviour rows written back as raw messages, one event each.
 
@@ -125,25 +172,11 @@ def as_messages(behaviour: DataFrame, damaged: bool = False) -> DataFrame:
         own = F.when(n == 1, "").when(~n.isin(0, 2), sid)
         fallback = F.when(n != 2, sid)
         stamp = F.when(F.col("ord") % 100 != 4, stamp)
-    element = F.struct(F.col("el_text").alias("textContent"), F.col("el_id").alias("id"))
-    target = F.struct(F.col("tgt_text").alias("textContent"), F.col("tgt_id").alias("id"))
-    event = F.struct(
-        F.col("type"),
-        stamp.alias("timestamp"),
-        F.col("url"),
-        F.col("user_agent").alias("userAgent"),
-        F.struct(
-            F.col("scroll_depth").alias("scrollDepth"),
-            F.col("duration"),
-            element.alias("element"),
-            target.alias("target"),
-        ).alias("data"),
-    )
     payload = F.struct(
         own.alias("sessionId"),
         F.col("shown_component").alias("shownComponent"),
         F.struct(fallback.alias("sessionId")).alias("metadata"),
-        F.array(event).alias("events"),
+        F.array(_event(stamp)).alias("events"),
     )
     body = F.to_json(F.array(F.struct(payload.alias("payload"))))
     if damaged:

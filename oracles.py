@@ -385,6 +385,38 @@ def oracle_sql() -> dict[str, str]:
     sql["parse_payload"] = web + """
       SELECT batch_id, session_id, ord AS arrival, type, ts_ms, url, user_agent, scroll_depth,
              duration, el_text, tgt_text, el_id, tgt_id, shown_component FROM web"""
+    nothing = "CAST(NULL AS VARCHAR) AS type, NULL AS ts_ms, NULL AS url, NULL AS el_id, NULL AS tgt_text"
+    sql["nested_payloads"] = _with(
+        WEB,
+        f"""
+bundled AS (
+  SELECT *, min(ord) OVER (PARTITION BY batch_id, session_id, ord // 8) AS arrival FROM web
+),
+sent AS (
+  SELECT batch_id, session_id, arrival, count(*) FILTER (WHERE ord % 2 = 0) AS even,
+         count(*) FILTER (WHERE ord % 2 = 1) AS odd
+  FROM bundled GROUP BY ALL
+),
+items AS (
+  SELECT batch_id, session_id, arrival, ord % 2 AS payload, ord AS place, true AS is_item,
+         true AS is_event, type, ts_ms, url, el_id, tgt_text FROM bundled
+  UNION ALL
+  SELECT batch_id, session_id, arrival, 1, 1000000000000, true, false, {nothing}
+  FROM sent WHERE arrival % 3 = 0
+  UNION ALL
+  SELECT batch_id, session_id, arrival, 0, 0, false, false, {nothing} FROM sent WHERE even = 0
+  UNION ALL
+  SELECT batch_id, session_id, arrival, 1, 0, false, false, {nothing}
+  FROM sent WHERE odd = 0 AND arrival % 3 <> 0
+  UNION ALL
+  SELECT batch_id, session_id, arrival, 2, 0, false, false, {nothing}
+  FROM sent WHERE arrival % 4 IN (0, 1)
+)""",
+    ) + """
+SELECT batch_id, session_id, arrival, is_item, is_event, type, ts_ms, url, el_id, tgt_text,
+       CAST(row_number() OVER (PARTITION BY batch_id, session_id, arrival ORDER BY payload, place) - 1
+            AS INTEGER) AS pos
+FROM items"""
     sql["session_key"] = web + """
       SELECT batch_id, ord AS arrival, session_id FROM web
       WHERE ord % 50 NOT IN (1, 2) AND ord % 100 <> 3"""
