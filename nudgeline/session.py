@@ -37,8 +37,11 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def working_folder(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables, named in ``spark.checkpoint.dir``."""
+    """The shared folder for written intermediate tables, named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder in the warehouse, which all executors reach as well.
+    """
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
-        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors can reach")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return folder.rstrip("/")

@@ -103,10 +103,13 @@ def test_nothing_is_gathered_or_cut_off():
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - RUN_BATCHES))
 def test_plans_are_made_quickly(spark, small, name):
-    frame = catalog.queries()[name](spark, small)
-    start = time.perf_counter()
-    plan(frame)
-    assert time.perf_counter() - start < 3
+    took = []
+    for _ in range(2):  # the first one may load classes
+        frame = catalog.queries()[name](spark, small)
+        start = time.perf_counter()
+        plan(frame)
+        took.append(time.perf_counter() - start)
+    assert min(took) < 3
 
 
 def test_working_folder(spark):
