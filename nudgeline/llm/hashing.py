@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 KEPT_WORDS = 400_000
-_known: dict[bytes, int] = {}
+_known: dict[bytes, bytes] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -23,11 +23,14 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
         _known = {}
     known = _known
     found = list(map(known.get, words))
-    if None in found:
+    try:
+        data = b"".join(found)
+    except TypeError:  # some are new
         for i, h in enumerate(found):
             if h is None:
-                found[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    return np.array(found, np.uint64)
+                found[i] = known[words[i]] = xxhash.xxh3_64_digest(words[i])
+        data = b"".join(found)
+    return np.frombuffer(data, ">u8").astype(np.uint64)
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:

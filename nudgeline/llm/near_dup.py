@@ -8,14 +8,18 @@ full sketches too, and two documents agree in a bucket with a probability that i
 Documents with equal sets are one class from the start. Classes whose compressed registers agree in
 one of 64 bands of 4 meet in that band's group; at a similarity of 0.75 a pair misses all bands with
 a probability below 1e-10. A pair that meets is first judged by the share of equal registers, less
-the collisions to be expected by chance; what is clearly too far apart (six standard deviations
+the collisions to be expected by chance; what is clearly too far apart (five standard deviations
 below the threshold) goes, and the rest is verified on the full shingle sets.
 
-Not all pairs of a group are looked at: first only each member against the group's smallest one.
-Verified links are merged into components. Groups whose members are all connected are done; in the
-others more and more members serve as centres against those still apart, four times as many each
-round, until no group has an untested pair of different components. So large families cost one pair
-per member, and no link between different texts is lost to a cap.
+Not all pairs of a group are looked at: first only each member against the group's centre, the one
+that meets most others in all its groups (in a family, the text that the others are made from).
+Verified links are merged into components, and groups whose members are all connected are done. What
+is still apart is gathered under its most popular centre, in blocks of a few hundred sets: a task
+compares two blocks on the full sets and gives only links that join something. Pairs that meet in a
+band but under different centres are compared in the join itself, by size and one bit of every
+register; the few that may be near (again five standard deviations) are judged and verified like the
+others. So large families of near copies, and passages that stand in many documents, cost
+comparisons but no rows, and no link between different texts is lost to a cap.
 
 Everything between the steps is a table in the shared folder. Links, components and sketches never
 reach the driver; it sees counts.
@@ -46,7 +50,7 @@ BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 BAND = 4
 ROUNDS = 4
-DEVIATIONS = 6.0
+DEVIATIONS = 5.0
 # Share of registers of unrelated sets of equal size that agree by chance (a fixed value of the
 # sketch: 0.169919487 for registers without a mantissa).
 CHANCE = 0.169919487 / (1 << MANTISSA_BITS)
@@ -54,7 +58,13 @@ SHIP_IDS = 1 << 20
 
 _VALUE_BITS = 64 - BUCKET_BITS
 _EMPTY = np.uint64((1 << 64) - 1)
-_SKETCHED = "doc_id BIGINT, n_shingles BIGINT, high BIGINT, low BIGINT, registers BINARY"
+_SKETCHED = (
+    "doc_id BIGINT, n_shingles BIGINT, high BIGINT, low BIGINT, registers BINARY, "
+    "bits ARRAY<BIGINT>"
+)
+# Longs that hold one bit of every register.
+BIT_WORDS = BUCKETS // 64
+BLOCK = 400
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -84,8 +94,13 @@ def sketch(values: np.ndarray) -> np.ndarray:
         kept[empty] = found[empty]
         if not (kept == _EMPTY).any():
             break
-    for bucket in np.flatnonzero(kept == _EMPTY).tolist():
-        kept[bucket] = _seeded(values, ROUNDS + bucket).min() << np.uint64(BUCKET_BITS)
+    empty = np.flatnonzero(kept == _EMPTY)
+    step = max(1, (1 << 18) // len(values))
+    for start in range(0, len(empty), step):
+        some = empty[start : start + step]
+        seeds = (some + (ROUNDS + 1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        hashed = mixed(values[None, :] + seeds[:, None])
+        kept[some] = hashed.min(axis=1) << np.uint64(BUCKET_BITS)
     # The bits above the bucket's are left-aligned: zeros in front, then a one, then the mantissa.
     kept >>= np.uint64(BUCKET_BITS)
     length = np.frexp(kept.astype(np.float64))[1].astype(np.int64)
@@ -95,14 +110,21 @@ def sketch(values: np.ndarray) -> np.ndarray:
     return (zeros.astype(np.uint64) << np.uint64(MANTISSA_BITS) | mantissa).astype("<u2")
 
 
+def register_bits(registers: np.ndarray) -> np.ndarray:
+    """The last bit of every register, 64 to a long."""
+    return np.packbits((registers & 1).astype(np.uint8)).view("<i8")
+
+
 def _sketch_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_by_bytes(batches, "body"):
-        sizes, digests, registers = [], [], []
+        sizes, digests, registers, bits = [], [], [], []
         for text in batch.column("body").to_pylist():
             values = shingles(text)
             sizes.append(len(values))
             digests.append(xxhash.xxh3_128_digest(values.tobytes()))
-            registers.append(sketch(values).tobytes() if len(values) else None)
+            own = sketch(values) if len(values) else None
+            registers.append(None if own is None else own.tobytes())
+            bits.append(None if own is None else register_bits(own).tolist())
         halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
             [
@@ -111,8 +133,9 @@ def _sketch_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.ascontiguousarray(halves[:, 0])),
                 pa.array(np.ascontiguousarray(halves[:, 1])),
                 pa.array(registers, pa.binary()),
+                pa.array(bits, pa.list_(pa.int64())),
             ],
-            names=["doc_id", "n_shingles", "high", "low", "registers"],
+            names=["doc_id", "n_shingles", "high", "low", "registers", "bits"],
         )
 
 
@@ -218,43 +241,171 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent).select("a", "b")
 
 
+class _Verifier:
+    """Turns candidate pairs into links, each pair once."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, percent: int, folder: str):
+        self.rows, self.nodes, self.percent, self.folder = rows, nodes, percent, folder
+        self.tested: DataFrame | None = None
+        self.step = 0
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        at, self.step = f"{self.folder}/step-{self.step}", self.step + 1
+        pairs = pairs.distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = landed(pairs, f"{at}/pairs")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        if not pairs.limit(1).count():
+            return pairs
+        plausible = landed(_plausible_pairs(pairs, self.nodes, self.percent), f"{at}/plausible")
+        met = plausible.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = self.nodes.drop("registers", "bits").join(met, "node", "left_semi")
+        sets = landed(_sets(self.rows, wanted), f"{at}/sets")
+        return landed(_verified(plausible, sets, self.percent), f"{at}/links")
+
+
+def _canopies(apart: DataFrame) -> DataFrame:
+    """The most popular centre that each member of a group meets."""
+    centres = apart.where(F.col("turn") == 1).select("band", F.struct("rank", "node").alias("centre"))
+    top = apart.select("band", "node").join(centres, "band").groupBy("node")
+    return top.agg(F.max("centre")["node"].alias("canopy"))
+
+
+def _canopy_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links inside canopies. ``members`` have canopy, node, component and shingles.
+
+    A canopy is dealt into blocks, and every two blocks (or one with itself) make a task of at most
+    about ``2 * BLOCK`` sets, however large the canopy is.
+    """
+    sizes = members.groupBy("canopy").agg(
+        F.count(F.lit(1)).alias("m"), F.min("component").alias("x"), F.max("component").alias("y")
+    )
+    sizes = sizes.where(F.col("x") != F.col("y"))
+    n = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = members.join(sizes.select("canopy", n.alias("n")), "canopy")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    keys = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    dealt = dealt.select("canopy", *keys, "block", "node", "component", "shingles")
+
+    def compare(key, rows):
+        i, j = key[1].as_py(), key[2].as_py()
+        block = rows.column("block").to_numpy()
+        found = _near_pairs(
+            [x.values.to_numpy().view(np.uint64) for x in rows.column("shingles")],
+            rows.column("component").to_numpy(),
+            block == i,
+            block == j,
+            percent,
+        )
+        node = rows.column("node").to_numpy()
+        a, b = node[found[:, 0]], node[found[:, 1]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("canopy", "i", "j").applyInArrow(compare, "a BIGINT, b BIGINT")
+
+
+def _near_pairs(
+    sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int
+) -> np.ndarray:
+    """Places (x, y) of near pairs between two parts of some sets, as many as join components."""
+    size = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1  # the others are in one set only
+    number = np.cumsum(shared) - 1
+    use = shared[column]
+    column, owner = number[column[use]], owner[use]
+    xs, ys = np.flatnonzero(left), np.flatnonzero(right)
+    both = np.zeros((len(xs), len(ys)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for start in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        table = np.zeros((len(sets), 4096), np.float32)
+        table[owner[a:b], column[a:b] - start] = 1
+        both += table[xs] @ table[ys].T
+    common = both.astype(np.int64)
+    union = size[xs][:, None] + size[ys][None, :] - common
+    near = (common * 100 >= union * percent) & (component[xs][:, None] != component[ys][None, :])
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for x, y in np.argwhere(near):
+        p, q = find(int(component[xs[x]])), find(int(component[ys[y]]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((xs[x], ys[y]))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _near_across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a band's members from different components and canopies that may be near, by size
+    and register bits.
+
+    Registers that differ agree in their last bit half the time, so a pair at the threshold has
+    half as many different bits as different registers.
+    """
+    share = (1 - percent / 100) / 2
+    limit = BUCKETS * share + DEVIATIONS * (BUCKETS * share * (1 - share)) ** 0.5
+    x, y = members.alias("x"), members.alias("y")
+    small = F.least("x.n_shingles", "y.n_shingles")
+    large = F.greatest("x.n_shingles", "y.n_shingles")
+    apart = sum(
+        F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(BIT_WORDS)
+    )
+    near = (
+        (F.col("x.band") == F.col("y.band"))
+        & (F.col("x.turn") < F.col("y.turn"))
+        & (F.col("x.component") != F.col("y.component"))
+        & (F.col("x.canopy") != F.col("y.canopy"))
+        & (small * 100 >= large * percent)
+        & (apart <= limit)
+    )
+    a, b = F.col("x.node"), F.col("y.node")
+    return x.join(y, near).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+
 # --- components ------------------------------------------------------------------------------------
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
     """``node`` and ``component`` (its smallest reachable node) of every linked node.
 
-    Large-star and small-star steps in turn: every node's larger neighbours, then its smaller ones,
-    are linked to the smallest node seen. Both keep components and end in stars.
+    Every node takes its smallest smaller neighbour as parent, and its other smaller neighbours are
+    linked to that one instead; links move to ever smaller nodes until parents are all that is left.
+    Then parents are replaced by their parents until all are roots.
     """
-    edges = landed(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        f"{folder}/edges-0",
-    )
-    state = _state(edges)
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    least = F.min("v").over(Window.partitionBy("u"))
     step = 0
     while True:
+        moved = landed(edges.distinct().withColumn("p", least), f"{folder}/parents-{step}")
+        rest = moved.where(F.col("v") != F.col("p"))
+        if not rest.limit(1).count():
+            break
+        kept = moved.where(F.col("v") == F.col("p")).select("u", "v")
+        edges = kept.unionByName(rest.select(F.col("v").alias("u"), F.col("p").alias("v")))
         step += 1
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u")
-        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = landed(large, f"{folder}/large-{step}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = landed(edges, f"{folder}/edges-{step}")
-        before, state = state, _state(edges)
-        if state == before:
-            roots = edges.select("v").distinct().select(F.col("v").alias("u"), "v")
-            return edges.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
-
-
-def _state(edges: DataFrame) -> tuple:
-    """Count and a sum over all edges; equal for equal tables."""
-    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count(F.lit(1)), mark).first())
+    tree, step = moved.select("u", "p"), 0
+    while True:
+        up = tree.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        risen = tree.join(up, "p", "left").select(
+            "u", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("rose")
+        )
+        risen = landed(risen, f"{folder}/tree-{step}")
+        tree = risen.select("u", "p")
+        if not risen.where("rose").limit(1).count():
+            break
+        step += 1
+    roots = tree.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct()
+    return tree.select(F.col("u").alias("node"), F.col("p").alias("component")).unionByName(roots)
 
 
 # --- all together ----------------------------------------------------------------------------------
@@ -279,61 +430,47 @@ def find(
     )
     nodes = landed(
         leaders.dropDuplicates(["node"]).select(
-            "node", "doc_id", "high", "low", "n_shingles", "registers"
+            "node", "doc_id", "high", "low", "n_shingles", "registers", "bits"
         ),
         f"{folder}/nodes",
     )
     bands = nodes.select("node", "registers").mapInArrow(_bands, "band BIGINT, node BIGINT")
-    least = bands.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"))
-    groups = landed(
-        bands.join(least.where(F.col("n") > 1), "band").select("band", "node", "centre"),
-        f"{folder}/groups",
+    size = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    met = landed(bands.join(size, "band").select("band", "node", "n"), f"{folder}/met")
+    # In a family the text that the others are made from meets most of them, so the member with the
+    # most company is the centre. The smaller node wins ties.
+    company = met.groupBy("node").agg(F.sum("n").alias("company"))
+    rank = F.struct("company", (-F.col("node")).alias("back")).alias("rank")
+    groups = landed(met.join(company, "node").select("band", "node", "n", rank), f"{folder}/groups")
+    centres = groups.groupBy("band").agg((-F.max("rank")["back"]).alias("a"))
+    pairs = groups.join(centres, "band").where(F.col("node") != F.col("a"))
+    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    check = _Verifier(rows, nodes, percent, folder)
+    links = check.links(pairs)
+    # Groups of three and more that still hold different components.
+    known = nodes.select("node", "n_shingles", "bits")
+    known = known.join(components(links, f"{folder}/first"), "node", "left")
+    known = landed(
+        known.withColumn("component", F.coalesce("component", "node")), f"{folder}/known"
     )
-    known = nodes.select("node", F.col("node").alias("component"))
-    pairs = groups.where(F.col("node") != F.col("centre"))
-    pairs = pairs.select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    links, tested, served, step = None, None, 1, 0
-    while True:
-        pairs = landed(pairs.distinct(), f"{folder}/pairs-{step}")
-        if not pairs.limit(1).count():
-            break
-        fresh = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        plausible = landed(_plausible_pairs(fresh, nodes, percent), f"{folder}/plausible-{step}")
-        met = plausible.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = landed(
-            _sets(rows, nodes.drop("registers").join(met, "node", "left_semi")),
-            f"{folder}/sets-{step}",
-        )
-        new = landed(_verified(plausible, sets, percent), f"{folder}/links-{step}")
-        if new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            found = components(links, f"{folder}/step-{step}")
-            known = nodes.select("node").join(found, "node", "left")
-            known = known.select("node", F.coalesce("component", "node").alias("component"))
-            known = landed(known, f"{folder}/components-{step}")
-        # Groups that still hold different components; their first members have been centres.
-        members = groups.select("band", "node").join(known, "node")
-        apart = members.groupBy("band").agg(
-            F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")
-        )
-        apart = apart.where((F.col("x") != F.col("y")) & (F.col("n") > served + 1)).select("band")
-        turn = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-        ranked = members.join(apart, "band", "left_semi").withColumn("turn", turn)
-        step += 1
-        ranked = landed(ranked, f"{folder}/apart-{step}")
-        serve = 4 * served
-        centres = ranked.where((F.col("turn") > served) & (F.col("turn") <= served + serve)).select(
-            "band",
-            F.col("node").alias("a"),
-            F.col("component").alias("a_component"),
-            F.col("turn").alias("a_turn"),
-        )
-        pairs = centres.join(ranked, "band").where(
-            (F.col("turn") > F.col("a_turn")) & (F.col("component") != F.col("a_component"))
-        )
-        pairs = pairs.select("a", F.col("node").alias("b"))
-        served += serve
+    members = groups.where(F.col("n") > 2).join(known, "node")
+    apart = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    apart = apart.where(F.col("x") != F.col("y")).select("band")
+    by_rank = Window.partitionBy("band").orderBy(F.col("rank").desc())
+    turn = F.row_number().over(by_rank).alias("turn")
+    apart = members.join(apart, "band", "left_semi").withColumn("turn", turn)
+    apart = landed(apart, f"{folder}/apart")
+    canopies = landed(_canopies(apart), f"{folder}/canopies")
+    wanted = nodes.drop("registers", "bits").join(canopies, "node", "left_semi")
+    sets = landed(_sets(rows, wanted), f"{folder}/canopy-sets")
+    inside = canopies.join(known.select("node", "component"), "node").join(sets, "node")
+    inside = landed(_canopy_links(inside, percent), f"{folder}/canopy-links")
+    links = links.unionByName(inside)
+    apart = apart.drop("rank").join(canopies, "node")
+    links = links.unionByName(check.links(_near_across(apart, percent)))
+    found = components(links, f"{folder}/all")
+    known = nodes.select("node").join(found, "node", "left")
+    known = known.select("node", F.coalesce("component", "node").alias("component"))
     ids = known.join(classes.select("node", "leader"), "node")
     names = ids.groupBy("component").agg(F.min("leader").alias("component_id"))
     ids = ids.join(names, "component").select("node", "component_id")

@@ -86,6 +86,38 @@ def test_many_members_that_only_meet_through_others(spark):
     assert {i: r["component_id"] for i, r in fixtures.by_id(near_dup.find(docs)).items()} == want
 
 
+def test_blocks_of_a_canopy(spark, monkeypatch):
+    """Families far larger than a block, whose members are partly near each other."""
+    monkeypatch.setattr(near_dup, "BLOCK", 6)
+    rows = [(i, t) for i, t in enumerate(t for s in (11, 12) for t in family(s, 40, 150, 12))]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    want = plain_components(plain_sets(rows))
+    assert 2 < len(set(want.values())) < len(rows)
+    assert {i: r["component_id"] for i, r in fixtures.by_id(near_dup.find(docs)).items()} == want
+
+
+def test_near_pairs_join_what_is_near():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = []
+    for i in range(30):
+        own = base.copy()
+        own[rng.choice(60, rng.integers(0, 9), replace=False)] = rng.integers(1 << 62, 1 << 63)
+        sets.append(np.unique(own))
+    component = np.arange(30)
+    every = np.ones(30, bool)
+    found = near_dup._near_pairs(sets, component, every, every, 75)
+    root = list(range(30))
+    for x, y in found:
+        a, b = set(sets[x].tolist()), set(sets[y].tolist())
+        assert 100 * len(a & b) >= 75 * len(a | b)
+        old, new = root[y], root[x]
+        root = [new if r == old else r for r in root]
+    plain = plain_components({i: set(s.tolist()) for i, s in enumerate(sets)})
+    assert {(plain[i] == plain[j]) == (root[i] == root[j]) for i in range(30) for j in range(30)} == {True}
+    assert len(found) == 30 - len(set(plain.values()))
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(3)
     for n, share in ((2000, 0.75), (300, 0.9), (12, 0.5), (1, 1.0)):
