@@ -8,17 +8,21 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from ..session import remove, working_folder
 
+__all__ = [
+    "batches_by_bytes",
+    "documents",
+    "landed",
+    "remove",
+    "set_columns",
+    "workspace",
+]
 
-def workspace(spark: SparkSession, name: str, folder: str | None = None) -> str:
-    """A new folder for one run, below ``folder`` or the shared one of ``spark.checkpoint.dir``.
 
-    Without either there is no place that all executors see, so that is an error.
-    """
-    base = folder or spark.conf.get(CHECKPOINT_KEY, None)
-    if not base:
-        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors can reach")
+def workspace(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A new folder for one run, below ``folder`` or the session's shared one."""
+    base = folder or working_folder(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -28,22 +32,10 @@ def landed(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of written tables, wherever it lies."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(conf).delete(place, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def whole_text(text: str = "text") -> Column:
-    """The text, empty for null."""
-    return F.coalesce(F.col(text), F.lit(""))
-
-
 def set_columns(rows: DataFrame, new: dict[str, Column]) -> DataFrame:
     """Adds columns; those of the input with the same name (in any case) give way."""
     taken = {n.lower() for n in new}
