@@ -167,8 +167,9 @@ def write(
     spark = docs.sparkSession
     n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("body"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("body").asc_nulls_first()]
-    ranged = rows.repartitionByRange(n_files, *order).sortWithinPartitions(*order)
+    by_id = F.col("doc_id").asc_nulls_first()
+    ranged = rows.repartitionByRange(n_files, by_id)
+    ranged = ranged.sortWithinPartitions(by_id, F.col("body").asc_nulls_first())
     files = ranged.mapInArrow(_writer(f"{folder}/files", vocabulary, end_id), _INDEX)
     return landed(files, f"{folder}/index")
 
