@@ -43,7 +43,7 @@ def set_columns(rows: DataFrame, new: dict[str, Column]) -> DataFrame:
     return rows.select(*kept, *[c.alias(n) for n, c in new.items()])
 
 
-def batches_by_bytes(batches: Iterator, column: str, limit: int = 1 << 25) -> Iterator:
+def batches_by_bytes(batches: Iterator, column: str, limit: int = 1 << 23) -> Iterator:
     """Arrow batches cut so that a text column holds about ``limit`` bytes at most (or one row).
 
     A batch of very long texts then never meets its Python copies all at once.

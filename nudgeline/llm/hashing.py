@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 _known: dict[bytes, bytes] = {}
 
 

@@ -14,7 +14,7 @@ from array import array
 import numpy as np
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 # Letters whose lower case and composition are settled, then at most one run of closing marks.
 _LETTERS = [chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
 _SIMPLE = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?|]*)")
