@@ -147,34 +147,55 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+_CHUNK = 1 << 19
+
+
 def fit(rows: list[tuple[int, int, bytes, bytes]], steps: int = 150) -> Classifier | None:
-    """Logistic regression by Adam on the whole sample; every fifth row only calibrates."""
-    rows = sorted(rows)
+    """Logistic regression by Adam on the whole sample; every fifth row only calibrates.
+
+    The sample lies in memory once, in narrow numbers; sums over it are made piece by piece.
+    """
+    rows = sorted(rows, key=lambda r: r[:2])
+    # Rows to learn from first, so that they are one run of entries.
+    rows = [r for i, r in enumerate(rows) if i % 5] + rows[::5]
     y = np.array([r[1] for r in rows], np.float64)
     if len(rows) < 10 or y.min() == y.max():
         return None
-    slots = [np.frombuffer(r[2], "<i4") for r in rows]
-    index = np.concatenate(slots)
-    value = np.concatenate([np.frombuffer(r[3], "<f4") for r in rows]).astype(np.float64)
-    owner = np.repeat(np.arange(len(rows)), [len(s) for s in slots])
-    train = np.arange(len(rows)) % 5 != 0
-    own = train[owner]
+    n = len(rows) - len(rows[::5])
+    sizes = [len(r[2]) // 4 for r in rows]
+    index = np.concatenate([np.frombuffer(r[2], "<i4") for r in rows])
+    value = np.concatenate([np.frombuffer(r[3], "<f4") for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    del rows
+    learned = int(sum(sizes[:n]))
+
+    def margins(w: np.ndarray, stop: int, count: int) -> np.ndarray:
+        z = np.zeros(count)
+        for at in range(0, stop, _CHUNK):
+            part = slice(at, min(at + _CHUNK, stop))
+            z += np.bincount(owner[part], value[part] * w[index[part]], count)
+        return z
+
+    def gradient(error: np.ndarray) -> np.ndarray:
+        g = np.zeros(2 * SLOTS)
+        for at in range(0, learned, _CHUNK):
+            part = slice(at, min(at + _CHUNK, learned))
+            g += np.bincount(index[part], value[part] * error[owner[part]], 2 * SLOTS)
+        return g
+
     w, bias = np.zeros(2 * SLOTS), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    n = train.sum()
-    t_index, t_value, t_owner = index[own], value[own], owner[own]
     for step in range(1, steps + 1):
-        z = np.bincount(t_owner, t_value * w[t_index], len(rows)) + bias
-        error = np.where(train, 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y, 0.0) / n
-        g = np.bincount(t_index, t_value * error[t_owner], 2 * SLOTS) + 1e-6 * w
-        gb = error.sum()
+        z = margins(w, learned, n) + bias
+        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[:n]) / n
+        g, gb = gradient(error) + 1e-6 * w, error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         fix, fix2 = 1 - 0.9**step, 1 - 0.999**step
         w -= 0.05 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
         bias -= 0.05 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
-    z = np.bincount(owner, value * w[index], len(rows)) + bias
-    slope, shift = _calibrated(z[~train], y[~train])
+    z = margins(w, len(index), len(y)) + bias
+    slope, shift = _calibrated(z[n:], y[n:])
     return Classifier(w.astype(np.float32), float(bias), slope, shift)
 
 
@@ -212,8 +233,7 @@ def train(
     found = rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "good", "body")
     made = found.mapInArrow(_features, "doc_id BIGINT, good INT, slots BINARY, shares BINARY")
     # Repeated document rows may exceed the bound; the lowest ids stay within it.
-    sample = made.orderBy("doc_id").limit(max_rows).collect()
-    return fit([(r["doc_id"], r["good"], bytes(r["slots"]), bytes(r["shares"])) for r in sample])
+    return fit([tuple(r) for r in made.orderBy("doc_id").limit(max_rows).collect()])
 
 
 # --- scoring ---------------------------------------------------------------------------------------
