@@ -6,9 +6,10 @@ without reading the rest. It has two halves, both sums of wide vectors modulo a
 
 * ``exact``: 32 lanes modulo 2^32, hashed from each paragraph's bytes; equal multisets are equal
   here, different ones differ but for chance;
-* ``likeness``: 128 lanes modulo 2^16, where every phrase of a paragraph (a run without closing
+* ``likeness``: 128 lanes modulo 2^32, where every phrase of a paragraph (a run without closing
   marks, of 96 bytes at most) adds +1 or -1 to every lane. The angle between two such vectors tells
-  how many phrases two documents share: 1 for equal, near 0 for unrelated ones.
+  how many phrases two documents share: 1 for equal, near 0 for unrelated ones. Lanes are read as
+  signed numbers; a text of 2 GB, the most a row can hold, has fewer than 2^31 phrases.
 
 ``edited`` is a worked use: every text loses its last third to the beginning of its neighbour in
 descending order of ids, and its new fingerprint is the old one minus the paragraphs that went plus
@@ -66,7 +67,7 @@ class Fingerprint:
                 digests = b"".join([xxhash.xxh3_128_digest(p.strip()) for p in phrases])
                 signs = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1)
                 likeness += 2 * signs.sum(axis=0, dtype=np.int64) - len(phrases)
-        return cls(exact, likeness.astype(np.uint16))
+        return cls(exact, likeness.astype(np.uint32))
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.exact + other.exact, self.likeness + other.likeness)
@@ -75,14 +76,14 @@ class Fingerprint:
         return Fingerprint(self.exact - other.exact, self.likeness - other.likeness)
 
     def __str__(self) -> str:
-        data = self.exact.astype("<u4").tobytes() + self.likeness.astype("<u2").tobytes()
+        data = self.exact.astype("<u4").tobytes() + self.likeness.astype("<u4").tobytes()
         return base64.b64encode(data).decode()
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
         data = base64.b64decode(text)
         cut = 4 * EXACT_LANES
-        return cls(np.frombuffer(data[:cut], "<u4"), np.frombuffer(data[cut:], "<u2"))
+        return cls(np.frombuffer(data[:cut], "<u4"), np.frombuffer(data[cut:], "<u4"))
 
     def same(self, other: Fingerprint) -> bool:
         return bool((self.exact == other.exact).all())
@@ -91,7 +92,7 @@ class Fingerprint:
         """0 to 1; the lanes are read as signed numbers."""
         if self.same(other):
             return 1.0
-        a, b = (x.likeness.astype(np.int16).astype(np.float64) for x in (self, other))
+        a, b = (x.likeness.astype(np.int32).astype(np.float64) for x in (self, other))
         size = math.sqrt(float(a @ a) * float(b @ b))
         return round(min(1.0, max(0.0, float(a @ b) / size)), 6) if size else 0.0
 

@@ -55,3 +55,15 @@ def test_single_row_is_its_own_neighbour(spark):
     row = edited(docs, n_parts=4).collect()[0]
     assert row["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
     assert row["near_next"] == 1.0
+
+
+def test_many_equal_phrases_do_not_change_a_sign(spark):
+    many = "ab.\n" * 40000
+    docs = spark.createDataFrame([(7, many), (3, "xy")], "doc_id BIGINT, text STRING")
+    found = fixtures.by_id(edited(docs, n_parts=2))
+    assert found[7]["near_edited"] > 0.99
+    whole = Fingerprint.of(paragraphs(many))
+    assert np.abs(Fingerprint.parse(str(whole)).likeness.astype(np.int32)).max() == 40000
+    half = Fingerprint.of(paragraphs(many[: len(many) // 2]))
+    assert whole.like(half) > 0.99
+    assert (whole - half).like(half) > 0.99
