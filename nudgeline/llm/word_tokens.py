@@ -2,8 +2,9 @@
 
 The tokenizer cuts at white space before anything else, so a text's ids are those of its words in a
 row. Words repeat, so each task keeps the ids of words it has met in a table of bounded size. Words
-of plain letters and closing punctuation go straight to the tokenizer's model; all others, and texts
-that may hold a special token, take its whole way.
+of plain letters and closing punctuation go straight to the tokenizer's model; all others take its
+whole way. Words are looked up in lower case, but a special token counts in its own spelling only, so
+a text that holds one in any case is encoded as a whole, as it stands.
 """
 
 from __future__ import annotations
@@ -36,9 +37,8 @@ class WordEncoder:
         # How the vocabulary writes each letter's bytes.
         spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self._table = {ord(c): spell(c)[0][0] for c in _LETTERS}
-        # A text that may hold a special token is encoded as a whole.
         specials = self.tokenizer.get_added_tokens_decoder().values()
-        self._specials = [t.content.encode() for t in specials]
+        self._specials = [t.content.encode().lower() for t in specials]
         self.kept_words = kept_words
         self.known: dict[bytes, bytes] = {}
 
@@ -65,10 +65,11 @@ class WordEncoder:
         known, out = self.known, []
         for text in texts:
             raw = (text or "").encode()
-            if any(s in raw for s in self._specials):
+            lower = raw.lower()
+            if any(s in lower for s in self._specials):
                 out.append(self._whole(text))
                 continue
-            words = raw.lower().split()
+            words = lower.split()
             found = list(map(known.get, words))
             if None in found:
                 for i, ids in enumerate(found):

@@ -30,6 +30,16 @@ def test_word_by_word_equals_the_whole(tokenizer):
         assert found == [plain_ids(tokenizer, t, 0)[:-1] for t in texts]
 
 
+def test_special_tokens_count_in_their_own_spelling_only(tokenizer):
+    texts = ["<|ENDOFTEXT|>", "Some <|EndOfText|> more", "x<|STARTOFTEXT|>y <|endoftext|> Z"]
+    texts += ["<|endoftext|>", "<|startofTEXT|> and <|startoftext|>", "<|ENDOF TEXT|>"]
+    encoder = WordEncoder()
+    for _ in range(2):
+        found = [np.frombuffer(b, "<u2").tolist() for b in encoder.encode_all(texts)]
+        assert found == [plain_ids(tokenizer, t, 0)[:-1] for t in texts]
+    assert 49407 not in found[0] and found[3] == [49407]
+
+
 def test_round_trip(spark, tokenizer, tmp_path):
     rows = fixtures.texts()
     docs = fixtures.documents(spark, rows)
