@@ -39,6 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import batches_by_bytes, landed, workspace
 from .hashing import mixed, window_hashes, word_hashes
@@ -411,12 +412,9 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 # --- all together ----------------------------------------------------------------------------------
 
 
-def find(
-    docs: DataFrame, text: str = "text", percent: int = PERCENT, folder: str | None = None
-) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row."""
-    spark = docs.sparkSession
-    folder = workspace(spark, "near-dup", folder)
+def _placed(docs: DataFrame, text: str, percent: int, folder: str) -> DataFrame:
+    """Id, size and digest of every row's set, and its component: the number of one (unlike its
+    smallest id, no other has it) and that id. Both are null without an id or a set."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("body"))
     sketched = landed(rows.mapInArrow(_sketch_all, _SKETCHED), f"{folder}/sketched")
     usable = sketched.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -473,11 +471,20 @@ def find(
     known = known.select("node", F.coalesce("component", "node").alias("component"))
     ids = known.join(classes.select("node", "leader"), "node")
     names = ids.groupBy("component").agg(F.min("leader").alias("component_id"))
-    ids = ids.join(names, "component").select("node", "component_id")
-    ids = classes.join(ids, "node").select("high", "low", "component_id")
+    ids = ids.join(names, "component").select("node", "component", "component_id")
+    ids = classes.join(ids, "node").select("high", "low", "component", "component_id")
     placed = sketched.join(ids, ["high", "low"], "left")
     has_set = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    component = F.when(has_set, F.col("component_id")).otherwise(F.col("doc_id"))
+    own = [F.when(has_set, F.col(c)).alias(c) for c in ("component", "component_id")]
+    return placed.select("doc_id", "n_shingles", "high", "low", *own)
+
+
+def find(
+    docs: DataFrame, text: str = "text", percent: int = PERCENT, folder: str | None = None
+) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row."""
+    placed = _placed(docs, text, percent, workspace(docs.sparkSession, "near-dup", folder))
+    component = F.coalesce("component_id", "doc_id")
     return placed.select(
         "doc_id",
         "n_shingles",
@@ -486,13 +493,72 @@ def find(
     )
 
 
+def _digested(text: str, names: list[str]):
+    """Adds size and digest of each text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_by_bytes(batches, text):
+            sets = (shingles(t) for t in batch.column(text).to_pylist())
+            found = [(len(x), xxhash.xxh3_128_digest(x.tobytes())) for x in sets]
+            halves = np.frombuffer(b"".join(d for _, d in found), "<i8").reshape(-1, 2)
+            made = [
+                pa.array([n for n, _ in found], pa.int64()),
+                pa.array(np.ascontiguousarray(halves[:, 0])),
+                pa.array(np.ascontiguousarray(halves[:, 1])),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+
+    return run
+
+
+def _left_of_repeated(
+    docs: DataFrame, several: DataFrame, placed: DataFrame, text: str, folder: str
+) -> DataFrame:
+    """What stays of the rows whose id other rows have too. They are known by id and digest."""
+    rows = docs.join(several.hint("shuffle_hash"), docs["doc_id"] == F.col("__id"), "left_semi")
+    made = [StructField(c, LongType()) for c in ("__size", "__high", "__low")]
+    schema = StructType([*docs.schema.fields, *made])
+    rows = rows.mapInArrow(_digested(text, schema.names), schema)
+    rows = landed(
+        rows.withColumn("__row", F.monotonically_increasing_id()), f"{folder}/repeated-ids"
+    )
+    # The sets that their components keep: texts of one id may be near each other as well.
+    first = placed.where(F.col("component_id") == F.col("doc_id")).groupBy("component")
+    first = first.agg(F.min(F.struct("high", "low", "doc_id")).alias("s")).select("s.*")
+    keys = rows.where(F.col("__size") > 0).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("__high").alias("high"),
+        F.col("__low").alias("low"),
+        F.struct(F.xxhash64(text).alias("hash"), "__row").alias("order"),
+    )
+    stays = keys.join(first, ["doc_id", "high", "low"]).groupBy("doc_id", "high", "low")
+    stays = stays.agg(F.min("order")["__row"].alias("__row")).select("__row")
+    without = rows.where(F.col("__size") == 0)
+    left = rows.join(stays, "__row", "left_semi").select(rows.columns).unionByName(without)
+    return left.drop("__size", "__high", "__low", "__row")
+
+
 def deduplicate(
     docs: DataFrame, text: str = "text", percent: int = PERCENT, folder: str | None = None
 ) -> DataFrame:
-    """The documents with one of each component left, the one with the smallest id.
+    """The documents with one row of each component left, one with the smallest id.
 
-    What goes is the small side, so it is hashed and the texts are not sorted.
+    Rows that share an id go or stay each by its own set, and of rows with equal id and set one
+    stays. Rows without a set are linked with nothing and stay. What goes is the small side, so it
+    is hashed and the texts are not sorted; only texts of ids that several rows share are read for
+    their sets again.
     """
-    gone = find(docs, text, percent, folder).where(~F.col("kept"))
+    folder = workspace(docs.sparkSession, "near-dup", folder)
+    placed = _placed(docs, text, percent, folder).where(F.col("doc_id").isNotNull())
+    placed = landed(placed, f"{folder}/placed")
+    gone = placed.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    times = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    several = landed(times.select(F.col("doc_id").alias("__id")), f"{folder}/several")
+    shared = several.limit(1).count() > 0
+    if shared:
+        gone = gone.unionByName(several.select(F.col("__id").alias("doc_id")))
     gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    left = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    if not shared:
+        return left
+    return left.unionByName(_left_of_repeated(docs, several, placed, text, folder))

@@ -68,6 +68,25 @@ def test_against_plain_version(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(want.values()))
 
 
+def test_rows_that_share_an_id_go_each_by_its_own_text(spark):
+    one, near, *_ = family(21, 1, 90, 2)
+    two, three = family(22, 0, 80, 2)[0], family(23, 0, 70, 2)[0]
+    four, close, *_ = family(24, 1, 90, 2)
+    other = family(25, 0, 60, 2)[0]
+    rows = [(1, one), (5, near), (5, two), (7, three), (7, three), (7, three.upper())]
+    rows += [(9, four), (9, close), (9, other), (10, close), (11, ""), (11, None), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    left = near_dup.deduplicate(docs)
+    assert left.columns == ["doc_id", "text"]
+    found = [(r["doc_id"], r["text"]) for r in left.collect()]
+    kept = [(i, t) for i, t in found if i not in (7, 9)]
+    want = [(1, one), (5, two), (11, ""), (11, None), (None, one)]
+    assert sorted(map(str, kept)) == sorted(map(str, want))
+    assert [t.lower() for i, t in found if i == 7] == [three]
+    nine = [t for i, t in found if i == 9]
+    assert len(nine) == 2 and other in nine and {four, close} & set(nine)
+
+
 def test_many_members_that_only_meet_through_others(spark):
     """Every copy is near the base alone, and the base is not the smallest id."""
     rng = random.Random(9)
