@@ -5,6 +5,10 @@ text, is fitted to labelled rows and its margins are calibrated on held-out ones
 is a probability. It is fitted on at most ``max_rows`` labelled documents, drawn by a seeded hash of
 the id; every document is then scored as a whole, in Arrow batches, against fixed thresholds.
 
+The sample's features are fitted on the driver while they are small in sum (``fit_limit`` bytes,
+checked). Beyond that they stay a table in the shared folder, tasks sum each step's gradient, and the
+driver holds the weights and one gradient (1 MB) per task.
+
 The plain counts alone settle ``base_failed``; ``kept`` needs both.
 
 Defined cases: a null or empty text has no words and fails the plain rules; repeated rows are rows
@@ -15,7 +19,7 @@ rows; other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes
+from .common import batches_by_bytes, landed, workspace
 from .hashing import window_hashes, word_hashes
 
 SPACE = b" \t\n\r\x0b\x0c"
@@ -35,6 +39,8 @@ MAX_ROWS = 6000
 BITS = 16
 SLOTS = 1 << BITS
 SCALE = 30.0
+FIT_LIMIT = 128 << 20
+FIT_TASKS = 32
 
 _SCORED = (
     "doc_id BIGINT, n_words BIGINT, word_chars BIGINT, n_symbols BIGINT, n_dup_lines BIGINT, "
@@ -176,26 +182,98 @@ def fit(rows: list[tuple[int, int, bytes, bytes]], steps: int = 150) -> Classifi
             z += np.bincount(owner[part], value[part] * w[index[part]], count)
         return z
 
-    def gradient(error: np.ndarray) -> np.ndarray:
+    def gradient(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        z = margins(w, learned, n) + bias
+        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[:n]) / n
         g = np.zeros(2 * SLOTS)
         for at in range(0, learned, _CHUNK):
             part = slice(at, min(at + _CHUNK, learned))
             g += np.bincount(index[part], value[part] * error[owner[part]], 2 * SLOTS)
-        return g
+        return g, error.sum()
 
+    w, bias = _descended(gradient, steps)
+    z = margins(w, len(index), len(y)) + bias
+    slope, shift = _calibrated(z[n:], y[n:])
+    return Classifier(w.astype(np.float32), float(bias), slope, shift)
+
+
+def _descended(
+    gradient: Callable[[np.ndarray, float], tuple[np.ndarray, float]], steps: int
+) -> tuple[np.ndarray, float]:
+    """Weights and bias after that many steps of Adam."""
     w, bias = np.zeros(2 * SLOTS), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = margins(w, learned, n) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[:n]) / n
-        g, gb = gradient(error) + 1e-6 * w, error.sum()
+        g, gb = gradient(w, bias)
+        g = g + 1e-6 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         fix, fix2 = 1 - 0.9**step, 1 - 0.999**step
         w -= 0.05 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
         bias -= 0.05 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
-    z = margins(w, len(index), len(y)) + bias
-    slope, shift = _calibrated(z[n:], y[n:])
+    return w, bias
+
+
+def _margins(batch: pa.RecordBatch, w: np.ndarray, bias: float) -> Iterator[tuple]:
+    """Place, label, slots, shares and margin of each row."""
+    columns = [batch.column(c) for c in ("row", "good", "slots", "shares")]
+    for row, good, slots, shares in zip(*columns):
+        index = np.frombuffer(slots.as_buffer(), "<i4")
+        value = np.frombuffer(shares.as_buffer(), "<f4")
+        yield row.as_py(), good.as_py(), index, value, float((value * w[index]).sum()) + bias
+
+
+def fit_in_tasks(
+    made: DataFrame, folder: str, max_rows: int = MAX_ROWS, steps: int = 150
+) -> Classifier | None:
+    """The same as ``fit`` on a sample that stays in the tasks; sums run in another order."""
+    table = landed(
+        made.repartition(FIT_TASKS).withColumn("row", F.monotonically_increasing_id()),
+        f"{folder}/features",
+    )
+    session = table.sparkSession
+    lowest = table.select("doc_id", "good", "row").orderBy("doc_id", "good", "row").limit(max_rows)
+    drawn = [tuple(r) for r in lowest.collect()]
+    kinds = {good for _, good, _ in drawn}
+    if len(drawn) < 10 or len(kinds) < 2:
+        return None
+    held = {r[2] for r in drawn[::5]}
+    learned = {r[2] for r in drawn} - held
+    n = len(learned)
+
+    def over(rows: set[int], w: np.ndarray, bias: float, run, schema: str) -> list:
+        shipped = session.sparkContext.broadcast((rows, w, bias))
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, w, bias = shipped.value
+            found = (x for b in batches for x in _margins(b, w, bias) if x[0] in rows)
+            yield run(found)
+
+        try:
+            return table.mapInArrow(each, schema).collect()
+        finally:
+            shipped.destroy()
+
+    def summed(found: Iterator[tuple]) -> pa.RecordBatch:
+        g, gb = np.zeros(2 * SLOTS), 0.0
+        for _, good, index, value, z in found:
+            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - good) / n
+            g[index] += value * error  # a row names a slot once
+            gb += error
+        return pa.RecordBatch.from_pydict({"g": [g.tobytes()], "gb": [float(gb)]})
+
+    def scored(found: Iterator[tuple]) -> pa.RecordBatch:
+        pairs = [(z, float(good)) for _, good, _, _, z in found]
+        columns = [pa.array([p[i] for p in pairs], pa.float64()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, names=["z", "good"])
+
+    def gradient(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        parts = over(learned, w, bias, summed, "g BINARY, gb DOUBLE")
+        return sum(np.frombuffer(p["g"]) for p in parts), sum(p["gb"] for p in parts)
+
+    w, bias = _descended(gradient, steps)
+    z = np.array(sorted(over(held, w, bias, scored, "z DOUBLE, good DOUBLE"))).reshape(-1, 2)
+    slope, shift = _calibrated(z[:, 0], z[:, 1])
     return Classifier(w.astype(np.float32), float(bias), slope, shift)
 
 
@@ -221,7 +299,13 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int = MAX_ROWS, seed: int = 1
+    docs: DataFrame,
+    labels: DataFrame,
+    text: str = "text",
+    max_rows: int = MAX_ROWS,
+    seed: int = 1,
+    fit_limit: int = FIT_LIMIT,
+    folder: str | None = None,
 ) -> Classifier | None:
     """A classifier from at most ``max_rows`` labelled documents (``labels``: doc_id, quality)."""
     known = labels.select(
@@ -232,6 +316,9 @@ def train(
     # At most ``max_rows`` small rows are shipped.
     found = rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "good", "body")
     made = found.mapInArrow(_features, "doc_id BIGINT, good INT, slots BINARY, shares BINARY")
+    size = F.sum(F.length("slots") + F.length("shares"))
+    if (made.agg(size.alias("b")).first()["b"] or 0) > fit_limit:
+        return fit_in_tasks(made, workspace(docs.sparkSession, "quality-fit", folder), max_rows)
     # Repeated document rows may exceed the bound; the lowest ids stay within it.
     return fit([tuple(r) for r in made.orderBy("doc_id").limit(max_rows).collect()])
 

@@ -69,6 +69,24 @@ def test_training_is_repeatable_and_bounded(spark):
     assert np.array_equal(a.weights, b.weights) and a.slope == b.slope
 
 
+def test_a_large_sample_is_fitted_in_tasks(spark, tmp_path, monkeypatch):
+    docs = labelled(spark, 120, 3)
+    labels = docs.select("doc_id", "quality")
+    near = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows: near(rows, steps=12))
+    here = quality.train(docs, labels)
+    monkeypatch.setattr(quality, "fit", None)  # nothing is collected for it
+    far = quality.fit_in_tasks
+    monkeypatch.setattr(quality, "FIT_TASKS", 3)
+    monkeypatch.setattr(quality, "fit_in_tasks", lambda m, f, r: far(m, f, r, steps=12))
+    there = quality.train(docs, labels, fit_limit=1000, folder=str(tmp_path))
+    assert np.abs(here.weights).max() > 0.1
+    np.testing.assert_allclose(there.weights, here.weights, atol=1e-4)
+    np.testing.assert_allclose(
+        [there.bias, there.slope, there.shift], [here.bias, here.slope, here.shift], rtol=1e-3
+    )
+
+
 def test_without_usable_labels(spark):
     docs = fixtures.documents(spark)
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id BIGINT, quality INT")
