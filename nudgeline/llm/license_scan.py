@@ -6,6 +6,7 @@ word ``t`` of a template votes for the diagonal ``p - t``; a whole template in a
 votes on one diagonal. Words left out or put in move the rest of a passage to a diagonal nearby, so
 votes on neighbouring diagonals are merged. A span stands if the words behind the hashes are equal
 and it covers enough of its template's pairs; a base phrase needs all of them on one diagonal.
+Covered pairs are bits, in blocks of 62, so a template may have any length.
 
 The templates are a fixed list, so their side of the join is shipped; votes are summed up before
 the shuffle, by row, template and diagonal, so neither a hot source nor a phrase that stands in
@@ -59,7 +60,7 @@ NOTICES = (
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NEIGHBOURS = 2
 MIN_COVER = 0.7
-MAX_PAIRS = 62  # covered pairs are the bits of a long
+BLOCK_PAIRS = 62  # covered pairs are the bits of a long, one per block
 
 
 def words(text: Column) -> Column:
@@ -77,12 +78,12 @@ def templates(
     for number, (phrase, label) in enumerate([*base, *notices]):
         parts = phrase.split()
         n = len(parts) - 1
-        if not 1 <= n <= MAX_PAIRS:
-            raise ValueError(f"a template needs 2 to {MAX_PAIRS + 1} words: {phrase}")
+        if n < 1:
+            raise ValueError(f"a template needs 2 words: {phrase}")
         for at, (a, b) in enumerate(zip(parts, parts[1:])):
             fields = {"template": number, "label": label, "is_base": number < len(base)}
-            fields |= {"n_pairs": n, "at": at, "a": a, "b": b}
-            bit = F.lit(1 << at).cast("bigint").alias("bit")
+            fields |= {"n_pairs": n, "at": at, "a": a, "b": b, "block": at // BLOCK_PAIRS}
+            bit = F.lit(1 << at % BLOCK_PAIRS).cast("bigint").alias("bit")
             rows.append(F.struct(*[F.lit(v).alias(k) for k, v in fields.items()], bit))
     table = spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
     return table.withColumn("pair", _pair_hash(F.col("a"), F.col("b")))
@@ -93,7 +94,7 @@ def _pair_hash(a: Column, b: Column) -> Column:
 
 
 def votes(docs: DataFrame, text: str = "text", table: DataFrame | None = None) -> DataFrame:
-    """Per row, template and diagonal the covered pairs, as bits, and where they stand. A row with
+    """Per row, template, diagonal and block the covered pairs, as bits, and where they stand. A row with
     ``template`` null stands for each text itself."""
     table = templates(docs.sparkSession) if table is None else table
     rows = docs.select(
@@ -126,7 +127,7 @@ def votes(docs: DataFrame, text: str = "text", table: DataFrame | None = None) -
         "row",
         "doc_id",
         "n_words",
-        *[F.when(voted, F.col(c)).alias(c) for c in ("template", "label", "is_base", "n_pairs", "at", "bit", "p")],
+        *[F.when(voted, F.col(c)).alias(c) for c in ("template", "label", "is_base", "n_pairs", "at", "block", "bit", "p")],
     )
     return met.groupBy(
         "row",
@@ -136,6 +137,7 @@ def votes(docs: DataFrame, text: str = "text", table: DataFrame | None = None) -
         "label",
         "is_base",
         "n_pairs",
+        "block",
         (F.col("p") - F.col("at")).alias("diagonal"),
     ).agg(
         F.bit_or("bit").alias("covered"),
@@ -151,19 +153,29 @@ def spans(voted: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """
     line = Window.partitionBy("row", "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(line)
-    starts = F.coalesce((gap > NEIGHBOURS) | F.col("is_base"), F.lit(True)).cast("int")
+    # Blocks of one diagonal stay together.
+    reach = F.when(F.col("is_base"), 0).otherwise(NEIGHBOURS)
+    starts = F.coalesce(gap > reach, F.lit(True)).cast("int")
+    keys = ["row", "doc_id", "n_words", "template", "label", "is_base", "n_pairs", "group"]
     merged = (
         voted.withColumn("starts", starts)
         .withColumn("group", F.sum("starts").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("row", "doc_id", "n_words", "template", "label", "is_base", "n_pairs", "group")
+        .groupBy(*keys, "block")
         .agg(
             F.bit_or("covered").alias("covered"),
             F.min("diagonal").alias("start"),
             F.min("first").alias("first"),
+            F.max("last").alias("last"),
+        )
+        .groupBy(*keys)
+        .agg(
+            F.sum(F.bit_count("covered")).alias("covered"),
+            F.min("start").alias("start"),
+            F.min("first").alias("first"),
             (F.max("last") + 1).alias("last"),
         )
     )
-    cover = F.bit_count("covered") / F.col("n_pairs")
+    cover = F.col("covered") / F.col("n_pairs")
     needed = F.when(F.col("is_base"), 1.0).otherwise(min_cover)
     return merged.withColumn("cover", cover).withColumn("found", F.col("cover") >= needed).drop("covered", "group")
 

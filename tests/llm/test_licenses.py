@@ -65,6 +65,17 @@ def test_notices_survive_small_edits(spark):
     assert found[2]["score"] > 0.85
 
 
+def test_templates_of_any_length(spark):
+    words = [f"w{i}" for i in range(200)]
+    table = license_scan.templates(spark, base=[(" ".join(words[:100]), "x")], notices=[(" ".join(words), "y")])
+    texts = [words, words[:90] + ["put", "in"] + words[90:], words[:100], words[:60] + words[70:]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    found = license_scan.spans(license_scan.votes(docs, table=table)).where("found").collect()
+    assert {(r["doc_id"], r["label"]) for r in found} == {(0, "x"), (0, "y"), (1, "y"), (2, "x")}
+    covers = {r["doc_id"]: r["cover"] for r in found if r["label"] == "y"}
+    assert covers == {0: 1.0, 1: 198 / 199}
+
+
 def test_only_engine_operations(spark):
     plan = license_scan.scan(fixtures.documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|InArrow", plan)
