@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    cross_tokens,
     fingerprints,
     license_scan,
     line_dedup,
@@ -18,6 +19,7 @@ from . import (
     sharding,
     token_counts,
     token_files,
+    vector_codes,
 )
 from .common import documents
 
@@ -79,6 +81,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model)
 
 
+def op11_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.align(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vector_codes.compress(vectors).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -91,4 +102,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_license_scan": op9_license_scan,
         "op10_quality": op10_quality,
+        "op11_cross_tokens": op11_cross_tokens,
+        "op12_vector_codes": op12_vector_codes,
     }
