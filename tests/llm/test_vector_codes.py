@@ -112,7 +112,7 @@ def test_uneven_vectors_are_an_error(spark):
 
 def test_blocks_are_bounded_and_keep_their_sums():
     blocks = vector_codes._Blocks(3)
-    parts = np.arange(40_000, dtype=np.int64).reshape(-1, 2)
+    parts = np.arange(100_000, dtype=np.int64).reshape(-1, 2)
     blocks.add(0, (parts[:, 0] % 4 == 0).astype(int), parts)
     rows = blocks.rest()
     assert max(r[3] for r in rows) <= vector_codes.BLOCK
