@@ -15,6 +15,7 @@ from . import (
     mixing,
     near_dup,
     packing,
+    personal_data,
     quality,
     sharding,
     token_counts,
@@ -90,6 +91,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(vectors).drop("label")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labelled = personal_data.labelled_spans(personal_data.sample_windows(docs))
+    return personal_data.find(docs, personal_data.train(labelled))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -104,4 +111,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality": op10_quality,
         "op11_cross_tokens": op11_cross_tokens,
         "op12_vector_codes": op12_vector_codes,
+        "op13_personal_data": op13_personal_data,
     }
