@@ -11,7 +11,7 @@ end together; a token of B to the token of A that holds its last byte. Tokens of
 of B does point to themselves. Doubling the successors (``p = p[p]``) takes a number of rounds
 logarithmic in the longest chain, after which each token points to the last token of A of its group.
 That runs over a whole Arrow batch at once: the texts of a batch lie one behind the other on one
-line of bytes, and both sides end at the end of a text. A batch holds 8 MB of text, or one text.
+line of bytes, and both sides end at the end of a text. Batches are cut to 1 MB of text, or one text.
 
 **Counts.** The links of a text are reduced to distinct id pairs in the task that encoded it and landed
 in the shared folder; Spark adds them up per pair (combined before the shuffle) and finds the best
@@ -50,6 +50,8 @@ VOCABULARY_B = "piece_bpe_32k.model"
 # Most id pairs whose facts are shipped to every executor (some 50 MB there).
 SHIP_PAIRS = 1_000_000
 SALTS = 16
+# Text aligned at once; its tokens and links take some hundred times as much for a moment.
+BLOCK_BYTES = 1 << 20
 _UNSTABLE = re.compile(r"[^\x00-ɏ]")
 
 TOKENS = (
@@ -231,7 +233,7 @@ def _encode(path_a: str | None, path_b: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = sides(path_a, path_b)
         names_a, names_b = _names(len(a.spelled), b"|"), _names(len(b.spelled), b";")
-        for batch in batches_by_bytes(batches, "text"):
+        for batch in batches_by_bytes(batches, "text", BLOCK_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids_a, ids_b = a.encode_all(texts), b.encode_all(texts)
             for i, text in enumerate(texts):
