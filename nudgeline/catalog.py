@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import feedback, labels
 from .functions.hashing import bucket
 from .functions.text import has_conversion_intent
-from .models import training, weights
+from .models import local_sgd, refit, training, weights
 from .models.scoring import arm_scores, with_scores
 from .models.weights import initial_models
 from .operators import choice, pair_scan, phases, profile, session_batch, tokens
@@ -304,20 +304,46 @@ def model_update(spark, folder):
     )
 
 
-def model_refit(spark, folder):
-    examples = outputs.training_examples(_steps(spark, folder))
+def _landed_examples(spark, folder):
+    """Judged suggestions as a table; read by every pass of a fit, so worked out once."""
     path = _run_folder(spark, "examples")
-    # Read by every iteration of every fit, so it is worked out once.
-    examples.write.parquet(path)
-    return training.refit_predictions(spark.read.parquet(path), POLICY)
+    outputs.training_examples(_steps(spark, folder)).write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def model_local_update(spark, folder):
+    """Untrained models after a step per judged suggestion: what each arm learned from, how many steps
+    it took, and whether its loss on them is lower than after one step on all of them."""
+    examples, path = _landed_examples(spark, folder)
+    untrained = initial_models(POLICY)
+    in_turn = local_sgd.update(examples, untrained, POLICY, path + "-rounds") or untrained
+    at_once = training.update(examples, untrained, POLICY) or untrained
+    arms = range(len(POLICY.arms))
+    losses = [refit.evaluate(examples, dict(enumerate(m)), POLICY) for m in (in_turn, at_once)]
+    found = [
+        (a, in_turn[a].step, losses[0][a][0] < losses[1][a][0]) for a in arms if a in losses[0]
+    ]
+    learned = spark.createDataFrame(found, "arm_idx INT, step BIGINT, improves BOOLEAN")
+    counts = examples.groupBy("arm_idx").agg(
+        F.count("*").alias("n_examples"), F.sum("label").alias("n_positive")
+    )
+    return counts.join(learned, "arm_idx")
+
+
+def model_refit(spark, folder):
+    """The models fitted to all judged suggestions at once, by what they learned from."""
+    examples, _ = _landed_examples(spark, folder)
+    fitted = refit.refit(examples, POLICY)
+    return refit.with_fit(examples, fitted).drop("buckets")
 
 
 def learned_steps(spark, folder):
-    """The whole loop over all batches: score, decide or judge, learn, next batch."""
+    """The whole loop over all batches: score, decide or judge, learn, next batch. Which arm is chosen
+    and how sure the models are depends on what they learned; all else does not."""
     ledger = learned_loop.replay_batches(
         spark, _rows(spark, folder), _run_folder(spark, "loop"), replay.batch_seconds, POLICY
     )
-    return ledger.steps().drop("buckets", "seen", "open_arm")
+    return ledger.steps().drop("buckets", "seen", "open_arm", "arm_idx", "score")
 
 
 def lifecycle_stream(spark, folder):
@@ -384,6 +410,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "batch_summary": batch_summary,
         "training_examples": training_examples,
         "model_update": model_update,
+        "model_local_update": model_local_update,
         "model_refit": model_refit,
         "learned_loop": learned_steps,
         "lifecycle_stream": lifecycle_stream,

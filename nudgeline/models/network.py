@@ -35,6 +35,14 @@ def probability(model: ArmModel, block: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(chance), chance, FALLBACK_SCORE)
 
 
+def loss_sum(model: ArmModel, block: np.ndarray, labels: np.ndarray) -> float:
+    """Summed log loss, from the logits, so that it stays finite."""
+    hidden = activations(model, block)[-2]
+    last = model.layers[-1]
+    logit = (hidden @ last[:-1] + last[-1])[:, 0]
+    return float((np.logaddexp(0.0, logit) - labels * logit).sum())
+
+
 def loss_gradient(model: ArmModel, block: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
     """Summed gradient of the log loss, in the shape of the layers."""
     seen = activations(model, block)

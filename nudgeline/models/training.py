@@ -1,4 +1,4 @@
-"""Learning from judged suggestions, data-parallel.
+"""One step on a whole batch of judged suggestions, data-parallel.
 
 Every task sums the gradient of its rows against the shipped weights; Spark adds the sums up.
 What reaches the driver is one number per weight, however many examples there were.
@@ -10,15 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import Policy
 from . import network
 from .scoring import BLOCK_ROWS
-from .weights import ArmModel, layer_widths
+from .weights import ArmModel
 
 
 def _partition_gradient(models: list[ArmModel], policy: Policy):
@@ -69,53 +67,7 @@ def update(examples: DataFrame, models: list[ArmModel], policy: Policy) -> list[
         return None
     out = list(models)
     for arm, rows in collected.groupby("arm_idx"):
-        flat = rows.sort_values("place")["gradient"].to_numpy()
-        cuts = np.cumsum([w.size for w in models[arm].layers])[:-1]
-        summed = [
-            part.reshape(layer.shape)
-            for part, layer in zip(np.split(flat, cuts), models[arm].layers)
-        ]
+        summed = models[arm].shaped(rows.sort_values("place")["gradient"].to_numpy())
         mean = network.penalized(models[arm], summed, int(rows["n"].iloc[0]), policy.l2)
         out[arm] = models[arm].adam(mean, policy.learning_rate)
     return out
-
-
-def refit(
-    examples: DataFrame, policy: Policy, max_iter: int = 20, seed: int = 7
-) -> dict[int, object]:
-    """Offline fit of one classifier per arm over a whole table of examples.
-
-    Spark ML's perceptron has sigmoid units and a two-way output, so its weights belong to
-    another kind of model and never mix with those of the online one.
-    """
-    slots = F.sequence(F.lit(0), F.lit(policy.n_features - 1))
-    present = F.transform(slots, lambda i: F.array_contains("buckets", i).cast("double"))
-    ready = examples.withColumn("features", array_to_vector(present)).withColumn(
-        "label", F.col("label").cast("double")
-    )
-    layers = [*layer_widths(policy)[:-1], 2]
-    classifier = MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=seed)
-    fitted = {}
-    for arm in range(len(policy.arms)):
-        own = ready.where(F.col("arm_idx") == arm).select("features", "label")
-        if own.select("label").distinct().count() == 2:
-            fitted[arm] = classifier.fit(own)
-    return fitted
-
-
-def refit_predictions(examples: DataFrame, policy: Policy, **options) -> DataFrame:
-    """Predictions of the refitted classifiers on their own examples, one row per example.
-
-    An arm whose examples all have one label has no classifier; that label is its prediction.
-    """
-    slots = F.sequence(F.lit(0), F.lit(policy.n_features - 1))
-    present = F.transform(slots, lambda i: F.array_contains("buckets", i).cast("double"))
-    ready = examples.withColumn("features", array_to_vector(present))
-    columns = ("batch_id", "session_id", "arm_idx", "label")
-    fitted = refit(examples, policy, **options)
-    constant = ready.where(~F.col("arm_idx").isin(*fitted)) if fitted else ready
-    out = constant.select(*columns, F.col("label").cast("int").alias("prediction"))
-    for arm, model in fitted.items():
-        scored = model.transform(ready.where(F.col("arm_idx") == arm))
-        out = out.unionByName(scored.select(*columns, F.col("prediction").cast("int")))
-    return out

@@ -58,6 +58,15 @@ class ArmModel:
     def n_features(self) -> int:
         return self.layers[0].shape[0] - 1
 
+    def flat(self) -> np.ndarray:
+        """All weights in a row, layer by layer."""
+        return np.concatenate([w.ravel() for w in self.layers])
+
+    def shaped(self, flat: np.ndarray) -> list[np.ndarray]:
+        """A row of numbers cut into the shapes of the layers."""
+        cuts = np.cumsum([w.size for w in self.layers])[:-1]
+        return [part.reshape(w.shape) for part, w in zip(np.split(flat, cuts), self.layers)]
+
     def adam(self, gradients: list[np.ndarray], learning_rate: float) -> ArmModel:
         """A new model, one Adam step further."""
         step = self.step + 1

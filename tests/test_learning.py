@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nudgeline.models import network, training, weights
+from nudgeline.models import local_sgd, network, refit, training, weights
 from nudgeline.models.scoring import list_scorer, scorer
+from nudgeline.plans.ledger import Ledger
 from nudgeline.settings import Policy
 
 POLICY = Policy()
@@ -141,18 +142,165 @@ def test_seed_changes_weights():
     assert not np.array_equal(one.layers[0], other.layers[0])
 
 
-def test_refit(spark):
-    table, rows = examples(spark, 120)
-    got = training.refit_predictions(table, POLICY, max_iter=30).collect()
-    assert len(got) == 120
-    assert sum(r["label"] == r["prediction"] for r in got) > 100
+def in_turn(rows, models, policy, n_shards, shard_of):
+    """Local steps and averaging on one machine, written out."""
+    out = list(models)
+    for arm in sorted({r[2] for r in rows}):
+        shards = {}
+        for r in sorted((r for r in rows if r[2] == arm), key=lambda r: (r[0], r[1])):
+            shards.setdefault(shard_of[r[1]] if n_shards[arm] > 1 else 0, []).append(r)
+        model, start = models[arm], 0
+        every = policy.average_every if len(shards) > 1 else 10**9
+        while any(len(s) > start for s in shards.values()):
+            ends = []
+            for own in shards.values():
+                m, part = model, own[start : start + every]
+                for r in part:
+                    x, y = network.dense([r[3]], policy.n_features), np.array([float(r[4])])
+                    grads = network.penalized(m, network.loss_gradient(m, x, y), 1, policy.l2)
+                    m = m.adam(grads, policy.learning_rate)
+                if part:
+                    ends.append((len(part), m))
+            n = sum(k for k, _ in ends)
+
+            def mean(kind):
+                return [sum(k * getattr(m, kind)[i] for k, m in ends) / n for i in range(len(model.layers))]
+
+            steps = model.step + round(sum(k * k for k, _ in ends) / n)
+            model = weights.ArmModel(mean("layers"), mean("m"), mean("v"), steps)
+            start += every
+        out[arm] = model
+    return out
+
+
+def close(one, other):
+    for a, b in zip(one, other):
+        assert a.step == b.step
+        for x, y in zip((*a.layers, *a.m, *a.v), (*b.layers, *b.m, *b.v)):
+            assert np.allclose(x, y, atol=1e-12, rtol=0)
+
+
+@pytest.mark.parametrize("shard_examples", [1000, 40])
+def test_steps_in_turn_equal_those_on_one_machine(spark, tmp_path, shard_examples):
+    policy = replace(POLICY, shard_examples=shard_examples, average_every=15)
+    table, rows = examples(spark)
+    models = weights.fresh_models(policy)
+    n_shards = {arm: -(-150 // shard_examples) for arm in (0, 1)}
+    dealt = table.select("session_id", local_sgd.shard(n_shards).alias("shard")).collect()
+    got = local_sgd.update(table.repartition(5), models, policy, str(tmp_path))
+    close(got, in_turn(rows, models, policy, n_shards, {r["session_id"]: r["shard"] for r in dealt}))
+    assert got[2] is models[2]
+    if shard_examples == 1000:
+        assert got[0].step == models[0].step + 150
+
+
+def test_shards_give_the_same_however_rows_are_split(spark, tmp_path):
+    policy = replace(POLICY, shard_examples=40, average_every=15)
+    table, _ = examples(spark)
+    models = weights.fresh_models(policy)
+    first, again = (
+        local_sgd.update(table.repartition(n), models, policy, str(tmp_path / str(n))) for n in (2, 7)
+    )
+    for a, b in zip(first, again):
+        assert all(np.array_equal(x, y) for x, y in zip((*a.layers, *a.m, *a.v), (*b.layers, *b.m, *b.v)))
+
 
+def test_steps_in_turn_learn_more_than_one_per_batch(spark, tmp_path):
+    table, rows = examples(spark)
+    table = table.coalesce(2).cache()
+    fresh = weights.fresh_models(POLICY)
+    local = replace(POLICY, shard_examples=50, average_every=25)
+    by_example, by_batch = fresh, fresh
+    for batch in range(10):
+        by_example = local_sgd.update(table, by_example, local, str(tmp_path / str(batch)))
+        by_batch = training.update(table, by_batch, POLICY)
+    own = [r for r in rows if r[2] == 0]
+    block, labels = network.dense([r[3] for r in own], 100), np.array([r[4] for r in own], float)
+    assert network.loss_sum(by_example[0], block, labels) < 0.6 * network.loss_sum(by_batch[0], block, labels)
+    table.unpersist()
 
-def test_refit_reports_arms_with_one_label(spark):
+
+def test_nothing_to_learn_in_turn(spark):
+    table, _ = examples(spark, 3)
+    assert local_sgd.update(table.where("label > 1"), weights.initial_models(POLICY), POLICY) is None
+    with pytest.raises(ValueError, match="folder"):
+        local_sgd.update(table, weights.initial_models(POLICY), replace(POLICY, shard_examples=1))
+
+
+def test_loss_from_logits():
+    model = weights.initial_models(POLICY)[0]
+    block, labels = network.dense(random_vectors(30), 100), np.arange(30) % 2.0
+    assert network.loss_sum(model, block, labels) == pytest.approx(loss(model, block, labels))
+    model.layers[2][-1] = 1e6
+    assert np.isfinite(network.loss_sum(model, block, labels))
+
+
+def penalized_loss(model, block, labels):
+    penalty = POLICY.l2 / 2 * sum((w[:-1] ** 2).sum() for w in model.layers)
+    return (network.loss_sum(model, block, labels) + penalty) / len(block)
+
+
+def test_one_pass_gives_loss_and_slope_of_all_arms(spark):
     table, rows = examples(spark, 60)
+    models = weights.initial_models(POLICY)
+    found = refit.evaluate(table.repartition(3), dict(enumerate(models)), POLICY)
+    assert set(found) == {0, 1}
+    for arm, (value, gradient) in found.items():
+        own = [r for r in rows if r[2] == arm]
+        block, labels = network.dense([r[3] for r in own], 100), np.array([r[4] for r in own], float)
+        assert value == pytest.approx(penalized_loss(models[arm], block, labels), abs=1e-12)
+        flat_weights = models[arm].flat()
+        for i in (0, 500, 3231, 3300, 3776):
+            sides = []
+            for change in (1e-6, -1e-6):
+                moved = flat_weights.copy()
+                moved[i] += change
+                sides.append(penalized_loss(weights.ArmModel(models[arm].shaped(moved)), block, labels))
+            assert gradient[i] == pytest.approx((sides[0] - sides[1]) / 2e-6, abs=1e-6)
+
+
+def test_descent_finds_the_lowest_point():
+    """A narrow valley whose bottom is known."""
+    run = refit.Descent(np.array([-1.2, 1.0]), tolerance=1e-8)
+    for _ in range(300):
+        x, y = run.point
+        slope = np.array([-400 * x * (y - x * x) - 2 * (1 - x), 200 * (y - x * x)])
+        run.tell(100 * (y - x * x) ** 2 + (1 - x) ** 2, slope)
+        if run.done:
+            break
+    assert run.done and np.allclose(run.at, 1.0, atol=1e-4)
+
+
+def test_refit_serves(spark, tmp_path):
+    table, rows = examples(spark, 120)
+    fitted = refit.refit(table.coalesce(2).cache(), POLICY, max_passes=40)
+    assert set(fitted.after) == {0, 1}
+    assert all(fitted.after[arm] < 0.3 * fitted.before[arm] for arm in fitted.after)
+    own = [r for r in rows if r[2] == 0]
+    guess = network.probability(fitted.models[0], network.dense([r[3] for r in own], 100)) > 0.5
+    assert (guess == np.array([r[4] for r in own])).mean() > 0.95
+    assert np.array_equal(fitted.models[2].flat(), weights.initial_models(POLICY)[2].flat())
+    # They are loaded as the next batch's models, also after a restart.
+    ledger = Ledger(spark, str(tmp_path), POLICY)
+    ledger.adopt(weights.initial_models(POLICY))
+    ledger.adopt(fitted.models)
+    for known in (ledger, Ledger(spark, str(tmp_path), POLICY)):
+        assert not known.is_committed(0)
+        for one, other in zip(known.models(), fitted.models):
+            assert np.array_equal(one.flat(), other.flat()) and one.step == 0
+    ledger.commit(0, None)
+    again = Ledger(spark, str(tmp_path), POLICY)
+    assert again.is_committed(0) and np.array_equal(again.models()[0].flat(), fitted.models[0].flat())
+    fresh = weights.fresh_models(POLICY)
+    again.commit(1, fresh)
+    assert np.array_equal(Ledger(spark, str(tmp_path), POLICY).models()[0].flat(), fresh[0].flat())
+
+
+def test_refit_of_one_sided_and_missing_arms(spark):
+    table, _ = examples(spark, 60)
     one_sided = table.withColumn("label", F.when(F.col("arm_idx") == 1, 1).otherwise(F.col("label")))
-    got = training.refit_predictions(one_sided, POLICY, max_iter=5).collect()
-    assert len(got) == 60
-    assert all(r["prediction"] == 1 for r in got if r["arm_idx"] == 1)
-    none = training.refit_predictions(table.limit(0), POLICY)
-    assert none.collect() == [] and "prediction" in none.columns
+    fitted = refit.refit(one_sided, POLICY, max_passes=30)
+    assert {r["beats_constant"] for r in refit.with_fit(one_sided, fitted).collect()} == {True}
+    none = refit.refit(table.limit(0), POLICY)
+    assert none.after == {} and none.passes == 1
+    assert refit.with_fit(table.limit(0), none).collect() == []
