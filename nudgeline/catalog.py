@@ -321,7 +321,7 @@ def model_local_update(spark, folder):
     arms = range(len(POLICY.arms))
     losses = [refit.evaluate(examples, dict(enumerate(m)), POLICY) for m in (in_turn, at_once)]
     found = [
-        (a, in_turn[a].step, losses[0][a][0] < losses[1][a][0]) for a in arms if a in losses[0]
+        (a, in_turn[a].step, bool(losses[0][a][0] < losses[1][a][0])) for a in arms if a in losses[0]
     ]
     learned = spark.createDataFrame(found, "arm_idx INT, step BIGINT, improves BOOLEAN")
     counts = examples.groupBy("arm_idx").agg(

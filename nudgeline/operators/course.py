@@ -1,17 +1,19 @@
-"""The course of a session row by row: which batches make a suggestion and which judge it.
+"""The course of a session: which of its batches make a suggestion and which judge it.
 
-Rows arrive sorted by session and batch, so all that is held is the state of one session and its
-marks, at most two per arm, however many batches a session has.
+When a session is decided and judged does not depend on which arm it gets. So the few batches that
+matter, at most two per arm, are found by rounds of "the first batch after the last mark that
+qualifies": the first batch of all suggests, the first one after it with a verdict judges, the first one
+after that suggests again. Every round is a minimum over the session, and all rounds share one
+shuffle and one sort; nothing is gathered but the marks. A session's rows, one per batch, pass through a
+buffer that spills, so a session may have any number of batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
-from ..settings import REWARD_EXIT, REWARD_HIT, REWARD_SPIKE, SPIKE_GAIN
+from ..functions import feedback
 
 # A batch that matters: it makes suggestion n, or judges it (then with a reward).
 MARK = (
@@ -20,96 +22,60 @@ MARK = (
 )
 INPUT = ("batch_id", "velocity", "has_exit", "hit_mask", "n_items", "device", "buckets")
 
-_SCHEMA = pa.schema(
-    [
-        ("session_id", pa.string()),
-        (
-            "marks",
-            pa.list_(
-                pa.struct(
-                    [
-                        ("batch_id", pa.int64()),
-                        ("suggestion_no", pa.int32()),
-                        ("pre_velocity", pa.float64()),
-                        ("velocity", pa.float64()),
-                        ("reward", pa.float64()),
-                        ("device", pa.string()),
-                        ("buckets", pa.list_(pa.int32())),
-                    ]
-                )
-            ),
-        ),
-    ]
-)
-_SESSIONS_AT_ONCE = 2000
 
+def earned(suggestion_no: Column, before: Column) -> Column:
+    """What a session-batch earns for an open suggestion; null leaves it open."""
+    hit = F.getbit(F.col("hit_mask"), F.greatest(suggestion_no, F.lit(0))) == 1
+    verdict = feedback.outcome(F.col("n_items"), hit, F.col("has_exit"))
+    return feedback.reward(verdict, F.col("velocity"), before)
 
-def earned(
-    number: int, before: float, velocity: float, has_exit: bool, hit_mask: int, n_items: int
-) -> float | None:
-    """What a batch earns for the open suggestion; None leaves it open. The rule that
-    ``feedback.outcome`` and ``feedback.reward`` state for columns."""
-    if not n_items:
-        return None
-    if hit_mask >> number & 1:
-        return REWARD_HIT
-    if has_exit:
-        return REWARD_EXIT
-    return REWARD_SPIKE if round(velocity - before, 6) > SPIKE_GAIN else None
 
+def _rounds(n_arms: int) -> list[tuple[str, Column]]:
+    """Each mark as a column that is worked out from the one before: (batch_id, velocity)."""
+    session = Window.partitionBy("session_id")
+    here = F.struct("batch_id", "velocity")
+    out, last = [], None
+    for n in range(n_arms):
+        later = F.lit(True) if last is None else F.col("batch_id") > F.col(f"{last}.batch_id")
+        made = f"made_{n}"
+        out.append((made, F.min(F.when(later, here)).over(session)))
+        later = F.col("batch_id") > F.col(f"{made}.batch_id")
+        verdict = earned(F.lit(n), F.col(f"{made}.velocity"))
+        last = f"judged_{n}"
+        out.append((last, F.min(F.when(later & verdict.isNotNull(), here)).over(session)))
+    return out
 
-def _walk(n_arms: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[str] = []
-        courses: list[list[dict]] = []
-        session, made, is_open, before = None, 0, False, 0.0
-        for batch in batches:
-            names = ("session_id", "batch_id", "velocity", "has_exit", "hit_mask", "n_items")
-            columns = [batch.column(c).to_pylist() for c in names]
-            for i, (sid, at, velocity, left, hits, n) in enumerate(zip(*columns)):
-                if sid != session:
-                    if len(ids) >= _SESSIONS_AT_ONCE:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids), pa.array(courses, _SCHEMA.field(1).type)], schema=_SCHEMA
-                        )
-                        ids, courses = [], []
-                    session, made, is_open, before = sid, 0, False, 0.0
-                    ids.append(sid)
-                    courses.append([])
-                reward = None
-                if is_open:
-                    reward = earned(made - 1, before, velocity, left, hits, n)
-                    if reward is None:
-                        continue
-                    is_open = False
-                elif made < n_arms:
-                    made, is_open, before = made + 1, True, velocity
-                else:
-                    continue
-                courses[-1].append(
-                    {
-                        "batch_id": at,
-                        "suggestion_no": made - 1,
-                        "pre_velocity": before,
-                        "velocity": velocity,
-                        "reward": reward,
-                        "device": batch.column("device")[i].as_py(),
-                        "buckets": batch.column("buckets")[i].as_py(),
-                    }
-                )
-        if ids:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(courses, _SCHEMA.field(1).type)], schema=_SCHEMA
-            )
 
-    return run
+def marks(summaries: DataFrame, n_arms: int) -> DataFrame:
+    """The batches that matter, a row each: ``session_id`` and the fields of a mark."""
+    rows = summaries.select("session_id", *INPUT)
+    names = []
+    for name, value in _rounds(n_arms):
+        rows = rows.withColumn(name, value)
+        names.append(name)
+    at = F.col("batch_id")
+    suggests = [F.when(at == F.col(f"made_{n}.batch_id"), n) for n in range(n_arms)]
+    judges = [F.when(at == F.col(f"judged_{n}.batch_id"), n) for n in range(n_arms)]
+    before = [F.when(at == F.col(f"judged_{n}.batch_id"), F.col(f"made_{n}.velocity")) for n in range(n_arms)]
+    number = F.coalesce(*suggests, *judges)
+    judged = F.coalesce(*judges)
+    found = rows.withColumns({"suggestion_no": number, "judged": judged, "before": F.coalesce(*before)})
+    return found.where(F.col("suggestion_no").isNotNull()).select(
+        "session_id",
+        "batch_id",
+        "suggestion_no",
+        F.coalesce("before", "velocity").alias("pre_velocity"),
+        "velocity",
+        F.when(F.col("judged").isNotNull(), earned(F.col("judged"), F.col("before"))).alias("reward"),
+        "device",
+        "buckets",
+    )
 
 
 def courses(summaries: DataFrame, n_arms: int) -> DataFrame:
-    """``session_id`` and its ``marks`` in order. One shuffle by session and a sort that spills."""
-    ordered = (
-        summaries.select("session_id", *INPUT)
-        .repartition("session_id")
-        .sortWithinPartitions("session_id", "batch_id")
+    """``session_id`` and its ``marks`` in order, at most two per arm."""
+    fields = ("batch_id", "suggestion_no", "pre_velocity", "velocity", "reward", "device", "buckets")
+    gathered = F.sort_array(F.collect_list(F.struct(*fields)))
+    return marks(summaries, n_arms).groupBy("session_id").agg(
+        gathered.cast(f"array<{MARK}>").alias("marks")
     )
-    return ordered.mapInArrow(_walk(n_arms), f"session_id STRING, marks ARRAY<{MARK}>")

@@ -66,7 +66,7 @@ def step(
     decided = scored.withColumns(
         {
             "arm": lifecycle.chosen_arm(batch, past, policy),
-            "reward": lifecycle.earned_reward(batch, past),
+            "reward": lifecycle.earned_reward(past),
         }
     ).where(F.col("arm").isNotNull() | F.col("reward").isNotNull())
     fields = lifecycle.step_fields(

@@ -3,10 +3,10 @@
 A session without an open suggestion gets one, as long as an arm is left; a session with an open
 suggestion is judged. Both never happen in the same batch.
 
-When a session is decided and judged does not depend on which arm it gets. So one walk over a
-session's sorted batches first marks the few that matter, at most two per arm; with fixed models
-only those are scored, and the arms follow from the scores. That takes one shuffle by session, of
-rows that are already one per session and batch, and holds the state of one session at a time.
+When a session is decided and judged does not depend on which arm it gets. So the few batches that
+matter, at most two per arm, are marked first (``operators.course``); with fixed models only those are
+scored, and the arms follow from the scores. That takes one shuffle by session, of rows that are
+already one per session and batch; Python is met by the scorer alone.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import feedback
 from ..functions.hashing import injection_id
 from ..models.scoring import list_scorer
 from ..models.weights import ArmModel
@@ -34,18 +33,12 @@ def chosen_arm(batch, state, policy: Policy) -> Column:
     return F.when(state.open_arm == NONE_OPEN, arm)
 
 
-def earned_reward(batch, state) -> Column:
+def earned_reward(state) -> Column:
     """The reward of the open suggestion; null without one and while it stays open."""
-    earned = _reward(batch, state.suggestion_no, state.pre_velocity)
+    earned = course.earned(state.suggestion_no, state.pre_velocity)
     return F.when(state.open_arm != NONE_OPEN, earned)
 
 
-def _reward(batch, suggestion_no: Column, velocity_before: Column) -> Column:
-    hit = F.getbit(batch.hit_mask, F.greatest(suggestion_no, F.lit(0))) == 1
-    verdict = feedback.outcome(batch.n_items, hit, batch.has_exit)
-    return feedback.reward(verdict, batch.velocity, velocity_before)
-
-
 def step_fields(
     batch, state, arm: Column, reward: Column, session_id: Column, policy: Policy
 ) -> dict[str, Column]:

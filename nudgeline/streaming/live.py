@@ -17,8 +17,7 @@ from ..functions.hashing import injection_id
 from ..models.scoring import with_scores
 from ..models.weights import ArmModel
 from ..operators import choice
-from ..operators.course import earned
-from ..settings import Policy
+from ..settings import REWARD_EXIT, REWARD_HIT, REWARD_SPIKE, SPIKE_GAIN, Policy
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PARTITIONS = "spark.sql.shuffle.partitions"
@@ -58,6 +57,20 @@ class SessionMachine(StatefulProcessor):
         pass
 
 
+def earned(
+    number: int, before: float, velocity: float, has_exit: bool, hit_mask: int, n_items: int
+) -> float | None:
+    """What a batch earns for the open suggestion; None leaves it open. The rule that
+    ``operators.course`` states for columns."""
+    if not n_items:
+        return None
+    if hit_mask >> number & 1:
+        return REWARD_HIT
+    if has_exit:
+        return REWARD_EXIT
+    return REWARD_SPIKE if round(velocity - before, 6) > SPIKE_GAIN else None
+
+
 def advance(state: tuple, batch: Row, n_arms: int) -> tuple[tuple, dict | None]:
     """State after one session-batch, and the step taken, if any."""
     seen, open_arm, number, score, exploring, before, _ = state

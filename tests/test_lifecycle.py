@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rows import event, frame
 
 from nudgeline.models import network, weights
-from nudgeline.operators import phases, session_batch
+from nudgeline.operators import course, phases, session_batch
 from nudgeline.plans import learned_loop, lifecycle, outputs
 from nudgeline.plans.ledger import Ledger
 from nudgeline.settings import Policy
@@ -79,6 +79,25 @@ def test_a_session_step_by_step(spark):
     assert [(r["batch_id"], r["n_hits"]) for r in hits] == [(2, 1)]
 
 
+def test_a_session_of_many_batches(spark):
+    """All that is held of it are its marks; which they are is plain to see here."""
+    n = 200_000
+    at = F.col("id")
+    table = spark.range(n, numPartitions=3).select(
+        at.alias("batch_id"),
+        F.lit("s").alias("session_id"),
+        F.when(at == n - 1, 9.0).otherwise(F.pmod(at * 7, F.lit(5)) / 10.0).alias("velocity"),
+        (at == 70_000).alias("has_exit"),
+        F.when(at == 150_000, 2).otherwise(0).alias("hit_mask"),
+        F.when(at % 2 == 0, 1).otherwise(0).cast("bigint").alias("n_items"),
+        F.lit("mobile").alias("device"),
+        F.array(F.lit(1)).alias("buckets"),
+    )
+    (row,) = course.courses(table, 3).collect()
+    got = [(m["batch_id"], m["suggestion_no"], m["reward"]) for m in row["marks"]]
+    assert got == [(0, 0, None), (70_000, 0, -0.5), (70_001, 1, None), (150_000, 1, 1.0), (150_001, 2, None)]
+
+
 def test_training_vector(spark, summaries):
     models = weights.initial_models(POLICY)
     early = replace(POLICY, train_on_decision_vector=True)

@@ -8,6 +8,7 @@ import pytest
 
 import nudgeline
 from nudgeline import catalog
+from nudgeline.operators import course
 from nudgeline.session import CHECKPOINT_KEY, working_folder
 
 
@@ -72,6 +73,16 @@ def test_replay_adds_one_shuffle_by_session(large, small):
     assert len(by_session) == 1 and "session_id" in by_session[0]
 
 
+def test_the_state_machine_is_one_sort_without_python(large, small):
+    summaries = catalog._summaries(large, small)
+    text = plan(course.courses(summaries, 3))
+    assert "Python" not in text and "InArrow" not in text
+    # One sort by session and one shuffle serve all rounds; the joins sort by batch and session.
+    assert len(re.findall(r"Sort \[session_id#\d+ ASC", text)) == 1
+    assert text.count("Window [min(") == 6
+    assert sum("batch_id" not in keys for keys in shuffles(text)) == 1
+
+
 def test_limits_apply_before_the_shuffle(large, small):
     for name in ("raw_sample", "session_tokens"):
         text = plan(catalog.queries()[name](large, small))
