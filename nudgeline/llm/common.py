@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,16 @@ __all__ = [
     "documents",
     "landed",
     "remove",
+    "on_change",
     "set_columns",
+    "task",
     "workspace",
 ]
 
+# In a worker process: whose task ran last, and what to do when another operator's begins.
+_owner: str | None = None
+_on_change: list[Callable[[], None]] = []
+
 
 def workspace(spark: SparkSession, name: str, folder: str | None = None) -> str:
     """A new folder for one run, below ``folder`` or the session's shared one."""
@@ -56,3 +64,41 @@ def batches_by_bytes(batches: Iterator, column: str, limit: int = 1 << 23) -> It
         step = max(1, batch.num_rows * limit // size)
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+
+
+def on_change(clear: Callable[[], None]) -> Callable[[], None]:
+    """Has ``clear`` called whenever a worker process turns to another operator: workers are kept, and
+    so are the tables of known words that an operator builds up in them."""
+    _on_change.append(clear)
+    return clear
+
+
+def task(owner: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that leaves its worker process small: tables of other operators go before it
+    begins, and memory that is free goes back to the system when it ends."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        _turn_to(owner)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidy
+
+
+def _turn_to(owner: str) -> None:
+    global _owner
+    if _owner not in (None, owner):
+        for clear in _on_change:
+            clear()
+        _give_back()
+    _owner = owner
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, landed, workspace
+from .common import batches_by_bytes, landed, on_change, task, workspace
 
 VOCABULARY_A, RANKS_A = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 VOCABULARY_B = "piece_bpe_32k.model"
@@ -132,6 +132,7 @@ class PieceSide(Side):
 
 
 _sides: dict[tuple, tuple[Side, Side]] = {}
+on_change(_sides.clear)
 
 
 def sides(path_a: str | None = None, path_b: str | None = None) -> tuple[Side, Side]:
@@ -290,7 +291,7 @@ def align(
     B's most frequent one, the sum of its links' counts, and a digest of its groups."""
     folder = workspace(docs.sparkSession, "aligned", folder)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    tokens = landed(numbered.mapInArrow(_encode(path_a, path_b), TOKENS), f"{folder}/tokens")
+    tokens = landed(numbered.mapInArrow(task(__name__, _encode(path_a, path_b)), TOKENS), f"{folder}/tokens")
     width = len(sides(path_a, path_b)[1].spelled)
     links = tokens.select("row", F.inline("links"))
     facts = landed(pair_facts(links, width), f"{folder}/facts")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes
+from .common import batches_by_bytes, task
 from .hashing import mixed
 from .token_files import NO_ID
 
@@ -115,7 +115,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("body"))
-    return rows.mapInArrow(run, "doc_id BIGINT, fingerprint STRING")
+    return rows.mapInArrow(task(__name__, run), "doc_id BIGINT, fingerprint STRING")
 
 
 # --- neighbours in descending order of ids ----------------------------------------------------------
@@ -140,7 +140,7 @@ def _ranges(ids: DataFrame, n_parts: int) -> tuple[np.ndarray, dict[int, int]]:
                     {"part": pa.array([int(p)], pa.int32()), "top": pa.array([top], pa.int64())}
                 )
 
-    rows = ids.mapInArrow(tops, "part INT, top BIGINT").groupBy("part").agg(F.max("top").alias("top"))
+    rows = ids.mapInArrow(task(__name__, tops), "part INT, top BIGINT").groupBy("part").agg(F.max("top").alias("top"))
     first = {r["part"]: r["top"] for r in rows.collect()}  # one row per range
     filled = sorted(first)
     return edges, {first[p]: filled[i - 1] for i, p in enumerate(filled)}
@@ -172,7 +172,7 @@ def neighbours(docs: DataFrame, text: str, n_parts: int) -> DataFrame:
                     names=names,
                 )
 
-    sent = rows.mapInArrow(send, "id BIGINT, body STRING, part INT, turn INT")
+    sent = rows.mapInArrow(task(__name__, send), "id BIGINT, body STRING, part INT, turn INT")
     placed = sent.repartitionById(len(edges) + 1, F.col("part"))
     return placed.sortWithinPartitions("part", "turn", F.col("id").desc(), "body")
 
@@ -231,4 +231,4 @@ def _edit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def edited(docs: DataFrame, text: str = "text", n_parts: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited form, with their likeness."""
     n_parts = n_parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return neighbours(docs, text, n_parts).mapInArrow(_edit_all, _EDITED)
+    return neighbours(docs, text, n_parts).mapInArrow(task(__name__, _edit_all), _EDITED)

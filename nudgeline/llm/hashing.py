@@ -5,10 +5,18 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import on_change
+
 KEPT_WORDS = 200_000
 _known: dict[bytes, bytes] = {}
 
 
+@on_change
+def _forget() -> None:
+    global _known
+    _known = {}
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of 64-bit numbers over all others."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

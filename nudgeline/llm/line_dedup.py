@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import cuckoo
-from .common import batches_by_bytes, landed, set_columns, workspace
+from .common import batches_by_bytes, landed, set_columns, task, workspace
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -90,7 +90,7 @@ def postings(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) ->
     body = F.coalesce(F.col(text), F.lit("")).alias("body")
     known = docs.where(F.col("doc_id").isNotNull())
     return known.select(F.col("doc_id").cast("bigint").alias("doc_id"), body).mapInArrow(
-        _postings(min_chars), _POSTINGS
+        task(__name__, _postings(min_chars)), _POSTINGS
     )
 
 
@@ -234,7 +234,7 @@ class LineIndex:
                         passed[rows_of] = cells.contains(high[rows_of], low[rows_of])
                 yield batch.filter(pa.array(passed))
 
-        return rows.mapInArrow(probe, rows.schema)
+        return rows.mapInArrow(task(__name__, probe), rows.schema)
 
     def drops(self, rows: DataFrame, ship_limit: int = SHIP_LIMIT) -> DataFrame:
         """Per document the keys of the lines it loses, as 16 bytes each."""
@@ -288,7 +288,7 @@ def drop_lines(
     rows = set_columns(docs, {"n_lines": zero, "n_dropped": zero})
     joined = rows.join(lost.hint("shuffle_hash"), rows["doc_id"] == F.col("__doc"), "left").drop("__doc")
     fields = [StructField(f.name, f.dataType, True) for f in rows.schema.fields]
-    return joined.mapInArrow(_strip(text, min_chars, rows.columns), StructType(fields))
+    return joined.mapInArrow(task(__name__, _strip(text, min_chars, rows.columns)), StructType(fields))
 
 
 def dedup_lines(

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import batches_by_bytes, landed, workspace
+from .common import batches_by_bytes, landed, task, workspace
 from .hashing import mixed, window_hashes, word_hashes
 
 WIDTH = 5
@@ -198,7 +198,7 @@ def _plausible_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFr
     # Sizes alone rule out many.
     small, large = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
     near = pairs.where(small * 100 >= large * percent)
-    return near.mapInArrow(_plausible(percent), "a BIGINT, b BIGINT")
+    return near.mapInArrow(task(__name__, _plausible(percent)), "a BIGINT, b BIGINT")
 
 
 def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             )
 
     # Rows with equal id and text yield the same set.
-    return found.mapInArrow(run, "node BIGINT, shingles ARRAY<BIGINT>").dropDuplicates(["node"])
+    return found.mapInArrow(task(__name__, run), "node BIGINT, shingles ARRAY<BIGINT>").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -416,7 +416,7 @@ def _placed(docs: DataFrame, text: str, percent: int, folder: str) -> DataFrame:
     """Id, size and digest of every row's set, and its component: the number of one (unlike its
     smallest id, no other has it) and that id. Both are null without an id or a set."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("body"))
-    sketched = landed(rows.mapInArrow(_sketch_all, _SKETCHED), f"{folder}/sketched")
+    sketched = landed(rows.mapInArrow(task(__name__, _sketch_all), _SKETCHED), f"{folder}/sketched")
     usable = sketched.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # A node is a class of equal sets, led by its smallest document.
     classes = usable.groupBy("high", "low").agg(F.min("doc_id").alias("leader"))
@@ -432,7 +432,7 @@ def _placed(docs: DataFrame, text: str, percent: int, folder: str) -> DataFrame:
         ),
         f"{folder}/nodes",
     )
-    bands = nodes.select("node", "registers").mapInArrow(_bands, "band BIGINT, node BIGINT")
+    bands = nodes.select("node", "registers").mapInArrow(task(__name__, _bands), "band BIGINT, node BIGINT")
     size = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     met = landed(bands.join(size, "band").select("band", "node", "n"), f"{folder}/met")
     # In a family the text that the others are made from meets most of them, so the member with the
@@ -518,7 +518,7 @@ def _left_of_repeated(
     rows = docs.join(several.hint("shuffle_hash"), docs["doc_id"] == F.col("__id"), "left_semi")
     made = [StructField(c, LongType()) for c in ("__size", "__high", "__low")]
     schema = StructType([*docs.schema.fields, *made])
-    rows = rows.mapInArrow(_digested(text, schema.names), schema)
+    rows = rows.mapInArrow(task(__name__, _digested(text, schema.names)), schema)
     rows = landed(
         rows.withColumn("__row", F.monotonically_increasing_id()), f"{folder}/repeated-ids"
     )

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import batches_by_bytes, landed, workspace
+from .common import batches_by_bytes, landed, task, workspace
 from .token_files import crc32_of_ids
 from .word_tokens import encoder
 
@@ -69,7 +69,7 @@ def cut(
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("body"))
-    return rows.mapInArrow(run, _PIECES)
+    return rows.mapInArrow(task(__name__, run), _PIECES)
 
 
 # --- ranks within a size ---------------------------------------------------------------------------
@@ -106,7 +106,7 @@ def ranked(rows: DataFrame, size: str, order: list[str], n_rows: int, path: str)
     n_tasks = max(1, -(-n_rows // ROWS_PER_TASK))
     ranged = rows.repartitionByRange(n_tasks, *keys).sortWithinPartitions(*keys)
     schema = StructType([*rows.schema.fields]).add("part", IntegerType()).add("local", LongType())
-    table = landed(ranged.mapInArrow(_local_ranks(size), schema), path)
+    table = landed(ranged.mapInArrow(task(__name__, _local_ranks(size)), schema), path)
     # A partition holds a range of sizes, so there are at most sizes + partitions of these.
     counts = table.groupBy(size, "part").count().collect()
     before, totals = [], {}

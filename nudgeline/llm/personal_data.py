@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import char_tagger
-from .common import batches_by_bytes
+from .common import batches_by_bytes, task
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -159,7 +159,7 @@ def sample_windows(docs: DataFrame, n_documents: int = N_DOCUMENTS) -> list[str]
     drawn = numbered.select("doc_id").distinct().orderBy(draw, "doc_id").limit(n_documents)
     # Rows that share a drawn id are one document here.
     chosen = numbered.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
-    return sorted(r["text"] for r in chosen.select("text").mapInArrow(_picked_windows, "text STRING").collect())
+    return sorted(r["text"] for r in chosen.select("text").mapInArrow(task(__name__, _picked_windows), "text STRING").collect())
 
 
 class _Maker:
@@ -463,4 +463,4 @@ def _blocks(items: Iterator, size: int) -> Iterator[list]:
 def find(docs: DataFrame, model: char_tagger.Tagger | None) -> DataFrame:
     """Counts and digest of the rules' spans, and all spans, of every document. Without a model the
     rules stand alone."""
-    return docs.select("doc_id", "text").mapInArrow(_scan(model), SPANS)
+    return docs.select("doc_id", "text").mapInArrow(task(__name__, _scan(model)), SPANS)

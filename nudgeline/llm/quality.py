@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, landed, workspace
+from .common import batches_by_bytes, landed, task, workspace
 from .hashing import window_hashes, word_hashes
 
 SPACE = b" \t\n\r\x0b\x0c"
@@ -250,7 +250,7 @@ def fit_in_tasks(
             yield run(found)
 
         try:
-            return table.mapInArrow(each, schema).collect()
+            return table.mapInArrow(task(__name__, each), schema).collect()
         finally:
             shipped.destroy()
 
@@ -315,7 +315,7 @@ def train(
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("body"))
     # At most ``max_rows`` small rows are shipped.
     found = rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "good", "body")
-    made = found.mapInArrow(_features, "doc_id BIGINT, good INT, slots BINARY, shares BINARY")
+    made = found.mapInArrow(task(__name__, _features), "doc_id BIGINT, good INT, slots BINARY, shares BINARY")
     size = F.sum(F.length("slots") + F.length("shares"))
     if (made.agg(size.alias("b")).first()["b"] or 0) > fit_limit:
         return fit_in_tasks(made, workspace(docs.sparkSession, "quality-fit", folder), max_rows)
@@ -347,7 +347,7 @@ def score(docs: DataFrame, model: Classifier | None, text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=names)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("body"))
-    return rows.mapInArrow(run, _SCORED)
+    return rows.mapInArrow(task(__name__, run), _SCORED)
 
 
 def keep(docs: DataFrame, model: Classifier | None, text: str = "text") -> DataFrame:
@@ -366,4 +366,4 @@ def keep(docs: DataFrame, model: Classifier | None, text: str = "text") -> DataF
                 passed.append(good)
             yield batch.filter(pa.array(passed))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task(__name__, run), docs.schema)

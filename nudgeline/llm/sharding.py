@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import set_columns, workspace
+from .common import set_columns, task, workspace
 
 N_SHARDS = 16
 BUCKET_BYTES = 64 << 20
@@ -120,7 +120,7 @@ def shuffle(
     # starts from does not depend on which task wrote first.
     scattered = rows.withColumn("bucket", bucket).repartitionById(n_buckets, F.col("bucket"))
     ordered = scattered.sortWithinPartitions("bucket", "doc_id", "text_crc32", text)
-    placed = ordered.mapInArrow(_shuffled(starts, max(n_rows, 1), n_shards, seed, names), rows.schema)
+    placed = ordered.mapInArrow(task(__name__, _shuffled(starts, max(n_rows, 1), n_shards, seed, names)), rows.schema)
     path = f"{folder}/by-shard"
     placed.write.partitionBy("shard").parquet(path)
     return spark.read.schema(rows.schema).parquet(path).select(*names)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes
+from .common import batches_by_bytes, on_change, task
 
 DEFAULT_VOCABULARY = "piece_bpe_32k.model"
 SPACE_MARK = "▁"
@@ -132,6 +132,7 @@ class UnigramCounter:
 
 
 _counters: dict[str | None, UnigramCounter] = {}
+on_change(_counters.clear)
 
 
 def counter(path: str | None = None) -> UnigramCounter:
@@ -159,4 +160,4 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None) -
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("body"))
-    return rows.mapInArrow(run, _COUNTED)
+    return rows.mapInArrow(task(__name__, run), _COUNTED)

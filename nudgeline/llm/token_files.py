@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, landed, workspace
+from .common import batches_by_bytes, landed, task, workspace
 from .word_tokens import encoder
 
 SKIPPABLE_IDS = 0x184D2A50
@@ -170,7 +170,7 @@ def write(
     by_id = F.col("doc_id").asc_nulls_first()
     ranged = rows.repartitionByRange(n_files, by_id)
     ranged = ranged.sortWithinPartitions(by_id, F.col("body").asc_nulls_first())
-    files = ranged.mapInArrow(_writer(f"{folder}/files", vocabulary, end_id), _INDEX)
+    files = ranged.mapInArrow(task(__name__, _writer(f"{folder}/files", vocabulary, end_id)), _INDEX)
     return landed(files, f"{folder}/index")
 
 
@@ -207,7 +207,7 @@ def read(files: DataFrame, frames_at_once: int = 256) -> DataFrame:
                 reader.close()
 
     n = max(1, files.count())
-    return files.select("part", "file").repartition(n, "part").mapInArrow(run, _READ)
+    return files.select("part", "file").repartition(n, "part").mapInArrow(task(__name__, run), _READ)
 
 
 def read_some(files: DataFrame, part: int, frames: list[int]) -> list[np.ndarray]:
@@ -234,7 +234,7 @@ def round_trip(
     folder = workspace(docs.sparkSession, "token-files", folder)
     files = write(docs, folder, end_id, vocabulary=vocabulary)
     found = read(files).mapInArrow(
-        _digests, "doc_id BIGINT, part INT, frame INT, first BIGINT, n_tokens BIGINT, ids_crc32 BIGINT"
+        task(__name__, _digests), "doc_id BIGINT, part INT, frame INT, first BIGINT, n_tokens BIGINT, ids_crc32 BIGINT"
     )
     return found.join(F.broadcast(file_offsets(files)), "part").select(
         "doc_id",

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import landed, remove, workspace
+from .common import landed, remove, task, workspace
 
 SCALE = 4096
 N_PARTS, N_ENTRIES, N_ROUNDS = 8, 16, 6
@@ -258,12 +258,12 @@ def fit(
     spark, books = vectors.sparkSession, first
     n_rows = vectors.count() if n_rows is None else n_rows
     salts = max(1, -(-n_rows // members_per_owner))
-    begun = vectors.select("parts").mapInArrow(_first_owners(books, width, salts), RESIDENTS)
+    begun = vectors.select("parts").mapInArrow(task(__name__, _first_owners(books, width, salts)), RESIDENTS)
     residents = landed(_to_owners(begun), f"{folder}/round-1")
     books = updated(residents, books)
     for number in range(2, n_rounds + 1):
         path = f"{folder}/round-{number}"
-        marked = residents.mapInArrow(_reassigned(books, salts), RESIDENTS + ", moves INT")
+        marked = residents.mapInArrow(task(__name__, _reassigned(books, salts)), RESIDENTS + ", moves INT")
         marked.write.mode("overwrite").partitionBy("moves").parquet(f"{path}/owners")
         seen = spark.read.schema(RESIDENTS + ", moves INT").parquet(f"{path}/owners")
         stayed = seen.where("moves = 0").drop("moves")
@@ -328,12 +328,12 @@ def compress(
     if not extent["n"]:
         return spark.createDataFrame([], CODES + ", label_error BIGINT, codebooks_sha256 STRING")
     width = extent["width"]
-    vectors = landed(kept.mapInArrow(_whole(width, n_parts), VECTORS), f"{folder}/vectors")
+    vectors = landed(kept.mapInArrow(task(__name__, _whole(width, n_parts)), VECTORS), f"{folder}/vectors")
     seeds = vectors.orderBy(F.col("vec_id").asc_nulls_last(), "parts").limit(n_entries).collect()
     first = np.stack([np.frombuffer(r["parts"], "<i4").astype(np.int64) for r in seeds])
     books = first.reshape(len(seeds), n_parts, width // n_parts).transpose(1, 0, 2)
     books = fit(vectors, books, width, folder, n_rounds, members_per_owner, extent["n"])
-    codes = landed(vectors.mapInArrow(_coded(books, width), CODES), f"{folder}/codes")
+    codes = landed(vectors.mapInArrow(task(__name__, _coded(books, width)), CODES), f"{folder}/codes")
     totals = landed(codes.groupBy("label").agg(F.sum("error").alias("label_error")), f"{folder}/labels")
     if totals.count() <= ship_labels:
         totals = F.broadcast(totals)

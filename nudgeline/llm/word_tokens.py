@@ -14,6 +14,8 @@ from array import array
 
 import numpy as np
 
+from .common import on_change
+
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 KEPT_WORDS = 300_000
 # Letters whose lower case and composition are settled, then at most one run of closing marks.
@@ -82,6 +84,7 @@ class WordEncoder:
 
 
 _encoders: dict[str | None, WordEncoder] = {}
+on_change(_encoders.clear)
 
 
 def encoder(path: str | None = None) -> WordEncoder:
