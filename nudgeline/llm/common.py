@@ -15,6 +15,7 @@ from ..session import remove, working_folder
 __all__ = [
     "batches_by_bytes",
     "documents",
+    "free_prefix",
     "landed",
     "remove",
     "on_change",
@@ -44,6 +45,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_prefix(*tables: DataFrame) -> str:
+    """What no column of the tables begins with, for columns that an operator adds for a while."""
+    names = [c.lower() for rows in tables for c in rows.columns]
+    prefix = "__"
+    while any(c.startswith(prefix) for c in names):
+        prefix += "_"
+    return prefix
+
+
 def set_columns(rows: DataFrame, new: dict[str, Column]) -> DataFrame:
     """Adds columns; those of the input with the same name (in any case) give way."""
     taken = {n.lower() for n in new}

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import cuckoo
-from .common import batches_by_bytes, landed, set_columns, task, workspace
+from .common import batches_by_bytes, free_prefix, landed, set_columns, task, workspace
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -245,11 +245,11 @@ class LineIndex:
         return hits.groupBy("doc_id").agg(F.collect_list(key).alias("keys"))
 
 
-def _strip(text: str, min_chars: int, columns: list[str]):
+def _strip(text: str, min_chars: int, columns: list[str], keys: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, text):
             kept, n_lines, n_dropped = [], [], []
-            lost = batch.column("__keys")
+            lost = batch.column(keys)
             for i, body in enumerate(batch.column(text)):
                 lines = (body.as_py() or "").encode().split(b"\n")
                 n_lines.append(len(lines))
@@ -283,12 +283,14 @@ def drop_lines(
 
     The lists of lost keys are the small side, so they are hashed and the texts are not sorted.
     """
-    lost = drops.select(F.col("doc_id").alias("__doc"), F.col("keys").alias("__keys"))
+    own = free_prefix(docs)
+    doc, keys = f"{own}doc", f"{own}keys"
+    lost = drops.select(F.col("doc_id").alias(doc), F.col("keys").alias(keys))
     zero = F.lit(0).cast("bigint")
     rows = set_columns(docs, {"n_lines": zero, "n_dropped": zero})
-    joined = rows.join(lost.hint("shuffle_hash"), rows["doc_id"] == F.col("__doc"), "left").drop("__doc")
+    joined = rows.join(lost.hint("shuffle_hash"), rows["doc_id"] == F.col(doc), "left").drop(doc)
     fields = [StructField(f.name, f.dataType, True) for f in rows.schema.fields]
-    return joined.mapInArrow(task(__name__, _strip(text, min_chars, rows.columns)), StructType(fields))
+    return joined.mapInArrow(task(__name__, _strip(text, min_chars, rows.columns, keys)), StructType(fields))
 
 
 def dedup_lines(

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import landed, set_columns, workspace
+from .common import free_prefix, landed, set_columns, workspace
 
 # In code-point order of the sources, repeating.
 WEIGHTS = (5, 2, 1)
@@ -163,13 +163,15 @@ def _whole_copies(classes: DataFrame, cap: int) -> DataFrame:
     """
     along = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     n, size = F.col("n"), F.col("size")
-    base = F.coalesce(F.sum(n * F.col("rate")).over(along), F.lit(0))
+    # A source may hold more rows than a long has parts for.
+    parts = n.cast("decimal(20,0)") * F.col("rate").cast("decimal(18,0)")
+    base = F.coalesce(F.sum(parts).over(along), F.lit(0).cast("decimal(38,0)"))
     rows = classes.withColumn("base", base)
 
     def passed(parts: Column) -> Column:
         return F.call_function("div", parts + F.lit(UNIT // 2), F.lit(UNIT))
 
-    rows = rows.withColumn("whole", passed(F.col("base") + n * F.col("rate")) - passed(F.col("base")))
+    rows = rows.withColumn("whole", passed(F.col("base") + parts) - passed(F.col("base")))
     falling = Window.partitionBy("key").orderBy(F.col("size").desc())
     before = falling.rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(PASSES):
@@ -235,42 +237,50 @@ def mix(
     starts = cells.select("key", "size", "salt", passed.alias("passed")).join(rated, ["key", "size"])
     starts = starts.join(sources.select("key", "source_size", "target"), "key")
     # One shuffle of the rows: they are ranked within their cell and meet its one row there.
-    cell = ("__key", "__size", "__salt")
+    own = free_prefix(docs)
+    cell = [f"{own}{c}" for c in ("key", "size", "salt")]
     rows = docs.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        _key(source).alias("__key"),
-        n_words(text).alias("__size"),
-        salt().alias("__salt"),
+        _key(source).alias(cell[0]),
+        n_words(text).alias(cell[1]),
+        salt().alias(cell[2]),
     )
     turn = Window.partitionBy(*cell).orderBy(F.xxhash64("doc_id", F.lit(-seed)), "doc_id")
-    rows = rows.withColumn("__turn", F.row_number().over(turn))
+    rows = rows.withColumn(f"{own}turn", F.row_number().over(turn))
     starts = starts.select(
-        *[F.col(c.strip("_")).alias(c) for c in cell],
-        *[F.col(c).alias(f"__{c}") for c in _CELL],
+        *[F.col(c).alias(f"{own}{c}") for c in ("key", "size", "salt", *_CELL)],
     )
-    joined = rows.join(starts, list(cell))
+    joined = rows.join(starts, cell)
 
     def given(turns: Column) -> Column:
-        """Copies that the first rows of a class get together: spread evenly over its rows."""
-        return F.call_function("div", (F.col("__passed") + turns) * F.col("__whole"), F.col("__n"))
-
-    copies = (given(F.col("__turn")) - given(F.col("__turn") - 1)).cast("int")
-    joined = joined.withColumn("__copies", copies)
+        """Copies that the first rows of a class get together: spread evenly over its rows. The
+        product takes more digits than a long has once a class holds some 10^9 rows."""
+        passed = (F.col(f"{own}passed") + turns).cast("decimal(19,0)")
+        return F.call_function("div", passed * F.col(f"{own}whole").cast("decimal(19,0)"), F.col(f"{own}n"))
+
+    made = f"{own}copies"
+    copies = (given(F.col(f"{own}turn")) - given(F.col(f"{own}turn") - 1)).cast("int")
+    joined = joined.withColumn(made, copies)
     out = set_columns(
         joined,
         {
-            "size": F.col("__size"),
-            "source_size": F.col("__source_size"),
-            "target": F.col("__target"),
-            "copies": F.col("__copies"),
-            "taken": F.col("__copies") * F.col("__size"),
+            "size": F.col(cell[1]),
+            "source_size": F.col(f"{own}source_size"),
+            "target": F.col(f"{own}target"),
+            "copies": F.col(made),
+            "taken": F.col(made) * F.col(cell[1]),
         },
     )
-    return out.drop(*cell, "__turn", "__copies", *[f"__{c}" for c in _CELL])
+    return out.drop(*cell, f"{own}turn", made, *[f"{own}{c}" for c in _CELL])
 
 
 def copied(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: every row as often as it has copies."""
-    mixed = mix(docs, **options).where(F.col("copies") > 0)
-    each = F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("__copy")
-    return mixed.select("*", each).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The mix gives its own columns the places of those of the same name, so the rows travel as one.
+    own = free_prefix(docs)
+    read = {options.get("text", "text"), options.get("source", "source"), "doc_id"}
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(f"{own}row")
+    rows = docs.select(*[F.col(f"`{c}`") for c in sorted(read)], whole)
+    mixed = mix(rows, **options).where(F.col("copies") > 0)
+    each = F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias(f"{own}copy")
+    return mixed.select(f"{own}row", each).select(f"{own}row.*")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import batches_by_bytes, landed, task, workspace
+from .common import batches_by_bytes, free_prefix, landed, task, workspace
 from .hashing import mixed, window_hashes, word_hashes
 
 WIDTH = 5
@@ -65,7 +65,9 @@ _SKETCHED = (
 )
 # Longs that hold one bit of every register.
 BIT_WORDS = BUCKETS // 64
+# Sets and shingles that a block of a canopy holds at most on average; two blocks meet in a task.
 BLOCK = 400
+BLOCK_SHINGLES = 1 << 20
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -276,19 +278,26 @@ def _canopies(apart: DataFrame) -> DataFrame:
 def _canopy_links(members: DataFrame, percent: int) -> DataFrame:
     """Links inside canopies. ``members`` have canopy, node, component and shingles.
 
-    A canopy is dealt into blocks, and every two blocks (or one with itself) make a task of at most
-    about ``2 * BLOCK`` sets, however large the canopy is.
+    A canopy is dealt into blocks, and every two blocks (or one with itself) make a group of at most
+    about ``2 * BLOCK`` sets and ``2 * BLOCK_SHINGLES`` shingles (or two sets), however large the canopy
+    is. The groups are dealt out by canopy and both blocks, so those of one canopy are many tasks' work.
     """
     sizes = members.groupBy("canopy").agg(
-        F.count(F.lit(1)).alias("m"), F.min("component").alias("x"), F.max("component").alias("y")
+        F.count(F.lit(1)).alias("m"),
+        F.sum(F.size("shingles").cast("bigint")).alias("shingles"),
+        F.min("component").alias("x"),
+        F.max("component").alias("y"),
     )
     sizes = sizes.where(F.col("x") != F.col("y"))
-    n = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)
+    n = F.least(F.ceil(blocks), F.col("m")).cast("int")
     dealt = members.join(sizes.select("canopy", n.alias("n")), "canopy")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     keys = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
     dealt = dealt.select("canopy", *keys, "block", "node", "component", "shingles")
+    # The join left the rows dealt by canopy alone, which grouping would be content with.
+    dealt = dealt.repartition("canopy", "i", "j")
 
     def compare(key, rows):
         i, j = key[1].as_py(), key[2].as_py()
@@ -384,10 +393,13 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     Then parents are replaced by their parents until all are roots.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = F.min("v").over(Window.partitionBy("u"))
     step = 0
     while True:
-        moved = landed(edges.distinct().withColumn("p", least), f"{folder}/parents-{step}")
+        edges = landed(edges.distinct(), f"{folder}/edges-{step}")
+        # Combined before the shuffle, so a node with very many neighbours is no one task's work; the
+        # join may split it.
+        least = edges.groupBy("u").agg(F.min("v").alias("p"))
+        moved = landed(edges.join(least, "u").select("u", "v", "p"), f"{folder}/parents-{step}")
         rest = moved.where(F.col("v") != F.col("p"))
         if not rest.limit(1).count():
             break
@@ -515,27 +527,30 @@ def _left_of_repeated(
     docs: DataFrame, several: DataFrame, placed: DataFrame, text: str, folder: str
 ) -> DataFrame:
     """What stays of the rows whose id other rows have too. They are known by id and digest."""
-    rows = docs.join(several.hint("shuffle_hash"), docs["doc_id"] == F.col("__id"), "left_semi")
-    made = [StructField(c, LongType()) for c in ("__size", "__high", "__low")]
+    own = free_prefix(docs)
+    size, high, low, row = (f"{own}{c}" for c in ("size", "high", "low", "row"))
+    many = several.select(F.col("doc_id").alias(f"{own}id")).hint("shuffle_hash")
+    rows = docs.join(many, docs["doc_id"] == F.col(f"{own}id"), "left_semi")
+    made = [StructField(c, LongType()) for c in (size, high, low)]
     schema = StructType([*docs.schema.fields, *made])
     rows = rows.mapInArrow(task(__name__, _digested(text, schema.names)), schema)
     rows = landed(
-        rows.withColumn("__row", F.monotonically_increasing_id()), f"{folder}/repeated-ids"
+        rows.withColumn(row, F.monotonically_increasing_id()), f"{folder}/repeated-ids"
     )
     # The sets that their components keep: texts of one id may be near each other as well.
     first = placed.where(F.col("component_id") == F.col("doc_id")).groupBy("component")
     first = first.agg(F.min(F.struct("high", "low", "doc_id")).alias("s")).select("s.*")
-    keys = rows.where(F.col("__size") > 0).select(
+    keys = rows.where(F.col(size) > 0).select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.col("__high").alias("high"),
-        F.col("__low").alias("low"),
-        F.struct(F.xxhash64(text).alias("hash"), "__row").alias("order"),
+        F.col(high).alias("high"),
+        F.col(low).alias("low"),
+        F.struct(F.xxhash64(text).alias("hash"), F.col(row).alias("row")).alias("order"),
     )
     stays = keys.join(first, ["doc_id", "high", "low"]).groupBy("doc_id", "high", "low")
-    stays = stays.agg(F.min("order")["__row"].alias("__row")).select("__row")
-    without = rows.where(F.col("__size") == 0)
-    left = rows.join(stays, "__row", "left_semi").select(rows.columns).unionByName(without)
-    return left.drop("__size", "__high", "__low", "__row")
+    stays = stays.agg(F.min("order")["row"].alias(row)).select(row)
+    without = rows.where(F.col(size) == 0)
+    left = rows.join(stays, row, "left_semi").select(rows.columns).unionByName(without)
+    return left.drop(size, high, low, row)
 
 
 def deduplicate(
@@ -553,12 +568,13 @@ def deduplicate(
     placed = landed(placed, f"{folder}/placed")
     gone = placed.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
     times = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    several = landed(times.select(F.col("doc_id").alias("__id")), f"{folder}/several")
+    several = landed(times.select("doc_id"), f"{folder}/several")
     shared = several.limit(1).count() > 0
     if shared:
-        gone = gone.unionByName(several.select(F.col("__id").alias("doc_id")))
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("__gone"), "left_anti")
+        gone = gone.unionByName(several)
+    name = f"{free_prefix(docs)}gone"
+    gone = gone.select(F.col("doc_id").alias(name)).distinct()
+    left = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col(name), "left_anti")
     if not shared:
         return left
     return left.unionByName(_left_of_repeated(docs, several, placed, text, folder))

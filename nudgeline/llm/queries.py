@@ -43,7 +43,8 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir).select("doc_id", "text"), PACKING_END)
+    packed = packing.pack_documents(documents(spark, sf_dir).select("doc_id", "text"), PACKING_END)
+    return packed.withColumn("length", F.col("length").cast("bigint"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
