@@ -1,6 +1,12 @@
 """From raw documents to packed training sequences, in stages that each read what the one before
 kept. The result of a stage is written to Parquet and read again before the next one begins; the
-tables a stage made for itself are of no use from then on, so the next stage removes them."""
+tables a stage made for itself are of no use from then on, so the next stage removes them.
+
+Defined cases: a null or empty text fails the quality rules, as does any with fewer than 50 words; rows
+that share an id are judged each by its own text, and of rows with equal id and words one stays; rows
+without an id pass line dedup and near-dup as they are; a source may be null; of texts any length, each is
+one row of every stage; further columns, whatever their names, are carried to the last stage, and
+``n_chars`` follows the text where it is one of them; no documents, or none that pass, give no rows."""
 
 from __future__ import annotations
 
@@ -36,8 +42,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents share go, but for one document."""
     kept = line_dedup.dedup_lines(docs, _folder(spark, "lines"))
-    n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        kept = kept.withColumn("n_chars", n_chars)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
