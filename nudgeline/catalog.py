@@ -346,33 +346,62 @@ def learned_steps(spark, folder):
     return ledger.steps().drop("buckets", "seen", "open_arm", "arm_idx", "score")
 
 
-def lifecycle_stream(spark, folder):
-    """The replay as a stream: session-batches arrive in three waves, and the query is stopped
-    and started again in between."""
-    path = _run_folder(spark, "stream")
+def _landed_summaries(spark, folder, path):
+    """Session-batches as a table by batch, and the number of batches."""
     summaries = _summaries(spark, folder)
     summaries.write.partitionBy("batch_id").parquet(f"{path}/landed")
-    landed = spark.read.schema(summaries.schema).parquet(f"{path}/landed")
-    landed = landed.select(*summaries.columns)
-    days = landed.agg(F.max("batch_id").alias("last")).first()["last"] + 1
-    for wave in range(3):
-        low, high = days * wave // 3, days * (wave + 1) // 3
+    landed = spark.read.schema(summaries.schema).parquet(f"{path}/landed").select(*summaries.columns)
+    return landed, landed.agg(F.max("batch_id").alias("last")).first()["last"] + 1
+
+
+def _stream_waves(spark, path, landed, edges, **options):
+    """Session-batches that arrive in waves; the query is stopped and started again in between."""
+    for low, high in zip(edges, edges[1:]):
         part = landed.where((F.col("batch_id") >= low) & (F.col("batch_id") < high))
         part.write.mode("append").parquet(f"{path}/arrived")
         query = live.start(
             spark,
             f"{path}/arrived",
-            summaries.schema,
+            landed.schema,
             f"{path}/steps",
             f"{path}/checkpoint",
             initial_models(POLICY),
             POLICY,
             trigger={"availableNow": True},
+            **options,
         )
         query.awaitTermination()
     return spark.read.schema(live.STEPS).parquet(f"{path}/steps")
 
 
+def lifecycle_stream(spark, folder):
+    """The replay as a stream, in three waves."""
+    path = _run_folder(spark, "stream")
+    landed, days = _landed_summaries(spark, folder, path)
+    return _stream_waves(spark, path, landed, [days * wave // 3 for wave in range(4)])
+
+
+def lifecycle_handover(spark, folder):
+    """The first half of the days replayed, the rest streamed on from the state that the replay left."""
+    path = _run_folder(spark, "handover")
+    landed, days = _landed_summaries(spark, folder, path)
+    early = lifecycle.replay(landed.where(F.col("batch_id") < days // 2), initial_models(POLICY), POLICY)
+    early.write.parquet(f"{path}/replayed")
+    early = spark.read.schema(early.schema).parquet(f"{path}/replayed")
+    live.initial_state(early).write.parquet(f"{path}/state")
+    edges = [days // 2, days * 3 // 4, days]
+    late = _stream_waves(spark, path, landed, edges, begin_with=f"{path}/state")
+    return early.select(*late.columns).unionByName(late)
+
+
+def session_states(spark, folder):
+    """What the stream's state store holds of each session after the last wave."""
+    path = _run_folder(spark, "states")
+    landed, days = _landed_summaries(spark, folder, path)
+    _stream_waves(spark, path, landed, [0, days // 2, days])
+    return live.session_states(spark, f"{path}/checkpoint").drop("score", "is_exploring")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_profile": raw_profile,
@@ -414,4 +443,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "model_refit": model_refit,
         "learned_loop": learned_steps,
         "lifecycle_stream": lifecycle_stream,
+        "lifecycle_handover": lifecycle_handover,
+        "session_states": session_states,
     }

@@ -25,6 +25,7 @@ STATE = (
     "seen INT, open_arm INT, suggestion_no INT, score DOUBLE, is_exploring BOOLEAN, "
     "pre_velocity DOUBLE, last_batch BIGINT"
 )
+_STATE_COLUMNS = [c.split(" ")[0] for c in STATE.split(", ")]
 EMPTY = (0, -1, None, None, None, None, -1)
 STEPS = (
     "session_id STRING, batch_id BIGINT, kind STRING, arm_idx INT, suggestion_no INT, "
@@ -53,6 +54,10 @@ class SessionMachine(StatefulProcessor):
                 yield Row(session_id=key[0], **step)
         self.store.update(state)
 
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        """A session as a replay or the learning loop left it."""
+        self.store.update(tuple(initialState[c] for c in _STATE_COLUMNS))
+
     def close(self) -> None:
         pass
 
@@ -111,10 +116,34 @@ def advance(state: tuple, batch: Row, n_arms: int) -> tuple[tuple, dict | None]:
     return after, step
 
 
+def initial_state(steps: DataFrame) -> DataFrame:
+    """The state of every session after some steps (``schemas.STEP_LOG``, or ``Ledger.state``): one row
+    per session, to begin a stream with."""
+    fields = [c for c in _STATE_COLUMNS if c not in ("seen", "open_arm", "last_batch")]
+    is_open = F.col("s.open_arm") >= 0
+    last = F.max_by(F.struct("seen", "open_arm", *fields), "batch_id").alias("s")
+    newest = steps.groupBy("session_id").agg(F.max("batch_id").alias("last_batch"), last)
+    return newest.select(
+        "session_id",
+        "s.seen",
+        "s.open_arm",
+        *[F.when(is_open, F.col(f"s.{c}")).alias(c) for c in fields],
+        "last_batch",
+    )
+
+
 def steps(
-    summaries: DataFrame, models: list[ArmModel], policy: Policy, ttl_ms: int | None = None
+    summaries: DataFrame,
+    models: list[ArmModel],
+    policy: Policy,
+    ttl_ms: int | None = None,
+    begin_with: DataFrame | None = None,
 ) -> DataFrame:
-    """Steps of streamed session-batches. All hashing and scoring happens before the state."""
+    """Steps of streamed session-batches. All hashing and scoring happens before the state.
+
+    ``begin_with`` (``initial_state``) are sessions that are under way when the stream first starts; a
+    stream that goes on from its checkpoint has them in its state already.
+    """
     sid = F.col("session_id")
     ids = F.array(*[injection_id(sid, F.lit(n)) for n in range(len(policy.arms))])
     ready = (
@@ -128,6 +157,7 @@ def steps(
         outputStructType=STEPS,
         outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
+        initialState=None if begin_with is None else begin_with.groupBy("session_id"),
     )
 
 
@@ -141,11 +171,14 @@ def start(
     policy: Policy = Policy(),
     ttl_ms: int | None = None,
     trigger: dict | None = None,
+    begin_with: str | None = None,
 ) -> StreamingQuery:
     """Starts the static policy on a folder of session-batches and writes its steps to another.
 
     The state keeps the number of shuffle partitions it is first started with.
 
+    ``begin_with`` names a folder with an ``initial_state``, for the first start.
+
     The state store is chosen in a session of its own; the caller's settings stay as they are.
     """
     own = spark.newSession()
@@ -155,6 +188,16 @@ def start(
     own.conf.set(PARTITIONS, spark.conf.get(PARTITIONS))
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     stream = own.readStream.schema(schema).parquet(summaries)
-    out = steps(stream, models, policy, ttl_ms)
+    known = own.read.parquet(begin_with) if begin_with else None
+    out = steps(stream, models, policy, ttl_ms, known)
     writer = out.writeStream.format("parquet").option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start(output)
+
+
+def session_states(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What the stream knows of each session, read back from its state store after the last
+    micro-batch that was committed."""
+    reader = spark.read.format("statestore").option("path", checkpoint)
+    kept = reader.option("stateVarName", "session").load()
+    value = "value.value" if "ttlExpirationMs" in kept.schema["value"].dataType.names else "value"
+    return kept.select(F.col("key.session_id").alias("session_id"), f"{value}.*")

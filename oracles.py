@@ -513,6 +513,16 @@ FROM items"""
     replay = _with(*REPLAY)
     sql["lifecycle_replay"] = replay + REPLAY_COLUMNS
     sql["lifecycle_stream"] = replay + REPLAY_COLUMNS
+    sql["lifecycle_handover"] = replay + REPLAY_COLUMNS
+    sql["session_states"] = replay + """
+      SELECT b.session_id, coalesce(s.seen, 0) AS seen, coalesce(s.open_arm, -1) AS open_arm,
+             CASE WHEN s.open_arm >= 0 THEN s.suggestion_no END AS suggestion_no,
+             CASE WHEN s.open_arm >= 0 THEN s.pre_velocity END AS pre_velocity, b.last_batch
+      FROM (SELECT session_id, max(batch_id) AS last_batch FROM batches GROUP BY ALL) b
+      LEFT JOIN (SELECT session_id, arg_max(seen, batch_id) AS seen, arg_max(open_arm, batch_id)
+                        AS open_arm, arg_max(suggestion_no, batch_id) AS suggestion_no,
+                        arg_max(pre_velocity, batch_id) AS pre_velocity
+                 FROM steps GROUP BY ALL) s USING (session_id)"""
     sql["phase_split"] = _with(*REPLAY, SPANS) + """
       SELECT b.batch_id, b.session_id,
              CASE WHEN s.injection_id IS NULL THEN 'decide' ELSE 'judge' END AS phase,

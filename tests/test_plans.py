@@ -13,7 +13,10 @@ from nudgeline.session import CHECKPOINT_KEY, working_folder
 
 
 # Queries that run batch after batch before they return a plan.
-RUN_BATCHES = {"model_update", "model_refit", "learned_loop", "lifecycle_stream"}
+RUN_BATCHES = {
+    "model_update", "model_local_update", "model_refit", "learned_loop", "lifecycle_stream",
+    "lifecycle_handover", "session_states",
+}
 
 
 def plan(frame):
