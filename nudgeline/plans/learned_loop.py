@@ -7,21 +7,23 @@ serves a bounded replay and the micro-batches of a stream.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..models import local_sgd, training
 from ..models.scoring import scorer
 from ..models.weights import ArmModel
 from ..operators import choice, session_batch
-from ..session import remove
+from ..session import observed, remove
 from ..settings import Policy
 from . import lifecycle, outputs
 from .ledger import Ledger
 
-# A sink gets the batch's rows and its id; it must replace what an earlier try left behind.
-Sink = Callable[[DataFrame, int], None]
+# A sink gets the batch's rows, None if there are none, and its id; it must replace what an earlier
+# try left behind.
+Sink = Callable[[DataFrame | None, int], None]
 
 STATE_COLUMNS = (
     "seen",
@@ -75,15 +77,32 @@ def step(
     return decided.select("session_id", *[value.alias(name) for name, value in fields.items()])
 
 
+@dataclass(frozen=True)
+class BatchReport:
+    """What a batch came to; observed while its steps were written."""
+
+    batch_id: int
+    sessions: int
+    suggestions: int
+    judgements: int
+
+
 class LearningLoop:
     """Runs batches of usable session-batches, one after the other.
 
     ``send`` gets the suggestion messages and ``record`` the performance rows of a batch. An
     error in either fails the batch before its commit, so it is tried again and nothing is lost.
+    ``report`` gets the counts of every batch that was committed.
     """
 
-    def __init__(self, ledger: Ledger, send: Sink | None = None, record: Sink | None = None):
-        self.ledger, self.send, self.record = ledger, send, record
+    def __init__(
+        self,
+        ledger: Ledger,
+        send: Sink | None = None,
+        record: Sink | None = None,
+        report: Callable[[BatchReport], None] | None = None,
+    ):
+        self.ledger, self.send, self.record, self.report = ledger, send, record, report
 
     def run(self, summaries: DataFrame, batch_id: int, batch_seconds: float) -> bool:
         """Runs one batch; False when it had been committed before."""
@@ -91,34 +110,49 @@ class LearningLoop:
         if ledger.is_committed(batch_id):
             return False
         policy, models = ledger.policy, ledger.models()
-        taken = step(summaries, ledger.state(batch_id, summaries), models, policy)
-        steps = ledger.write_steps(taken, batch_id)
+        arrived = Observation()
+        seen = summaries.observe(arrived, F.count(F.lit(1)).alias("sessions"))
+        taken = step(seen, ledger.state(batch_id, summaries), models, policy)
+        steps, counts = ledger.write_steps(taken, batch_id)
+        n_judged = sum(counts.judged.values())
         when = F.lit(float(batch_seconds))
         if self.send:
             suggested = outputs.suggestions(steps, when, policy)
-            self.send(outputs.suggestion_messages(suggested), batch_id)
+            self.send(outputs.suggestion_messages(suggested) if counts.suggested else None, batch_id)
         if self.record:
-            self.record(outputs.metrics(steps, when, policy), batch_id)
-        examples = outputs.training_examples(steps)
-        if policy.step_per_example:
-            learned = local_sgd.update(examples, models, policy, ledger.scratch(batch_id))
-        else:
-            learned = training.update(examples, models, policy)
+            self.record(outputs.metrics(steps, when, policy) if n_judged else None, batch_id)
+        learned = None
+        if n_judged:
+            examples = outputs.training_examples(steps)
+            if policy.step_per_example:
+                learned = local_sgd.update(
+                    examples, models, policy, ledger.scratch(batch_id), counts.judged
+                )
+            else:
+                learned = training.update(examples, models, policy)
         ledger.commit(batch_id, learned)
+        if self.report:
+            n_sessions = observed(arrived).get("sessions", 0)
+            self.report(BatchReport(batch_id, n_sessions, counts.suggested, n_judged))
         return True
 
 
+def any_rows(rows: DataFrame) -> DataFrame | None:
+    """The rows for a sink, None if there are none."""
+    return rows if rows.limit(1).count() else None
+
+
 def table_sink(table: str, fmt: str = "parquet") -> Sink:
     """Writes each batch to its partition of a registered table and replaces it on a retry; nothing
     is written for a batch without rows."""
 
-    def write(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        if not rows.limit(1).count():
+    def write(rows: DataFrame | None, batch_id: int) -> None:
+        spark = rows.sparkSession if rows is not None else SparkSession.active()
+        if rows is None:
             if spark.catalog.tableExists(table):
                 spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (batch_id={int(batch_id)})")
             return
+        rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         if not spark.catalog.tableExists(table):
             rows.limit(0).write.format(fmt).partitionBy("batch_id").saveAsTable(table)
         columns = spark.table(table).columns
@@ -132,12 +166,12 @@ def file_sink(folder: str, fmt: str = "parquet") -> Sink:
     """Writes each batch to a folder of its own and replaces it on a retry; a batch without rows
     has none."""
 
-    def write(rows: DataFrame, batch_id: int) -> None:
+    def write(rows: DataFrame | None, batch_id: int) -> None:
         path = f"{folder.rstrip('/')}/batch_id={batch_id}"
-        if rows.limit(1).count():
+        if rows is not None:
             rows.drop("batch_id").write.mode("overwrite").format(fmt).save(path)
         else:
-            remove(rows.sparkSession, path)  # what an earlier try may have left
+            remove(SparkSession.active(), path)  # what an earlier try may have left
 
     return write
 
@@ -145,7 +179,9 @@ def file_sink(folder: str, fmt: str = "parquet") -> Sink:
 def message_sink(fmt: str, options: dict[str, str]) -> Sink:
     """Sends message bodies to a message service; a log source calls the body ``value``."""
 
-    def write(rows: DataFrame, batch_id: int) -> None:
+    def write(rows: DataFrame | None, batch_id: int) -> None:
+        if rows is None:
+            return
         named = rows.withColumnRenamed("body", "value") if fmt == "kafka" else rows
         named.write.format(fmt).options(**options).save()
 

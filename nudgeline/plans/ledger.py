@@ -16,15 +16,16 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..models import weights
 from ..models.weights import ArmModel
 from ..schemas import MODEL, STEP_LOG
-from ..session import remove
+from ..session import observed, remove
 from ..settings import Policy
 
 # ``snapshots`` has the version of each bucket, null for one without sessions.
@@ -50,6 +51,14 @@ def _is_missing(error: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in (error.getCondition() or "")
 
 
+@dataclass(frozen=True)
+class StepCounts:
+    """How many suggestions a batch made, and how many it judged by arm."""
+
+    suggested: int
+    judged: dict[int, int]
+
+
 class Ledger:
     """Tables under one folder. Holds the newest commit and models in memory; all else is read."""
 
@@ -148,11 +157,23 @@ class Ledger:
     def is_committed(self, batch_id: int) -> bool:
         return self.newest is not None and batch_id <= self.newest["batch_id"]
 
-    def write_steps(self, steps: DataFrame, batch_id: int) -> DataFrame:
-        """Writes a batch's part of the log and returns it as read back."""
+    def write_steps(self, steps: DataFrame, batch_id: int) -> tuple[DataFrame, StepCounts]:
+        """Writes a batch's part of the log; gives it as read back, and its counts, which are observed
+        on the way."""
         path = self._path("steps", "batch_id", batch_id)
-        steps.drop("batch_id").write.mode("overwrite").parquet(path)
-        return self._read_steps([batch_id])
+        judged = F.col("kind") == "judge"
+        arms = range(len(self.policy.arms))
+        seen = Observation()
+        counted = steps.observe(
+            seen,
+            F.count_if(F.col("kind") == "suggest").alias("suggested"),
+            *[F.count_if(judged & (F.col("arm_idx") == arm)).alias(f"judged_{arm}") for arm in arms],
+        )
+        counted.drop("batch_id").write.mode("overwrite").parquet(path)
+        found = observed(seen)
+        by_arm = {arm: found.get(f"judged_{arm}", 0) for arm in arms}
+        counts = StepCounts(found.get("suggested", 0), by_arm)
+        return self._read_steps([batch_id]), counts
 
     def _read_steps(self, batch_ids: list[int]) -> DataFrame:
         paths = [self._path("steps", "batch_id", b) for b in batch_ids]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Observation, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.messages import raw_view
+from ..session import observed
+from ..sources.messages import raw_view, with_arrival
 
 SAMPLE_ROWS = 10
 
@@ -29,13 +30,12 @@ def start(
     driver."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)  # the source is read once
-        try:
-            count = kept.count()
-            show(batch_id, count, kept.limit(SAMPLE_ROWS).collect() if count else [])
-        finally:
-            kept.unpersist()
-
-    view = raw_view(stream).select("body_str", "properties")
+        # One pass: the rows are counted on their way into the selection of the first.
+        arrived = Observation()
+        counted = with_arrival(batch).observe(arrived, F.count(F.lit(1)).alias("n"))
+        first = counted.orderBy("arrival").limit(SAMPLE_ROWS).collect()
+        show(batch_id, observed(arrived).get("n", 0), first)
+
+    view = raw_view(stream)
     writer = view.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()

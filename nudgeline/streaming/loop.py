@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import session_batch
-from ..plans.learned_loop import LearningLoop, Sink, file_sink
+from ..plans.learned_loop import BatchReport, LearningLoop, Sink, any_rows, file_sink
 from ..plans.ledger import Ledger
 from ..settings import Policy
 from ..sources import messages
@@ -31,6 +31,7 @@ def start(
     send: Sink | None = None,
     record: Sink | None = None,
     clock: Callable[[int], float] | None = None,
+    report: Callable[[BatchReport], None] | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Starts the learning loop on a message stream (``read_message_stream``).
@@ -43,7 +44,7 @@ def start(
     record = record or file_sink(f"{folder}/metrics")
     put_aside = file_sink(f"{folder}/quarantine")
     ledger = Ledger(stream.sparkSession, f"{folder}/ledger", policy)
-    loop = LearningLoop(ledger, send, record)
+    loop = LearningLoop(ledger, send, record, report)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if ledger.is_committed(batch_id):
@@ -51,7 +52,7 @@ def start(
         seconds = clock(batch_id) if clock else time.time()
         decoded = _decoded(batch, batch_id)
         try:
-            put_aside(messages.quarantine(decoded), batch_id)
+            put_aside(any_rows(messages.quarantine(decoded)), batch_id)
             rows = messages.behaviour(decoded)
             # One row per session; read for the state look-up and for the join with it.
             summaries = session_batch.usable(session_batch.summarize(rows, policy))
@@ -83,9 +84,9 @@ def start_summaries(
     def handle(batch: DataFrame, batch_id: int) -> None:
         decoded = _decoded(batch, batch_id)
         try:
-            put_aside(messages.quarantine(decoded), batch_id)
+            put_aside(any_rows(messages.quarantine(decoded)), batch_id)
             rows = messages.behaviour(decoded)
-            write(session_batch.usable(session_batch.summarize(rows, policy)), batch_id)
+            write(any_rows(session_batch.usable(session_batch.summarize(rows, policy))), batch_id)
         finally:
             decoded.unpersist()
 

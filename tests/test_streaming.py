@@ -2,6 +2,7 @@
 
 import json
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,7 +54,10 @@ def steps_of(table):
 
 def test_learning_stream_equals_replay(spark, rows, inbox, tmp_path):
     folder = str(tmp_path / "live")
-    query = loop.start(stream(spark, inbox), folder, POLICY, clock=replay.batch_seconds, trigger=NOW)
+    reports = []
+    query = loop.start(
+        stream(spark, inbox), folder, POLICY, clock=replay.batch_seconds, report=reports.append, trigger=NOW
+    )
     query.awaitTermination()
     ledger = Ledger(spark, f"{folder}/ledger", POLICY)
     assert ledger.newest["batch_id"] == BATCHES - 1
@@ -66,6 +70,12 @@ def test_learning_stream_equals_replay(spark, rows, inbox, tmp_path):
         for a, b in zip(one.layers, other.layers):
             assert a.ravel().tolist() == pytest.approx(b.ravel().tolist(), abs=1e-9)
 
+    kinds = {(r["batch_id"], r["kind"]): r["count"] for r in ledger.steps().groupBy("batch_id", "kind").count().collect()}
+    sessions = {r["batch_id"]: r["n"] for r in rows.groupBy("batch_id").agg(F.count_distinct("session_id").alias("n")).collect()}
+    assert [(r.batch_id, r.sessions, r.suggestions, r.judgements) for r in reports] == [
+        (b, sessions[b], kinds.get((b, "suggest"), 0), kinds.get((b, "judge"), 0)) for b in range(BATCHES)
+    ]
+
     aside = spark.read.parquet(f"{folder}/quarantine").collect()
     assert [(r["batch_id"], r["body"]) for r in aside] == [(1, "not json")]
     sent = [json.loads(r["body"]) for r in spark.read.json(f"{folder}/suggestions").collect()]
@@ -112,6 +122,53 @@ def test_static_policy_over_two_streams(spark, rows, inbox, tmp_path):
     assert "RocksDB" not in provider
 
 
+def test_handover_from_the_learning_loop(spark, rows, tmp_path):
+    """The loop runs some batches; a stream under fixed models goes on from its ledger."""
+    policy = replace(POLICY, learning_rate=0.0)
+    summaries = session_batch.usable(session_batch.summarize(rows, policy)).cache()
+    ledger = Ledger(spark, str(tmp_path / "ledger"), policy)
+    runner = learned_loop.LearningLoop(ledger)
+    for batch_id in range(3):
+        runner.run(summaries.where(F.col("batch_id") == batch_id), batch_id, 0.0)
+    live.initial_state(ledger.state(3)).write.parquet(str(tmp_path / "state"))
+    summaries.where("batch_id >= 3").write.parquet(str(tmp_path / "arrived"))
+    for _ in range(2):  # started again, it does not begin anew
+        live.start(
+            spark,
+            str(tmp_path / "arrived"),
+            summaries.schema,
+            str(tmp_path / "steps"),
+            str(tmp_path / "checkpoint"),
+            ledger.models(),
+            policy,
+            ttl_ms=3_600_000,
+            trigger=NOW,
+            begin_with=str(tmp_path / "state"),
+        ).awaitTermination()
+    late = spark.read.schema(live.STEPS).parquet(str(tmp_path / "steps"))
+    both = ledger.steps().select(late.columns).unionByName(late)
+    want = lifecycle.replay(summaries, ledger.models(), policy).drop("buckets", "seen", "open_arm")
+    assert steps_of(both) == steps_of(want)
+    # The state store's own account of the sessions, expiry or not.
+    kept = live.session_states(spark, str(tmp_path / "checkpoint"))
+    touched = {r["session_id"]: r["last_batch"] for r in kept.collect()}
+    newest = summaries.groupBy("session_id").agg(F.max("batch_id").alias("n")).collect()
+    assert all(touched[r["session_id"]] == r["n"] for r in newest if r["n"] >= 3)
+    summaries.unpersist()
+
+
+def test_a_batch_without_sessions(spark, rows, tmp_path):
+    summaries = session_batch.usable(session_batch.summarize(rows, POLICY))
+    reports, sent = [], []
+    ledger = Ledger(spark, str(tmp_path), POLICY)
+    runner = learned_loop.LearningLoop(
+        ledger, lambda r, b: sent.append(r), lambda r, b: sent.append(r), reports.append
+    )
+    assert runner.run(summaries.limit(0), 0, 0.0)
+    assert sent == [None, None] and ledger.is_committed(0)
+    assert reports == [learned_loop.BatchReport(0, 0, 0, 0)]
+
+
 def test_inspection(spark, inbox, tmp_path):
     shown = []
     query = inspect.start(
