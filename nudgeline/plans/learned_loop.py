@@ -18,7 +18,7 @@ from ..models.weights import ArmModel
 from ..operators import choice, session_batch
 from ..session import observed, remove
 from ..settings import Policy
-from . import lifecycle, outputs
+from . import lifecycle, outbox, outputs
 from .ledger import Ledger
 
 # A sink gets the batch's rows, None if there are none, and its id; it must replace what an earlier
@@ -92,6 +92,7 @@ class LearningLoop:
 
     ``send`` gets the suggestion messages and ``record`` the performance rows of a batch. An
     error in either fails the batch before its commit, so it is tried again and nothing is lost.
+    ``publish`` gets both as one table (``outbox.publisher``), so that they appear together.
     ``report`` gets the counts of every batch that was committed.
     """
 
@@ -101,8 +102,10 @@ class LearningLoop:
         send: Sink | None = None,
         record: Sink | None = None,
         report: Callable[[BatchReport], None] | None = None,
+        publish: Sink | None = None,
     ):
-        self.ledger, self.send, self.record, self.report = ledger, send, record, report
+        self.ledger, self.send, self.record = ledger, send, record
+        self.report, self.publish = report, publish
 
     def run(self, summaries: DataFrame, batch_id: int, batch_seconds: float) -> bool:
         """Runs one batch; False when it had been committed before."""
@@ -121,6 +124,9 @@ class LearningLoop:
             self.send(outputs.suggestion_messages(suggested) if counts.suggested else None, batch_id)
         if self.record:
             self.record(outputs.metrics(steps, when, policy) if n_judged else None, batch_id)
+        if self.publish:
+            some = counts.suggested or n_judged
+            self.publish(outbox.rows_of(steps, when, policy) if some else None, batch_id)
         learned = None
         if n_judged:
             examples = outputs.training_examples(steps)
@@ -198,7 +204,8 @@ def replay_batches(
     """Runs all batches of bounded behaviour rows in order.
 
     Session-batches do not depend on the models, so they are worked out for all batches at once
-    and written by batch; the loop then reads one batch at a time.
+    and written by batch; the loop then reads one batch at a time. Suggestions and performance rows go
+    to ``folder/outbox``.
     """
     folder = folder.rstrip("/")
     summaries = session_batch.usable(session_batch.summarize(rows, policy))
@@ -213,9 +220,7 @@ def replay_batches(
     landed = landed.select(*summaries.columns)
     batch_ids = sorted(r["batch_id"] for r in landed.select("batch_id").distinct().collect())
     ledger = Ledger(spark, f"{folder}/ledger", policy)
-    loop = LearningLoop(
-        ledger, file_sink(f"{folder}/suggestions", "json"), file_sink(f"{folder}/metrics")
-    )
+    loop = LearningLoop(ledger, publish=outbox.publisher(spark, f"{folder}/outbox"))
     for batch_id in batch_ids:
         batch = landed.where(F.col("batch_id") == batch_id)
         loop.run(batch, batch_id, batch_seconds(batch_id))

@@ -43,6 +43,17 @@ def observed(seen: Observation) -> dict[str, int]:
         raise
 
 
+def file_system(path: str):
+    """Arrow's file system of a path, as tasks reach it, and the path in it."""
+    from pyarrow import fs
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder, wherever it lies; nothing happens when it is not there."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
