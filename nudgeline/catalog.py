@@ -43,6 +43,10 @@ def _steps(spark, folder) -> DataFrame:
     return lifecycle.replay(_summaries(spark, folder), initial_models(POLICY), POLICY)
 
 
+def _run_folder(spark, name):
+    return f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # --- raw messages -----------------------------------------------------------------------------
 
 
@@ -238,7 +242,11 @@ def lifecycle_replay(spark, folder):
 
 
 def phase_split(spark, folder):
+    # Both sides come from the session-batches, which are worked out once.
     summaries = _summaries(spark, folder)
+    path = _run_folder(spark, "session-batches")
+    summaries.write.parquet(path)
+    summaries = spark.read.schema(summaries.schema).parquet(path)
     steps = lifecycle.replay(summaries, initial_models(POLICY), POLICY)
     return phases.split_phases(summaries, steps)
 
@@ -278,10 +286,6 @@ def training_examples(spark, folder):
 # --- learning and streaming -----------------------------------------------------------------------
 
 
-def _run_folder(spark, name):
-    return f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def model_update(spark, folder):
     """Untrained models after one step on all judged suggestions, one row per weight."""
     examples = outputs.training_examples(_steps(spark, folder))

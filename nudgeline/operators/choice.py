@@ -65,11 +65,11 @@ def choose(scores: Column, seen: Column, explores: Column, pick: Column, policy:
 
 def shown_mask(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Arms that a session-batch itself reports as shown, as a bit mask."""
-    return rows.groupBy(*KEYS).agg(shown_bits(policy).alias("seen"))
+    return rows.groupBy(*KEYS).agg(F.bit_or(shown_bit(policy)).alias("seen"))
 
 
-def shown_bits(policy: Policy) -> Column:
-    return F.bit_or(arm_bit(arm_index(F.col("shown_component"), policy), policy))
+def shown_bit(policy: Policy) -> Column:
+    return arm_bit(arm_index(F.col("shown_component"), policy), policy)
 
 
 def candidate_arms(masks: DataFrame, policy: Policy = Policy()) -> DataFrame:

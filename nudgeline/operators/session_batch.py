@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import feedback, labels
 from ..functions.hashing import ID_PREFIX, bucket_set, injection_id
 from ..settings import (
     KEYS,
+    MAX_WORDS,
     READ_MILLIS,
     READ_TYPES,
     SCROLL,
@@ -24,7 +25,7 @@ from ..settings import (
     Policy,
 )
 from . import choice, pair_scan
-from .tokens import first_words
+from .tokens import words_of_event
 
 KEY_LIST = list(KEYS)
 
@@ -59,25 +60,40 @@ def touched_id(n_suggestions: int) -> Column:
     return F.when(marked, bits).otherwise(F.lit(0))
 
 
-def feedback_aggregates(policy: Policy) -> list[Column]:
-    stamp = F.when(F.col("ts_ms") > 0, F.col("ts_ms"))
+def with_feedback(rows: DataFrame, policy: Policy) -> DataFrame:
+    """Adds what each event says for the feedback."""
+    return rows.withColumns(
+        {
+            "points": points(),
+            "stamp": F.when(F.col("ts_ms") > 0, F.col("ts_ms")),
+            "unstamped": F.col("is_event") & F.col("ts_ms").isNull(),
+            "exits": feedback.is_exit(F.col("type")),
+            "touched": touched_id(len(policy.arms)),
+        }
+    )
+
+
+def feedback_aggregates() -> list[Column]:
     return [
         F.count_if("is_item").alias("n_items"),
-        F.coalesce(
-            F.bool_or(F.col("is_event") & F.col("ts_ms").isNull()), F.lit(False)
-        ).alias("lacks_timestamp"),
-        F.sum(points()).alias("score"),
-        F.min(stamp).alias("first_ms"),
-        F.max(stamp).alias("last_ms"),
-        F.bool_or(feedback.is_exit(F.col("type"))).alias("has_exit"),
-        F.bit_or(touched_id(len(policy.arms))).alias("hit_mask"),
+        F.coalesce(F.bool_or("unstamped"), F.lit(False)).alias("lacks_timestamp"),
+        F.sum("points").alias("score"),
+        F.min("stamp").alias("first_ms"),
+        F.max("stamp").alias("last_ms"),
+        F.bool_or("exits").alias("has_exit"),
+        F.bit_or("touched").alias("hit_mask"),
     ]
 
 
-def activity_aggregates() -> list[Column]:
+def with_activity(rows: DataFrame) -> DataFrame:
+    """Adds what each event says for the activity counts."""
     kind = F.col("type")
     long_read = kind.isin(*READ_TYPES) & (F.col("duration") > READ_MILLIS)
-    return [F.count_if(kind == SWIPE).alias("swipes"), F.count_if(long_read).alias("reads")]
+    return rows.withColumns({"swiped": kind == SWIPE, "long_read": long_read})
+
+
+def activity_aggregates() -> list[Column]:
+    return [F.count_if("swiped").alias("swipes"), F.count_if("long_read").alias("reads")]
 
 
 def collect_session_batches(rows: DataFrame) -> DataFrame:
@@ -95,12 +111,13 @@ def behaviour_counts(rows: DataFrame) -> DataFrame:
     """Swipes, long reads and the deepest scroll; the last is reported only."""
     depth = F.when(F.col("type") == SCROLL, F.col("scroll_depth"))
     deepest = F.greatest(F.lit(0.0), F.max(depth)).alias("max_scroll")
-    return rows.groupBy(*KEYS).agg(*activity_aggregates(), deepest)
+    return with_activity(rows).groupBy(*KEYS).agg(*activity_aggregates(), deepest)
 
 
 def engagement(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Score, velocity and feedback flags of each session-batch."""
-    return rows.groupBy(*KEYS).agg(*feedback_aggregates(policy)).withColumn("velocity", _velocity())
+    told = with_feedback(rows, policy).groupBy(*KEYS).agg(*feedback_aggregates())
+    return told.withColumn("velocity", _velocity())
 
 
 def _velocity() -> Column:
@@ -140,31 +157,72 @@ def feature_strings(words: Column) -> Column:
     return F.concat(fixed, F.transform(words, lambda w: F.concat(F.lit("word="), w)))
 
 
-def summarize(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Everything the decision needs to know about a session-batch, in one row.
+_WORD = "word"
+
+
+def _told(rows: DataFrame, policy: Policy) -> DataFrame:
+    """Aggregates and first words of every session-batch, from one reading of the events.
 
-    The three branches (aggregates, undecided labels, words) end partitioned by the same keys,
-    so joining them adds no shuffle.
+    Each event is a row without a word and one row per word; both go through one aggregate by session-
+    batch and word, combined before the shuffle. Its rows without a word are the aggregates of the
+    events, the others say which words there are. Of those at most 15 per task go on to the session-
+    batch's partition.
     """
-    coded = pair_scan.keyed(with_codes(rows), KEYS)
-    stats = coded.groupBy(*KEYS).agg(
-        *feedback_aggregates(policy),
+    told = with_activity(with_feedback(rows, policy)).withColumn(
+        "shown_bit", choice.shown_bit(policy)
+    )
+    own = F.array(F.lit(None).cast("string"))
+    words = F.coalesce(words_of_event(), F.array().cast("array<string>"))
+    needed = (
+        *KEYS, "ord", "ua", "link", "is_item", "points", "stamp", "unstamped", "exits", "touched",
+        "swiped", "long_read", "shown_bit",
+    )
+    tagged = told.select(*needed, F.explode_outer(F.concat(own, words)).alias(_WORD))
+    aggregates = [
+        *feedback_aggregates(),
         *activity_aggregates(),
-        choice.shown_bits(policy).alias("shown"),
+        F.bit_or("shown_bit").alias("shown"),
         *pair_scan.scan_aggregates("ua", "link", n_codes=labels.N_CODES),
+    ]
+    by_word = tagged.groupBy(*KEYS, _WORD).agg(*aggregates)
+    # Null comes first: the row of the events themselves.
+    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col(_WORD).asc_nulls_first()))
+    kept = by_word.withColumn("rank", rank).where(F.col("rank") <= MAX_WORDS + 1)
+    names = [c for c in by_word.columns if c not in (*KEYS, _WORD)]
+    events = F.when(F.col(_WORD).isNull(), F.struct(*names))
+    return kept.groupBy(*KEYS).agg(
+        F.first(events, ignorenulls=True).alias("told"),
+        F.sort_array(F.collect_list(_WORD)).alias("words"),
     )
-    late = pair_scan.late_values(coded, stats, "ua", "link", KEYS, n_codes=labels.N_CODES)
+
+
+def summarize(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Everything the decision needs to know about a session-batch, in one row.
+
+    The events are read once for aggregates and words. The few session-batches whose labels these leave
+    undecided are looked up in a second, narrow reading (``pair_scan.late_values``).
+    """
+    coded = pair_scan.keyed(with_codes(rows), KEYS)
+    told = _told(coded, policy)
+    # Asking for the words as well keeps both uses alike, so that the engine works them out once.
+    undecided = told.where(F.size("words") >= 0).select(*KEYS, "told.*")
+    late = pair_scan.late_values(coded, undecided, "ua", "link", KEYS, n_codes=labels.N_CODES)
     ua = pair_scan.resolve("ua", "link", "late_value", labels.N_CODES)
     link = pair_scan.resolve("link", "ua", "late_value", labels.N_CODES)
-    words = F.coalesce(F.col("words"), F.array().cast("array<string>"))
     return (
-        stats.join(late, KEY_LIST, "left")
-        .join(first_words(rows), KEY_LIST, "left")
-        .withColumn("ua", ua)
-        .withColumn("link", link)
-        .withColumns(dict(zip(("device", "source", "intent"), _labels(F.col("ua"), F.col("link")))))
+        told.join(late, KEY_LIST, "left")
+        .select(*KEYS, "told.*", "words", "late_value")
+        .withColumns({"ua_found": ua, "link_found": link})
+        .withColumns(
+            dict(
+                zip(
+                    ("device", "source", "intent"),
+                    _labels(F.col("ua_found"), F.col("link_found")),
+                )
+            )
+        )
         .withColumn("velocity", _velocity())
-        .withColumn("features", feature_strings(words))
+        .withColumn("features", feature_strings(F.col("words")))
         .select(
             *KEYS,
             "n_items",

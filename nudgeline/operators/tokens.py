@@ -11,10 +11,16 @@ from ..settings import KEYS, MAX_WORDS
 
 def distinct_words(rows: DataFrame) -> DataFrame:
     """Distinct (batch, session, word). Shuffled by all three, so a hot session spreads out."""
+    return _one_per_word(rows, words_of_event()).select(*KEYS, "word").distinct()
+
+
+def words_of_event() -> Column:
+    """The words of an event that can be among the first ones of its session-batch; null for none.
+
+    The smallest 15 of a union are among the smallest 15 of its parts.
+    """
     found = event_words(F.col("type"), F.col("el_text"), F.col("tgt_text"))
-    # The smallest 15 of a union are among the smallest 15 of its parts.
-    part = F.slice(F.sort_array(found), 1, MAX_WORDS)
-    return _one_per_word(rows, part).select(*KEYS, "word").distinct()
+    return F.slice(F.sort_array(found), 1, MAX_WORDS)
 
 
 def first_words(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from nudgeline.session import CHECKPOINT_KEY, working_folder
 # Queries that run batch after batch before they return a plan.
 RUN_BATCHES = {
     "model_update", "model_local_update", "model_refit", "learned_loop", "lifecycle_stream",
-    "lifecycle_handover", "session_states",
+    "lifecycle_handover", "session_states", "phase_split",
 }
 
 
@@ -63,9 +63,10 @@ def test_fixed_width_aggregates_hash(large, small, name):
 def test_summaries_join_without_further_shuffles(large, small):
     text = plan(catalog._summaries(large, small))
     keys = [s for s in shuffles(text) if "batch_id" in s and "salt" not in s and "word" not in s]
-    # Aggregates, those again for the undecided, late values, words.
-    assert len(keys) <= 4
-    assert text.count("FileScan") <= 4
+    # What the events tell, and late values.
+    assert len(keys) <= 2 and len(shuffles(text)) <= 5
+    # The second reading is for the late values alone.
+    assert text.count("FileScan") == 2 and "ReusedExchange" in text
     assert "Python" not in text and "CartesianProduct" not in text
     assert not re.search(r"SortAggregate\(key", text)
 
@@ -76,6 +77,13 @@ def test_replay_adds_one_shuffle_by_session(large, small):
     assert len(by_session) == 1 and "session_id" in by_session[0]
 
 
+def test_at_most_fifteen_words_per_task_reach_a_session_batch(large, small):
+    text = plan(catalog._summaries(large, small))
+    assert "row_number(), 16, Partial" in text  # the events' own row and fifteen words
+    before = text[text.index("row_number(), 16, Final") : text.index("row_number(), 16, Partial")]
+    assert "Exchange hashpartitioning(batch_id" in before
+
+
 def test_the_state_machine_is_one_sort_without_python(large, small):
     summaries = catalog._summaries(large, small)
     text = plan(course.courses(summaries, 3))
