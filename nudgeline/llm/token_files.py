@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,7 @@ SKIPPABLE_SEEK = 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
 HAS_CHECKSUMS = 0x80
 NO_ID = -(1 << 63)
+FILE_BYTES, TASK_BYTES = 256 << 20, 8 << 20
 _FOOTER = struct.Struct("<IBI")
 
 _INDEX = "part INT, file STRING, n_docs BIGINT, n_ids BIGINT"
@@ -64,20 +66,20 @@ class FrameWriter:
         self.fs.create_dir(parent, recursive=True)
         self.out = self.fs.open_output_stream(self.draft)
         self.packer = zstandard.ZstdCompressor(level=level)
-        self.ids: list[int] = []
-        self.entries: list[tuple[int, int, int]] = []
+        # 20 bytes a document.
+        self.ids, self.entries = array("q"), array("I")
 
     def add(self, doc_id: int | None, plain: bytes) -> None:
         packed = self.packer.compress(plain)
         self.out.write(packed)
         self.ids.append(NO_ID if doc_id is None else doc_id)
         check = xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF
-        self.entries.append((len(packed), len(plain), check))
+        self.entries.extend((len(packed), len(plain), check))
 
     def close(self) -> None:
-        ids = np.array(self.ids, "<i8").tobytes()
-        table = np.array(self.entries, "<u4").tobytes()
-        table += _FOOTER.pack(len(self.entries), HAS_CHECKSUMS, SEEK_MAGIC)
+        ids = np.asarray(self.ids).astype("<i8").tobytes()
+        table = np.asarray(self.entries).astype("<u4").tobytes()
+        table += _FOOTER.pack(len(self.ids), HAS_CHECKSUMS, SEEK_MAGIC)
         for magic, body in ((SKIPPABLE_IDS, ids), (SKIPPABLE_SEEK, table)):
             self.out.write(struct.pack("<II", magic, len(body)) + body)
         self.out.close()
@@ -163,10 +165,17 @@ def write(
     vocabulary: str | None = None,
     n_files: int | None = None,
 ) -> DataFrame:
-    """Writes all documents below ``folder``, ascending by doc_id; gives one row per file."""
+    """Writes all documents below ``folder``, ascending by doc_id; gives one row per file.
+
+    Without ``n_files`` there is one for every ``FILE_BYTES`` of text, and small input makes as many as
+    there are shuffle partitions as long as each gets ``TASK_BYTES``.
+    """
     spark = docs.sparkSession
-    n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("body"))
+    if n_files is None:
+        total = rows.agg(F.sum(F.octet_length("body").cast("bigint")).alias("b")).first()["b"] or 0
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n_files = max(1, -(-total // FILE_BYTES), min(most, -(-total // TASK_BYTES)))
     by_id = F.col("doc_id").asc_nulls_first()
     ranged = rows.repartitionByRange(n_files, by_id)
     ranged = ranged.sortWithinPartitions(by_id, F.col("body").asc_nulls_first())
