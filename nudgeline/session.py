@@ -63,9 +63,13 @@ def remove(spark: SparkSession, path: str) -> None:
 def working_folder(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables, named in ``spark.checkpoint.dir``.
 
-    Where that is unset, a folder in the warehouse, which all executors reach as well.
+    Where that is unset, a session on one machine takes a folder in its warehouse; a cluster must name
+    one that all executors reach.
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors reach")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return folder.rstrip("/")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import unicodedata
 
 ARMS = ["faq-component", "chat-widget", "customer-reviews"]
 READS = {"hover", "click", "touch_start", "button_click"}
@@ -25,17 +25,23 @@ def injection_id(session, number):
 
 
 def words(text):
-    return {w for w in re.findall(r"\w+", (text or "").lower()) if len(w) > 3}
+    """Runs of at least four letters, numbers or underscores."""
+    runs, run = set(), ""
+    for c in (text or "").lower() + " ":
+        if c == "_" or unicodedata.category(c)[0] in "LN":
+            run += c
+        else:
+            runs |= {run} if len(run) >= 4 else set()
+            run = ""
+    return runs
 
 
 def walk(events):
-    ua = url = ""
-    for e in events:
-        ua = (e["user_agent"] or "").lower() or ua
-        url = (e["url"] or "").lower() or url
-        if ua and url:
-            break
-    return ua, url
+    """Up to the event at which both have been seen, the last of each."""
+    agents = [(i, e["user_agent"].lower()) for i, e in enumerate(events) if e["user_agent"]]
+    links = [(i, e["url"].lower()) for i, e in enumerate(events) if e["url"]]
+    stop = max(agents[0][0], links[0][0]) if agents and links else len(events)
+    return tuple(next((v for i, v in reversed(seen) if i <= stop), "") for seen in (agents, links))
 
 
 def points(e):
@@ -50,27 +56,25 @@ def points(e):
 def summary(session, events):
     """Summary of a session-batch from its events in arrival order."""
     ua, url = walk(events)
-    handheld = any(m in ua for m in ("android", "mobile", "iphone"))
-    device = "desktop" if ua and not handheld else "mobile"
-    source = "ads" if "utm_source" in url or "facebook" in ua else "direct"
-    intent = "checkout" if "/cart" in url else "browse"
+    marks = [m in ua for m in ("android", "mobile", "iphone")]
+    labels = {
+        "device": "mobile" if not ua or any(marks) else "desktop",
+        "source": ("direct", "ads")["utm_source" in url or "facebook" in ua],
+        "intent": ("browse", "checkout")["/cart" in url],
+    }
     swipes = sum(e["type"] == "swipe" for e in events)
-    reads = sum(e["type"] in READS and (e["duration"] or 0) > 1000 for e in events)
-    found = set()
-    for e in events:
-        if e["type"] in READS:
-            found |= words(e["el_text"]) | words(e["tgt_text"])
-    features = [f"dev={device}", f"src={source}", f"intent={intent}"]
-    features.append(f"swipes={swipes // 5}" if device == "mobile" else f"reads={reads}")
-    features += [f"word={w}" for w in sorted(found)[:15]]
+    read = [e for e in events if e["type"] in READS]
+    reads = sum((e["duration"] or 0) > 1000 for e in read)
+    activity = f"swipes={swipes // 5}" if labels["device"] == "mobile" else f"reads={reads}"
+    found = sorted({w for e in read for text in (e["el_text"], e["tgt_text"]) for w in words(text)})
+    names = dict(zip(("dev", "src", "intent"), labels.values()))
+    features = [*map("=".join, names.items()), activity, *(f"word={w}" for w in found[:15])]
     stamps = [e["ts_ms"] for e in events if (e["ts_ms"] or 0) > 0]
     seconds = (max(stamps) - min(stamps)) / 1000 if len(stamps) > 1 else 1.0
     velocity = sum(points(e) for e in events) / max(1.0, seconds)
     ids = {e["tgt_id"] for e in events} | {e["el_id"] for e in events}
     return {
-        "device": device,
-        "source": source,
-        "intent": intent,
+        **labels,
         "swipes": swipes,
         "reads": reads,
         "features": features,
