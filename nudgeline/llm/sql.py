@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, near_dup
+from . import license_scan, near_dup, vector_codes
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -96,6 +96,44 @@ SELECT w.doc_id, any_value(len(w))::BIGINT AS n_words,
 FROM worded w LEFT JOIN judged USING (doc_id) GROUP BY w.doc_id"""
 
 
+def vector_codes_sql() -> str:
+    """The rounds one after the other, a component per row. With distances and indexes as one whole
+    number, the least of them is the nearest entry, the lowest on ties."""
+    n_parts, n_entries = vector_codes.N_PARTS, vector_codes.N_ENTRIES
+    text = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label, embedding,
+    len(embedding) // {n_parts} AS d
+  FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS MATERIALIZED (
+  SELECT r, (i - 1) // d AS p, (i - 1) % d AS c,
+    CAST(floor({vector_codes.SCALE} * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM kept, unnest(range(1, len(embedding) + 1)) AS t(i)),
+book_0 AS MATERIALIZED (SELECT p, r - 1 AS e, c, x FROM cells WHERE r <= {n_entries})"""
+    near = """
+near_{k} AS MATERIALIZED (
+  SELECT r, p, min(far * {n} + e) AS best FROM (
+    SELECT a.r, a.p, b.e, sum((a.x - b.x) * (a.x - b.x)) AS far
+    FROM cells a JOIN book_{k} b USING (p, c) GROUP BY ALL) GROUP BY ALL)"""
+    for k in range(vector_codes.N_ROUNDS):
+        text += "," + near.format(k=k, n=n_entries) + f""",
+means_{k} AS (
+  SELECT a.p, n.best % {n_entries} AS e, a.c, CAST(floor(sum(a.x) / count(*)) AS BIGINT) AS x
+  FROM cells a JOIN near_{k} n USING (r, p) GROUP BY ALL),
+book_{k + 1} AS MATERIALIZED (
+  SELECT p, e, c, coalesce(m.x, b.x) AS x FROM book_{k} b LEFT JOIN means_{k} m USING (p, e, c))"""
+    last = vector_codes.N_ROUNDS
+    return text + "," + near.format(k=last, n=n_entries) + f""",
+coded AS (
+  SELECT r, string_agg(printf('%02x', CAST(best % {n_entries} AS INTEGER)), '' ORDER BY p) AS code,
+    CAST(sum(best // {n_entries}) AS BIGINT) AS error
+  FROM near_{last} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, c)) FROM book_{last}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": f"""
@@ -103,4 +141,5 @@ WITH {line_dedup_rows('documents')}
 SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM deduped""",
         "op2_near_dup": near_dup_sql(),
         "op9_license_scan": license_sql(),
+        "op12_vector_codes": vector_codes_sql(),
     }

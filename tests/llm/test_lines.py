@@ -101,8 +101,9 @@ def test_cuckoo_filter():
 @pytest.fixture(scope="module")
 def connection(small):
     made = duckdb.connect()
-    path = os.path.join(small, "documents.parquet")
-    made.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
+    for table in ("documents", "embeddings"):
+        path = os.path.join(small, f"{table}.parquet")
+        made.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}')")
     return made
 
 
