@@ -76,6 +76,7 @@ def test_equal_rows_are_dealt_to_all_buckets(spark):
 
 
 LONGS = "bigint"
+# Those of the later operators are held in their own tests.
 TYPES = {
     "op1_line_dedup": {"doc_id": LONGS, "n_lines": LONGS, "n_dropped": LONGS, "kept_sha256": "string"},
     "op2_near_dup": {"doc_id": LONGS, "n_shingles": LONGS, "component_id": LONGS, "kept": "boolean"},
@@ -103,17 +104,6 @@ TYPES = {
         "doc_id": LONGS, "n_words": LONGS, "word_chars": LONGS, "n_symbols": LONGS,
         "n_dup_lines": LONGS, "n_repeat_words": LONGS, "base_failed": "boolean", "kept": "boolean",
     },
-    "op11_cross_tokens": {
-        **{c: LONGS for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")},
-        "groups_sha256": "string",
-    },
-    "op12_vector_codes": {
-        "vec_id": LONGS, "code": "string", "error": LONGS, "label_error": LONGS, "codebooks_sha256": "string",
-    },
-    "op13_personal_data": {
-        **{c: LONGS for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone")},
-        "base_sha256": "string", "spans": "string",
-    },
 }
 
 
