@@ -137,7 +137,7 @@ def test_the_loop_publishes(spark, small, tmp_path):
 @pytest.fixture(scope="module")
 def sent(spark, small):
     """Messages with their partition (a session's are in one) and offset."""
-    rows = replay.read_behaviour(spark, small).where("batch_id < 7")
+    rows = replay.read_behaviour(spark, small).where("batch_id < 5")
     found = replay.as_messages(rows).orderBy("arrival").select("body").collect()
     out = {0: [], 1: []}
     for r in found:
