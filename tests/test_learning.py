@@ -220,6 +220,36 @@ def test_steps_in_turn_learn_more_than_one_per_batch(spark, tmp_path):
     table.unpersist()
 
 
+def test_a_round_shuffles_no_examples(spark, tmp_path):
+    """A round is two jobs: blocks learned and summed where they are read, and the sums added."""
+    policy = replace(POLICY, shard_examples=40, average_every=15)
+    table, rows = examples(spark)
+    counts = {arm: sum(r[2] == arm for r in rows) for arm in (0, 1)}
+    n_shards = {arm: -(-n // 40) for arm, n in counts.items()}
+    dealt = table.select("session_id", "arm_idx", local_sgd.shard(n_shards).alias("shard")).collect()
+    sizes = [sum((r["arm_idx"], r["shard"]) == k for r in dealt) for k in {(r["arm_idx"], r["shard"]) for r in dealt}]
+    n_rounds = -(-max(sizes) // 15)
+    spark.sparkContext.setJobGroup("rounds", "rounds of a fit")
+    local_sgd.update(table, weights.fresh_models(policy), policy, str(tmp_path), counts)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")
+    spark.sparkContext._jsc.clearJobGroup()
+    blocks = spark.read.parquet(f"{tmp_path}/dealt")
+    assert blocks.groupBy("round").count().count() == n_rounds > 2
+    assert blocks.count() == sum(-(-n // 15) for n in sizes)
+    assert len(jobs) <= 2 + 2 * n_rounds
+
+
+def test_sums_of_digits_do_not_depend_on_the_order():
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(50, 300)) * 10.0 ** draw.integers(-20, 1, size=(50, 300))
+    digits = [local_sgd._digits(row) for row in x]
+    assert np.allclose([local_sgd._number(d) for d in digits], x, atol=1e-31, rtol=1e-15)
+    one, other = sum(digits), sum(digits[::-1])
+    assert np.array_equal(one, other)
+    assert np.allclose(local_sgd._number(one), x.sum(axis=0), atol=1e-14, rtol=0)
+    assert np.isnan(local_sgd._number(local_sgd._digits(np.array([np.nan, 1.0])))).tolist() == [True, False]
+
+
 def test_nothing_to_learn_in_turn(spark):
     table, _ = examples(spark, 3)
     assert local_sgd.update(table.where("label > 1"), weights.initial_models(POLICY), POLICY) is None
